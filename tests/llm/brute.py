@@ -39,3 +39,20 @@ def near_components(docs):
                 a, b = find(o), find(d)
                 parent[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def repeats(docs, window=20):
+    """{row number: (n_words, n_removed, kept words joined)} for rows (doc_id, text)."""
+    first, split = {}, [WORD.findall(t or "") for _, t in docs]
+    for (d, _), w in zip(docs, split):
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, (d, i)), (d, i))
+    out = []
+    for (d, _), w in zip(docs, split):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < (d, i):
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
