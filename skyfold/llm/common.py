@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -61,35 +65,48 @@ def parts(spark: SparkSession) -> int:
 BLOOM_BITS = 1 << 24
 
 
-def bloom(ids: DataFrame, key: str) -> np.ndarray:
-    """Bits of a Bloom filter over a long column; the driver gets at most BLOOM_BITS / 64 rows of one long each."""
-    n = BLOOM_BITS
-    at = F.explode(F.array(F.pmod(F.xxhash64(F.col(key)), F.lit(n)), F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(n))))
-    rows = (
-        ids.select(at.alias("b"))
-        .groupBy(F.shiftright("b", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-        .collect()
-    )
-    out = np.zeros(n // 64, np.int64)
-    for w, v in rows:
-        out[w] = v
-    return out
+_PIECE = 256
+
+
+def _bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = keys.view(np.uint64)
+    return tuple((words.mix(k ^ np.uint64(salt)) >> np.uint64(40)).astype(np.int64) % BLOOM_BITS for salt in (0x51ED270B, 0xA24BAED4))
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        for column in batch.columns:
+            keys = np.ascontiguousarray((column.flatten() if pa.types.is_list(column.type) else column).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(keys):
+                held = np.zeros(BLOOM_BITS, bool) if held is None else held
+                for b in _bits_of(keys):
+                    held[b] = True
+    if held is not None:
+        rows = np.packbits(held, bitorder="little").reshape(-1, _PIECE)
+        some = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
 
 
-def with_bloom_bits(df: DataFrame, key: str) -> DataFrame:
-    """Add the two bit positions that bloom() uses, computed by the same native hash."""
-    n = BLOOM_BITS
-    return df.withColumn("_b1", F.pmod(F.xxhash64(F.col(key)), F.lit(n))).withColumn("_b2", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(n)))
+def _union(key, table):
+    rows = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, _PIECE)
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(rows, 0).tobytes()], pa.binary())})
 
 
-def may_hold(bits: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
-    words = bits.view(np.uint64)
+def bloom(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of all columns (longs, or arrays of longs): each task sends its bits once, the driver gets BLOOM_BITS."""
+    rows = keys.mapInArrow(_set_bits, "piece int, bits binary").groupBy("piece").applyInArrow(_union, "piece int, bits binary").collect()
+    out = np.zeros((BLOOM_BITS // 8 // _PIECE, _PIECE), np.uint8)
+    for piece, bits in rows:
+        out[piece] = np.frombuffer(bits, np.uint8)
+    return out.ravel().view(np.uint64)
 
-    def one(b: np.ndarray) -> np.ndarray:
-        return (words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
 
-    return (one(b1) & one(b2)).astype(bool)
+def may_hold(bits: np.ndarray, keys: pa.Array) -> pa.Array:
+    """Mask of the keys that the filter may hold; it is never false for one that it does."""
+    k = np.ascontiguousarray(keys.to_numpy(zero_copy_only=False).astype(np.int64))
+    one, two = ((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) for b in _bits_of(k))
+    return pa.array((one & two).astype(bool))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -139,12 +139,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _sets_of(bits: np.ndarray):
-    """mapInArrow function: (id, text, _b1, _b2) of texts that the Bloom filter may hold, to (id, set)."""
+    """mapInArrow function: (id, text) of texts that the Bloom filter may hold, to (id, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = common.may_hold(bits, batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(common.may_hold(bits, batch.column(0)))
             data, offsets = words.buffers(batch.column(1))
             for i, j in words.chunks(offsets):
                 sets, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -161,8 +160,7 @@ def _fine_of(bits: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = common.may_hold(bits, batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(common.may_hold(bits, batch.column(0)))
             data, offsets = words.buffers(batch.column(1))
             for i, j in words.chunks(offsets, most_rows=250):
                 sets, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -205,8 +203,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
 
     A vertex with many partners is dealt to several tasks, each with its set and at most 500 or so partners.
     """
-    bits = common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    sets = common.with_bloom_bits(texts, "id").mapInArrow(_sets_of(bits), "id long, shingles binary")
+    bits = common.bloom(pairs.select("a", "b"))
+    sets = texts.mapInArrow(_sets_of(bits), "id long, shingles binary")
     loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("m"))
     left = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
     right = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
@@ -301,8 +299,8 @@ def cluster(docs: DataFrame, share: int = 75) -> DataFrame:
         waiting = placed.join(mixed, "band")
         if whole:
             waiting = common.cut(waiting)
-            bits = common.bloom(waiting.select("b").distinct(), "b")
-            drawn = common.with_bloom_bits(own, "id").mapInArrow(_fine_of(bits), "id long, sketch array<long>")
+            bits = common.bloom(waiting.select("b"))
+            drawn = own.mapInArrow(_fine_of(bits), "id long, sketch array<long>")
             drawn = drawn.join(waiting.select(F.col("b").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
             waiting = waiting.join(drawn.withColumnRenamed("id", "b"), "b")
         else:

@@ -17,6 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,13 +259,11 @@ def _rows(texts, kept: list, n_words: list, n_removed: list, schema: pa.Schema)
 
 
 def _filter(bits: np.ndarray):
-    """Rows that the Bloom filter may hold, without its two columns at the end."""
+    """Rows whose first column the Bloom filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            keep = common.may_hold(bits, batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays(batch.columns[: n - 2], names=batch.schema.names[: n - 2]).filter(pa.array(keep))
+            yield batch.filter(common.may_hold(bits, batch.column(0)))
 
     return run
 
@@ -274,8 +273,7 @@ def _whole(bits: np.ndarray, always_join: bool, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            batch = batch.filter(pa.array(~common.may_hold(bits, batch.column(n - 2).to_numpy(), batch.column(n - 1).to_numpy())))
+            batch = batch.filter(pc.invert(common.may_hold(bits, batch.column(0))))
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
@@ -307,16 +305,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, always_join: bool = True)
     home = F.pmod(F.col("rk"), F.lit(homes)).cast("int")
     probes = keyed.select("rk", "text").mapInArrow(_probe(n, block, window), _PROBES)
     hits = common.cut(probes.groupBy("bucket").applyInArrow(_hit(homes), _HITS))
-    bits = common.bloom(hits.select(F.explode("docs").alias("rk")), "rk")
-    near = common.with_bloom_bits(keyed.select("rk", "doc_id", "text"), "rk").mapInArrow(_filter(bits), "rk long, doc_id long, text string")
+    bits = common.bloom(hits.select("docs"))
+    near = keyed.select("rk", "doc_id", "text").mapInArrow(_filter(bits), "rk long, doc_id long, text string")
     windows = near.withColumn("home", home).groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(_extend(n, block, window), _WINDOWS)
     repeats = common.cut(windows.groupBy("bucket").applyInArrow(_earliest(homes), _REPEATS))
-    bits = common.bloom(repeats.select(F.explode("docs").alias("rk")), "rk")
-    marked = common.with_bloom_bits(keyed.select("rk", "text", "rest"), "rk")
+    bits = common.bloom(repeats.select("docs"))
+    marked = keyed.select("rk", "text", "rest")
     shape = marked.select("rest").schema
     arrow = to_arrow_schema(shape)
     result = T.StructType([*shape.fields, *(T.StructField(c, t) for c, t in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())))])
-    some = marked.mapInArrow(_filter(bits), marked.select("rk", "text", "rest").schema).withColumn("home", home)
+    some = marked.mapInArrow(_filter(bits), marked.schema).withColumn("home", home)
     some = some.groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(_strip(arrow, window, always_join), result)
     none = marked.mapInArrow(_whole(bits, always_join, arrow), result)
     return none.unionByName(some).select("rest.*", "kept_text", "n_words", "n_removed")
