@@ -237,13 +237,18 @@ def _forest(odd: np.ndarray, comps: np.ndarray, most: float) -> tuple[np.ndarray
     return x[:, 0], x[:, 1]
 
 
-def _across(odd: np.ndarray, comps: np.ndarray, one: np.ndarray, two: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of members of one and two (all within one, if they are the same) in different components and near enough."""
+def _across(odd: np.ndarray, comps: np.ndarray, bands: np.ndarray, band: int, one: np.ndarray, two: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of one and two (all within one, if they are the same) in different components and near enough.
+
+    A pair that shares several bands is given in the first of them only.
+    """
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in one:
         others = two[two > i] if two is one else two
         others = others[comps[others] != comps[i]]
         near = others[np.bitwise_count(odd[others] ^ odd[i]).sum(1) <= most]
+        if len(near):
+            near = near[bands[i][np.argmax(bands[near] == bands[i], axis=1)] == band]
         out_a.append(np.full(len(near), i))
         out_b.append(near)
     return np.concatenate(out_a), np.concatenate(out_b)
@@ -258,7 +263,8 @@ def _compare(share: int, whole: bool):
         odd = table["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(ids), -1)
         if whole:
             one = np.flatnonzero(block == key[1].as_py())
-            x, y = _across(odd, comps, one, one if key[1] == key[2] else np.flatnonzero(block != key[1].as_py()), most)
+            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            x, y = _across(odd, comps, bands, key[0].as_py(), one, one if key[1] == key[2] else np.flatnonzero(block != key[1].as_py()), most)
         else:
             x, y = _forest(odd, comps, most)
         return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
@@ -302,16 +308,17 @@ def cluster(docs: DataFrame, share: int = 75) -> DataFrame:
             bits = common.bloom(waiting.select("b"))
             drawn = own.mapInArrow(_fine_of(bits), "id long, sketch array<long>")
             drawn = drawn.join(waiting.select(F.col("b").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+            drawn = drawn.join(reps.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]), "id")
             waiting = waiting.join(drawn.withColumnRenamed("id", "b"), "b")
         else:
-            waiting = waiting.join(reps.select(F.col("doc_id").alias("b"), "sketch"), "b")
-        waiting = waiting.select("band", F.col("b").alias("doc_id"), "component", "sketch", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+            waiting = waiting.join(reps.select(F.col("doc_id").alias("b"), "sketch", F.array().cast("array<long>").alias("bands")), "b")
+        waiting = waiting.select("band", F.col("b").alias("doc_id"), "component", "sketch", "bands", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         waiting = waiting.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         if whole:
             waiting = waiting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         else:
             waiting = waiting.withColumn("other", F.col("block"))
-        waiting = waiting.select("band", "doc_id", "component", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        waiting = waiting.select("band", "doc_id", "component", "sketch", "bands", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         pairs = waiting.groupBy("band", "i", "j").applyInArrow(_compare(share, whole), "a long, b long").distinct()
         pairs = common.cut(pairs.join(tried, ["a", "b"], "left_anti"))
         found = confirm(pairs, own, share).distinct()
