@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, sharding, substrings, toxicity, viterbi
+from . import chat, fingerprints, mixing, neardup, packing, sharding, substrings, toxicity, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,5 +88,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL}

@@ -12,7 +12,7 @@ def test_interactions_are_learnt(spark):
     rows, labels = [], []
     for i in range(1500):
         words = [f"w{rng.integers(300)}" for _ in range(30)]
-        a, b = rng.random(2) < 0.5
+        a, b = (rng.random(2) < 0.5).tolist()
         words += ["insult,"] * a + ["Groupname."] * b
         rng.shuffle(words)
         rows.append((i, " ".join(words), "x"))
