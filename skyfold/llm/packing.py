@@ -152,8 +152,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                for doc_id, text, first in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
-                    packer.add(doc_id, tokenizer.encode(text) + end, first)
+                ids, texts, firsts = (part.column(c).to_pylist() for c in range(3))
+                for doc_id, own, first in zip(ids, tokenizer.encode(texts), firsts, strict=True):
+                    packer.add(doc_id, own + end, first)
                 if packer.out:
                     yield packer.batch()
         packer.finish()

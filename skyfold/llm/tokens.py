@@ -9,10 +9,20 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one worker process remembers; then it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
 
 
+_PUNCT = (b".", b",")
+#: A special token of the tokenizer, which keeps words apart that are encoded together.
+_JOINT = b"<|endoftext|>"
+
+
+def _lower(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does after composing characters; not where combining marks (lead bytes CC, CD) might compose first."""
+    return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes.
 
@@ -25,35 +35,38 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # in texts they are ordinary text; between joined words they are not
+        self.joint = self.joined.token_to_id(_JOINT.decode())
         self.known: dict[bytes, bytes] = {b"": b""}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {b"": b""}
-        cores = {}
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            cores[w] = (low[:-1], low[-1:]) if _EDGE.fullmatch(low) else (low, b"")
-        new = sorted({c for pair in cores.values() for c in pair if c not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in cores.items():
-            self.known[w] = self.known[a] + self.known[b]
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().replace(b"\n", b" ").split(b" ")
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        edged = [w for w in words if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
+        new = list(words.difference(edged).union([w[:-1] for w in edged], (b".", b",")).difference(known))
+        odd = [w for w in new if b"<|" in w]
+        for w in odd:
+            known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        new = list(set(new).difference(odd)) if odd else new
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
+            ids = np.array(self.joined.encode(_JOINT.join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.joint), len(ids)) * 4
+            flat = ids.tobytes()
+            known.update([(w, flat[a:b]) for w, a, b in zip(part, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)])
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in edged])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [_lower((t or "").encode()).replace(b"\n", b" ").split(b" ") for t in texts]
+        every = set().union(*split)
+        new = every.difference(self.known)
+        if len(self.known) + 2 * len(new) > CACHE_WORDS:
+            self.known.clear()
+            self.known[b""] = b""
+            new = every
+        self._learn(new)
         get = self.known.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            self._learn(list({w for w in words if w not in self.known}))
-            if any(w not in self.known for w in words):  # the cache was emptied
-                self._learn(list(set(words)))
-            return b"".join(map(self.known.__getitem__, words))
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(2)
