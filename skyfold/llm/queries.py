@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x))) AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -109,5 +110,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op9_embedding_neardup": OP9_SQL}
