@@ -88,20 +88,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(slots: np.ndarray, edges: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> Machine:
-    """Adagrad over mini-batches of 64 texts; the same rows in the same order give the same model."""
+def train(slots: np.ndarray, edges: np.ndarray, labels: np.ndarray, known: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> Machine:
+    """Adagrad over mini-batches of 64 texts of known slots; the same rows in the same order give the same model."""
     n = len(labels)
-    owner = np.repeat(np.arange(n), np.diff(edges))
-    texts, toxic = np.bincount(slots, minlength=SLOTS), np.bincount(slots, labels[owner], SLOTS)
     rate_all = float(labels.mean()) if n else 0.0
-    z = (toxic - texts * rate_all) / np.sqrt(np.maximum(texts * rate_all * (1 - rate_all), 1e-9))
-    known = (texts >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)
     rng = np.random.Generator(np.random.PCG64(seed))
     w, v = np.zeros(SLOTS), rng.normal(0, 0.05, (SLOTS, FACTORS))
     gw, gv = np.full(SLOTS, 1e-6), np.full((SLOTS, FACTORS), 1e-6)
     share = min(max(rate_all, 1e-3), 1 - 1e-3)
     bias, gb = float(np.log(share / (1 - share))), 1e-6
-    rows = [s[known[s]] for s in np.split(slots, edges[1:-1])] if n else []
+    rows = np.split(slots, edges[1:-1]) if n else []
     for _ in range(epochs):
         order = rng.permutation(n)
         for k in range(0, n, 64):
@@ -142,20 +138,51 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["slots", "label", "ord"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of texts and of toxic texts with each slot."""
+    both = np.zeros((2, SLOTS), np.int64)
+    for batch in batches:
+        for raw, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            slots = np.frombuffer(raw, np.int32)  # distinct
+            both[0, slots] += 1
+            both[1, slots] += label
+    some = np.flatnonzero(both[0])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[0, some]), pa.array(both[1, some])], names=["slot", "texts", "toxic"])
+
+
+def _only(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(x := np.frombuffer(raw, np.int32))[known[x]].tobytes() for raw in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *batch.columns[1:]], names=batch.schema.names)
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Train on at most `sample` rows of labels (doc_id, toxic 0 or 1) that have a document; null labels are no labels.
 
-    The sample is those with the smallest hash of doc_id, so it is the same in every run; its slots (not its texts)
-    come to the driver. A doc_id with several rows in either table gives several training rows, in a fixed order.
+    The sample is those with the smallest hash of doc_id, so it is the same in every run. Slots are counted, and
+    chosen, on the executors; the driver gets the sample's chosen slots (not its texts). A doc_id with several rows in
+    either table gives several training rows, in a fixed order.
     """
     common.ship(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(5))
     chosen = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label"), order.alias("ord")).orderBy("ord", "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label", "ord")
-    got = sorted(map(tuple, rows.mapInArrow(_terms_of, "slots binary, label int, ord long").collect()), key=lambda r: (r[2], r[1], bytes(r[0])))[:sample]
+    rows = common.cut(rows.mapInArrow(_terms_of, "slots binary, label int, ord long"))
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = toxic / n if n else 0.0
+    counts = rows.mapInArrow(_count, "slot int, texts long, toxic long").groupBy("slot").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    off = F.abs(F.col("toxic") - F.col("texts") * share)
+    far = counts.where((F.col("texts") >= LEAST_TEXTS) & (off >= LEAST_Z * F.sqrt(F.col("texts") * (share * (1 - share)))) & F.lit(0 < share < 1))
+    known = np.zeros(SLOTS, bool)
+    known[[r.slot for r in far.select("slot").collect()]] = True
+    got = sorted(map(tuple, rows.mapInArrow(_only(known), "slots binary, label int, ord long").collect()), key=lambda r: (r[2], r[1], bytes(r[0])))[:sample]
+    common.drop(rows)
     parts = [np.frombuffer(r[0], np.int32) for r in got]
     edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return train(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), edges, np.array([r[1] for r in got], float))
+    return train(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), edges, np.array([r[1] for r in got], float), known)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
