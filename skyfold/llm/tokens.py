@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that one worker process remembers; then it starts afresh.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 800_000
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
 
 
