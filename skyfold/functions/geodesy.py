@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,27 +21,22 @@ def geodetic_to_ecef(lon: Column, lat: Column, alt: Column, degrees: bool = True
     return Vec((n + alt) * F.cos(lat) * F.cos(lon), (n + alt) * F.cos(lat) * F.sin(lon), ((B / A) ** 2 * n + alt) * F.sin(lat))
 
 
+def _latitude(r: Column, z: Column, a: float, b: float) -> Column:
+    """Geodetic latitude by Bowring's formula, twice: below 1e-13 from the surface out to the Moon; poles included."""
+    ep2 = (a * a - b * b) / (b * b)
+    at = F.atan2(a * z, b * r)
+    for k in range(2):
+        lat = F.atan2(z + ep2 * b * F.pow(F.sin(at), 3), r - E2 * a * F.pow(F.cos(at), 3))
+        at = F.atan2(b * F.sin(lat), a * F.cos(lat)) if k == 0 else at
+    return lat
+
+
 def ecef_to_geodetic(p: Vec, degrees: bool = True, meters: bool = False) -> tuple[Column, Column, Column]:
-    """(lon, lat, alt) in closed form (Heikkinen's solution); the polar axis is no exception."""
+    """(lon, lat, alt). Each result repeats p several times, so p is best made of plain columns."""
     a, b = (A * 1000.0, B * 1000.0) if meters else (A, B)
-    e2 = E2
-    ep2 = (a * a - b * b) / (b * b)
-    r2 = p.x * p.x + p.y * p.y
-    r, z2 = F.sqrt(r2), p.z * p.z
-    f = 54 * b * b * z2
-    g = r2 + (1 - e2) * z2 - e2 * (a * a - b * b)
-    c = safe_div(e2 * e2 * f * r2, g * g * g)
-    s = F.cbrt(1 + c + F.sqrt(c * c + 2 * c))
-    k = s + 1 + safe_div(lit(1.0), s)
-    q_ = safe_div(f, 3 * k * k * g * g)
-    q = F.sqrt(1 + 2 * e2 * e2 * q_)
-    under = 0.5 * a * a * (1 + safe_div(lit(1.0), q)) - safe_div(q_ * (1 - e2) * z2, q * (1 + q)) - 0.5 * q_ * r2
-    r0 = -safe_div(q_ * e2 * r, 1 + q) + F.sqrt(F.greatest(under, F.lit(0.0)))
-    base = (r - e2 * r0) * (r - e2 * r0)
-    u, v = F.sqrt(base + z2), F.sqrt(base + (1 - e2) * z2)
-    alt = u * (1 - safe_div(lit(b * b), a * v))
-    lat = F.atan2(p.z + ep2 * safe_div(b * b * p.z, a * v), r)
-    lon = F.atan2(p.y, p.x)
+    r = F.sqrt(p.x * p.x + p.y * p.y)
+    lat, lon = _latitude(r, p.z, a, b), F.atan2(p.y, p.x)
+    alt = r * F.cos(lat) + p.z * F.sin(lat) - a * F.sqrt(1 - E2 * F.pow(F.sin(lat), 2))
     return (F.degrees(lon), F.degrees(lat), alt) if degrees else (lon, lat, alt)
 
 
@@ -67,37 +64,41 @@ def up(lon: Column, lat: Column) -> Vec:
     return Vec(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
 
 
+def north(lon: Column, lat: Column) -> Vec:
+    return Vec(-F.sin(lat) * F.cos(lon), -F.sin(lat) * F.sin(lon), F.cos(lat))
+
+
+def east(lon: Column) -> Vec:
+    return Vec(-F.sin(lon), F.cos(lon), F.lit(0.0))
+
+
 def azimuth(observer: Vec, target: Vec, degrees: bool = True, signed: bool = False) -> Column:
     """Clockwise from north, of the target seen from a surface point; [0, 360) unless signed."""
     lon, lat, _ = ecef_to_geodetic(observer, degrees=False)
-    east = Vec(-F.sin(lon), F.cos(lon), F.lit(0.0))
-    north = up(lon, lat).cross(east)
     t = target.minus(observer)
-    az = F.atan2(t.dot(east), t.dot(north))
+    az = F.atan2(t.dot(east(lon)), t.dot(north(lon, lat)))
     if not signed:
-        az = F.when(az < 0, az + 2 * 3.141592653589793).otherwise(az)
+        az = F.pmod(az, F.lit(2 * math.pi))
     return F.degrees(az) if degrees else az
 
 
 def zenith(observer: Vec, target: Vec, degrees: bool = True, geocentric: bool = False) -> Column:
-    lon, lat, _ = ecef_to_geodetic(observer, degrees=False)
-    normal = observer.unit() if geocentric else up(lon, lat)
-    z = F.acos(normal.dot(target.minus(observer).unit()))
-    return F.degrees(z) if degrees else z
+    t = target.minus(observer)
+    if geocentric:
+        cosine = safe_div(observer.dot(t), observer.norm() * t.norm())
+    else:
+        lon, lat, _ = ecef_to_geodetic(observer, degrees=False)
+        cosine = safe_div(up(lon, lat).dot(t), t.norm())
+    return F.degrees(F.acos(cosine)) if degrees else F.acos(cosine)
 
 
 def relative_azimuth(view: Column, sun: Column) -> Column:
     return F.pmod(view - sun + 180.0, F.lit(360.0))
 
 
-def angle_between(a: Vec, b: Vec) -> Column:
-    """Degrees, of unit vectors; the cosine is clipped."""
-    return F.degrees(F.acos(clip(a.dot(b), -1.0, 1.0)))
-
-
 def cone_angle(boresight: Vec, position: Vec) -> Column:
     """Of a unit boresight off nadir, degrees."""
-    return angle_between(boresight, position.unit().times(-1.0))
+    return F.degrees(F.acos(clip(-safe_div(boresight.dot(position), position.norm()), -1.0, 1.0)))
 
 
 def orbital_frame(position: Vec, velocity: Vec) -> tuple[Vec, Vec, Vec]:
@@ -108,10 +109,17 @@ def orbital_frame(position: Vec, velocity: Vec) -> tuple[Vec, Vec, Vec]:
 
 
 def orbital_angles(boresight: Vec, position: Vec, velocity: Vec) -> tuple[Column, Column, Column]:
-    """(clock in [0, 360), along track, cross track), degrees."""
-    x, y, z = orbital_frame(position, velocity)
-    bx, by, bz = boresight.dot(x), boresight.dot(y), boresight.dot(z)
-    return F.pmod(F.degrees(F.atan2(by, bx)), F.lit(360.0)), F.degrees(F.atan2(bx, bz)), F.degrees(F.atan2(by, bz))
+    """(clock in [0, 360), along track, cross track), degrees, in the frame above; NaN where it doesn't exist.
+
+    From dot products alone: b.x, b.y and b.z times common positive lengths, so that no axis is formed.
+    """
+    r2, vr, br = position.dot(position), velocity.dot(position), boresight.dot(position)
+    flat2 = velocity.dot(velocity) - safe_div(vr * vr, r2)
+    bx = boresight.dot(velocity) - safe_div(br * vr, r2)
+    by = -safe_div(boresight.dot(position.cross(velocity)), F.sqrt(r2))
+    bz = -safe_div(br, F.sqrt(r2)) * F.sqrt(F.greatest(flat2, F.lit(0.0)))
+    ok = lambda c: F.when(flat2 > 0, F.degrees(c)).otherwise(F.lit(NAN))
+    return ok(F.pmod(F.atan2(by, bx), F.lit(2 * math.pi))), ok(F.atan2(bx, bz)), ok(F.atan2(by, bz))
 
 
 def boresight_cosine(target: Vec, boresight: Vec) -> Column:
@@ -132,8 +140,7 @@ def doppler_factor(position: Vec, velocity: Vec) -> Column:
 def enu_matrix(lon: Column, lat: Column) -> tuple[Vec, Vec, Vec]:
     """Rows east, north, up; degrees."""
     lon, lat = F.radians(lon), F.radians(lat)
-    east = Vec(-F.sin(lon), F.cos(lon), F.lit(0.0))
-    return east, up(lon, lat).cross(east), up(lon, lat)
+    return east(lon), north(lon, lat), up(lon, lat)
 
 
 def geodetic_to_enu(lon: Column, lat: Column, alt_m: Column, lon0: Column, lat0: Column, alt0_m: Column) -> Vec:

@@ -15,13 +15,13 @@ def lit(x) -> Column:
 
 
 def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NaN where b is 0 (ANSI mode would raise)."""
-    return F.when(b == 0, F.lit(NAN)).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
+    """a / b, NaN where b is 0 (ANSI mode would raise) or something is null; each argument occurs once in the expression."""
+    return F.coalesce(F.try_divide(a, b), F.lit(NAN))
 
 
 def clip(x: Column, low: float, high: float) -> Column:
     """Into [low, high]; NaN stays NaN."""
-    return F.when(F.isnan(x), x).when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+    return F.when(F.isnan(x), F.lit(NAN)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def not_nan(x: Column) -> Column:

@@ -39,7 +39,8 @@ def _sub_point(p: Vec) -> list[Column]:
 
 
 def _ground() -> Vec:
-    return G.intersect_ellipsoid(_v("bs_"), _v("sc_"))
+    """Where the boresight meets the ellipsoid; get_geometry() makes its columns once for all fields that use it."""
+    return Vec.columns("_ground_")
 
 
 def _orbital(i: int) -> list[Column]:
@@ -103,6 +104,9 @@ def get_geometry(states: DataFrame, fields: list[str] | None = None, keys: list[
     """keys (ugps), then the columns of the fields. Rates differ along `order` (ugps) within the other keys."""
     keys = keys or ["ugps"]
     chosen = resolve(fields)
+    if any({"boresight", "sc_state"} <= f.providers for f in chosen):
+        at = G.intersect_ellipsoid(_v("bs_"), _v("sc_"))
+        states = states.withColumns(dict(zip(("_ground_x", "_ground_y", "_ground_z"), at, strict=True)))
     out = states.select(*keys, *([c for c in order or [] if c not in keys]), *[c.alias(n) for f in chosen for n, c in zip(f.columns, f.expressions(), strict=True)])
     for f in chosen:
         if f.rate_of:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions import geodesy as G
-from skyfold.functions.vec import lit, safe_div
+from skyfold.functions.vec import Vec, lit, safe_div
 
 Point = tuple[Column, Column]
 
@@ -37,11 +35,22 @@ def signed_distance(p: Point, ring: list[Point]) -> Column:
     return F.when(winding_inside(p, ring), F.least(*edges)).otherwise(-F.least(*edges))
 
 
-def footprint_margin(lat: Column, lon: Column, corners: list[tuple[Column, Column]]) -> Column:
-    """Signed distance (m) of a point at height 0 from a footprint's border, in the tangent plane at the corners' mean."""
-    lat0, lon0 = (reduce(lambda a, b: a + b, [c[i] for c in corners]) / len(corners) for i in (0, 1))
-    plane = lambda la, lo: tuple(G.geodetic_to_enu(lo, la, lit(0.0), lon0, lat0, lit(0.0)))[:2]
-    return signed_distance(plane(lat, lon), [plane(la, lo) for la, lo in corners])
+def tangent_plane(images: DataFrame) -> DataFrame:
+    """images (lat0..lat3, lon0..lon3) with the corners' mean (_lat_, _lon_), its Earth-fixed place and the corners (_e0, _n0, ...) in metres around it."""
+    mean = lambda n: (F.col(f"{n}0") + F.col(f"{n}1") + F.col(f"{n}2") + F.col(f"{n}3")) / 4
+    out = images.withColumns({"_lat_": mean("lat"), "_lon_": mean("lon")})
+    out = out.withColumns(dict(zip(("_ox", "_oy", "_oz"), G.geodetic_to_ecef(F.col("_lon_"), F.col("_lat_"), lit(0.0), meters=True), strict=True)))
+    for k in range(4):
+        at = G.geodetic_to_ecef(F.col(f"lon{k}"), F.col(f"lat{k}"), lit(0.0), meters=True)
+        out = out.withColumns({f"_c{a}": c for a, c in zip("xyz", at, strict=True)})
+        out = out.withColumns(dict(zip((f"_e{k}", f"_n{k}"), _in_plane(Vec.columns("_c")), strict=True)))
+    return out.drop("_cx", "_cy", "_cz")
+
+
+def _in_plane(p: Vec) -> tuple[Column, Column]:
+    lon, lat = F.radians("_lon_"), F.radians("_lat_")
+    d = p.minus(Vec.columns("_o"))
+    return d.dot(G.east(lon)), d.dot(G.north(lon, lat))
 
 
 def footprints(pixels: DataFrame, key: str = "image_id") -> DataFrame:
@@ -76,8 +85,11 @@ def find_pairs(images: DataFrame, points: DataFrame, max_distance_m: float = 0.0
     boxed = images.withColumn("_y", F.explode(cells(F.least(*la) - pad, F.greatest(*la) + pad))).withColumn("_x", F.explode(cells(F.least(*lo) - wide, F.greatest(*lo) + wide)))
     shifted = points.select("gcp_id", F.col("lat").alias("_lat"), F.explode(F.array(F.col("lon") - 360.0, F.col("lon"), F.col("lon") + 360.0)).alias("_lon"))
     placed = shifted.withColumns({"_y": F.floor(F.col("_lat") / cell_deg).cast("long"), "_x": F.floor(F.col("_lon") / cell_deg).cast("long")})
-    margin = footprint_margin(F.col("_lat"), F.col("_lon"), [(F.col(f"lat{i}"), F.col(f"lon{i}")) for i in range(4)])
-    hit = boxed.join(placed, ["_y", "_x"]).withColumn("margin_m", margin).where(F.col("margin_m") >= max_distance_m)
+    met = tangent_plane(boxed).join(placed, ["_y", "_x"])
+    met = met.withColumns(dict(zip(("_px", "_py", "_pz"), G.geodetic_to_ecef(F.col("_lon"), F.col("_lat"), lit(0.0), meters=True), strict=True)))
+    met = met.withColumns(dict(zip(("_e", "_n"), _in_plane(Vec.columns("_p")), strict=True)))
+    ring = [(F.col(f"_e{k}"), F.col(f"_n{k}")) for k in range(4)]
+    hit = met.withColumn("margin_m", signed_distance((F.col("_e"), F.col("_n")), ring)).where(F.col("margin_m") >= max_distance_m)
     return hit.groupBy("image_id", "gcp_id").agg(F.max("margin_m").alias("margin_m"))
 
 

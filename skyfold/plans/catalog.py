@@ -1,6 +1,8 @@
-"""Registered queries over the driver's tables, each with its equivalent SQL where there is one."""
+"""All registered queries of the library, each with its equivalent SQL where there is one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import geo  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
