@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geo  # noqa: F401
+from . import geo, products, rasters, series, stats, times  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
