@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import threading
+import time
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 
-#: Words that one worker process remembers; then it starts afresh.
-CACHE_WORDS = 800_000
+#: Words in each of the two generations that one worker process remembers, and after how many idle seconds it forgets them.
+GENERATION, IDLE_SECONDS = 600_000, 4.0
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
 
 
 _PUNCT = (b".", b",")
 #: A special token of the tokenizer, which keeps words apart that are encoded together.
-_JOINT = b"<|endoftext|>"
+_JOINT = "<|endoftext|>"
+#: Words of lower-case Latin letters: one piece for the tokenizer's splitting, unchanged by its composing and lower-casing.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet by its public rule: printable bytes stand for themselves, the others for code points from 256 on.
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def _lower(text: bytes) -> bytes:
@@ -34,39 +44,78 @@ class WordTokenizer:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in texts they are ordinary text; between joined words they are not
-        self.joint = self.joined.token_to_id(_JOINT.decode())
+        self.joint = self.joined.token_to_id(_JOINT)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, WhitespaceSplit()
         self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        edged = [w for w in words if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
-        new = list(words.difference(edged).union([w[:-1] for w in edged], (b".", b",")).difference(known))
-        odd = [w for w in new if b"<|" in w]
-        for w in odd:
-            known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        new = list(set(new).difference(odd)) if odd else new
-        for k in range(0, len(new), 512):
-            part = new[k : k + 512]
-            ids = np.array(self.joined.encode(_JOINT.join(part).decode(), add_special_tokens=False).ids, "<u4")
+        self.old: dict[bytes, bytes] = {}
+        self.lock, self.used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self._forget_when_idle, daemon=True).start()
+
+    def _forget_when_idle(self) -> None:
+        """The worker's memory goes back to the executor while other work runs there."""
+        while True:
+            time.sleep(1)
+            if len(self.known) > 1 and time.monotonic() - self.used > IDLE_SECONDS and self.lock.acquire(blocking=False):
+                self.known, self.old = {b"": b""}, {}
+                self.lock.release()
+                trim()
+
+    def _fetch(self, words: set[bytes]) -> list[bytes]:
+        """Move words from the old generation to the new one; return those in neither."""
+        missing = words.difference(self.known)
+        again = missing.intersection(self.old)
+        old = self.old
+        self.known.update([(w, old[w]) for w in again])
+        return list(missing.difference(again))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Plain lower-case words are encoded together, without the steps that leave such words as they are."""
+        texts = b"\n".join(new).decode().split("\n") if new else []
+        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        self._encode_joined(self.letters, [t.encode().decode("latin-1").translate(_BYTE_CHARS) for t in compress(texts, plain)], list(compress(new, plain)))
+        odd = [not p and "<|" in t for t, p in zip(texts, plain, strict=True)]
+        for t, w in zip(compress(texts, odd), compress(new, odd), strict=True):
+            self.known[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [not (p or o) for p, o in zip(plain, odd, strict=True)]
+        self._encode_joined(self.joined, list(compress(texts, rest)), list(compress(new, rest)))
+
+    def _encode_joined(self, tokenizer, texts: list[str], names: list[bytes]) -> None:
+        for k in range(0, len(texts), 512):
+            ids = np.array(tokenizer.encode(_JOINT.join(texts[k : k + 512]), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.joint), len(ids)) * 4
             flat = ids.tobytes()
-            known.update([(w, flat[a:b]) for w, a, b in zip(part, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)])
-        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in edged])
+            self.known.update([(w, flat[a:b]) for w, a, b in zip(names[k : k + 512], [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [_lower((t or "").encode()).replace(b"\n", b" ").split(b" ") for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + 2 * len(new) > CACHE_WORDS:
-            self.known.clear()
-            self.known[b""] = b""
-            new = every
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        with self.lock:
+            if len(self.known) > GENERATION:
+                self.known, self.old = {b"": b""}, self.known
+            new = self._fetch(set().union(*split))
+            edged = [w for w in new if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
+            if edged:
+                self._learn(self._fetch(set(new).difference(edged).union([w[:-1] for w in edged], _PUNCT)))
+                known = self.known
+                known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in edged])
+            else:
+                self._learn(new)
+            get = self.known.__getitem__
+            self.used = time.monotonic()
+            return [b"".join(map(get, words)) for words in split]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 @lru_cache(2)
