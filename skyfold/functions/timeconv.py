@@ -34,23 +34,34 @@ def leap_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(leap_rows(), "nsec int, unix long, ugps long, offset long")
 
 
-def _last(column: Column, at: int, value: Callable[[tuple], int]) -> Column:
-    """Value of the last leap row whose field `at` is not above column (the first row before all)."""
-    rows = leap_rows()
-    out = F.lit(value(rows[0])).cast("long")
-    chain = None
-    for r in reversed(rows[1:]):
-        chain = F.when(column >= r[at], F.lit(value(r)).cast("long")) if chain is None else chain.when(column >= r[at], F.lit(value(r)).cast("long"))
-    return chain.otherwise(out)
+def _last(column: Column, at: int, value: Callable[[tuple], int], rows: list[tuple] | None = None) -> Column:
+    """Value of the last leap row whose field `at` is not above column (the first row before all): a balanced decision tree."""
+    rows = rows or leap_rows()
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(value(rows[low])).cast("long")
+        mid = (low + high + 1) // 2
+        return F.when(column >= rows[mid][at], tree(mid, high)).otherwise(tree(low, mid - 1))
+
+    return tree(0, len(rows) - 1)
+
+
+def _to_next_leap(ugps: Column) -> Column:
+    """Microseconds to the end of the next leap second (far away after the last one)."""
+    ends = [r[2] for r in leap_rows()][1:] + [1 << 61]
+    rows = [(r[2], e) for r, e in zip(leap_rows(), ends, strict=True)]
+    return _last(ugps, 0, lambda r: r[1], rows) - ugps
 
 
 def _in_leap(ugps: Column) -> Column:
-    """Microseconds by which a time within a leap second lies past its begin, in (0, 1e6]; 0 elsewhere."""
-    out = F.lit(0).cast("long")
-    for r in leap_rows()[1:]:
-        left = F.lit(r[2]).cast("long") - ugps
-        out = F.when((left > 0) & (left < 1_000_000), 1_000_000 - left).otherwise(out)
-    return out
+    """Microseconds by which a time within a leap second lies past its begin, in (0, 1e6); 0 elsewhere."""
+    return F.greatest(F.lit(0).cast("long"), 1_000_000 - _to_next_leap(ugps)) * F.when(ugps >= leap_rows()[0][2], 1).otherwise(0)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def ugps_to_unix_us(ugps: Column) -> Column:
@@ -80,11 +91,8 @@ def ugps_to_gpsd(ugps: Column) -> Column:
 def gpsd_to_ugps(days: Column) -> Column:
     """Rounded half to even."""
     whole = F.rint(days * float(K.US_PER_DAY)).cast("long")
-    rows = [(n, u, g - (n - K.LEAP_SECONDS_AT_GPS_EPOCH) * 1_000_000, (n - K.LEAP_SECONDS_AT_GPS_EPOCH) * 1_000_000) for n, u, g, _ in leap_rows()]
-    chain = None
-    for r in reversed(rows[1:]):
-        chain = F.when(whole >= r[2], F.lit(r[3]).cast("long")) if chain is None else chain.when(whole >= r[2], F.lit(r[3]).cast("long"))
-    return whole + chain.otherwise(F.lit(rows[0][3]).cast("long"))
+    rows = [(g - (n - K.LEAP_SECONDS_AT_GPS_EPOCH) * 1_000_000, (n - K.LEAP_SECONDS_AT_GPS_EPOCH) * 1_000_000) for n, _, g, _ in leap_rows()]
+    return whole + _last(whole, 0, lambda r: r[1], rows)
 
 
 def _eccentric(et: Column) -> Column:
@@ -93,11 +101,8 @@ def _eccentric(et: Column) -> Column:
 
 
 def _tai_to_et(tai: Column) -> Column:
-    """TAI seconds since J2000 to ephemeris time: a few fixed-point steps converge far below a nanosecond."""
-    et = tai + K.DELTA_T_A
-    for _ in range(3):
-        et = tai + K.DELTA_T_A + _eccentric(et)
-    return et
+    """TAI seconds since J2000 to ephemeris time. One fixed-point step: the next would change it by less than 1e-12 s."""
+    return tai + K.DELTA_T_A + _eccentric(tai + K.DELTA_T_A)
 
 
 def _et_to_tai(et: Column) -> Column:
@@ -125,16 +130,14 @@ def utc_to_ugps(text: Column) -> Column:
     micros = F.rint(F.coalesce(F.when(part(5) == "", F.lit("0")).otherwise(F.concat(F.lit("0"), part(5))).cast("double"), F.lit(0.0)) * 1e6).cast("long")
     second = number(4)
     whole = day * K.US_PER_DAY + (number(2) * 3600 + number(3) * 60 + F.least(second, F.lit(59))) * 1_000_000 + micros
-    return F.when(text.rlike(shape), unix_us_to_ugps(whole) + F.when(second == 60, 1_000_000).otherwise(0))
+    return F.when(text.rlike(shape), let(whole, unix_us_to_ugps) + F.when(second == 60, 1_000_000).otherwise(0))
 
 
 def ugps_to_utc(ugps: Column) -> Column:
     """`YYYY-MM-DD HH:MM:SS.ffffff`; second 60 within a leap second."""
-    inside = F.lit(None).cast("long")
-    for r in leap_rows()[1:]:
-        past = ugps - (r[2] - 1_000_000)
-        inside = F.when((past >= 0) & (past < 1_000_000), past).otherwise(inside)
-    shown = ugps_to_unix_us(ugps) - F.when(inside.isNotNull(), 1_000_000).otherwise(0)
+    left = _to_next_leap(ugps)
+    inside = F.when((left > 0) & (left <= 1_000_000), 1_000_000 - left)
+    shown = F.when(inside.isNotNull(), ugps + left - 1_000_000 - 1_000_000 + _last(ugps, 2, lambda r: r[3])).otherwise(ugps_to_unix_us(ugps))
     text = F.date_format(F.timestamp_micros(shown).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return F.when(inside.isNotNull(), F.concat(F.substring(text, 1, 17), F.lit("60."), F.lpad(inside.cast("string"), 6, "0"))).otherwise(text)
 
@@ -158,14 +161,14 @@ GRAPH: dict[str, dict[str, Callable[[Column], Column]]] = {
         "ugps": et_to_ugps,
         "gps": lambda c: _et_to_tai(c) + float(K.GPS_MINUS_J2000_S),
         "tai": lambda c: _et_to_tai(c) + float(K.GPS_MINUS_J2000_S - K.TAI_1958_MINUS_J2000_S),
-        "utc": lambda c: ugps_to_utc(et_to_ugps(c)),
-        "iso": lambda c: ugps_to_utc(et_to_ugps(c)),
+        "utc": lambda c: let(et_to_ugps(c), ugps_to_utc),
+        "iso": lambda c: let(et_to_ugps(c), ugps_to_utc),
     },
     "ugps": {"et": ugps_to_et, "dt64": ugps_to_dt64, "gpsd": ugps_to_gpsd},
     "gps": {"et": _seconds_to_et(K.GPS_MINUS_J2000_S)},
     "tai": {"et": _seconds_to_et(K.GPS_MINUS_J2000_S - K.TAI_1958_MINUS_J2000_S)},
-    "utc": {"et": lambda c: ugps_to_et(utc_to_ugps(c))},
-    "iso": {"et": lambda c: ugps_to_et(utc_to_ugps(c))},
+    "utc": {"et": lambda c: let(utc_to_ugps(c), ugps_to_et)},
+    "iso": {"et": lambda c: let(utc_to_ugps(c), ugps_to_et)},
     "dt64": {"ugps": dt64_to_ugps},
     "gpsd": {"ugps": gpsd_to_ugps} | {e: _days(e, -1) for e in K.EPOCH_DAYS if e not in ("gps", "tsis1")},
 } | {e: {"gpsd": _days(e, 1)} for e in K.EPOCH_DAYS if e not in ("gps", "tsis1")}
@@ -198,7 +201,8 @@ def adapt(column: Column, from_: str | None = None, to: str | None = None) -> Co
     """Convert between any two formats; one that is not given is ugps, but not both."""
     if from_ is None and to is None:
         raise ValueError("give from_ or to")
-    return reduce(lambda c, f: f(c), path(GRAPH, from_ or "ugps", to or "ugps"), column)
+    steps = path(GRAPH, from_ or "ugps", to or "ugps")
+    return reduce(let, steps[1:], steps[0](column)) if steps else column
 
 
 def time_grid(spark: SparkSession, start: int, stop: int, cadence: int) -> DataFrame:
