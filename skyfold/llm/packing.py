@@ -129,7 +129,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segments: int = 512, max_loss: int | None = None, end_id: int = 2, loss_from: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segments: int = 512, max_loss: int | None = None, end_id: int = 2, loss_from: str | None = None, with_ids: bool = True, cache_words: int = tokens.CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, ids.
 
     A document's ids are those of its whole text by the tokenizer, without special tokens, then end_id; null text
@@ -137,7 +137,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
     that bear no loss (null or no column: 0). A sequence never exceeds max_tokens, max_segments pieces, or max_loss
     loss-bearing tokens (null: max_tokens); it is shorter than max_tokens only where the other two limits are met,
     or as one of a task's last sequences, whose lengths are powers of two. sequence_id is unique; rows with equal
-    doc_id are packed each on its own; other columns are ignored. An empty table gives no rows.
+    doc_id are packed each on its own; other columns are ignored. An empty table gives no rows. A worker remembers
+    the ids of cache_words words at most (some 300 bytes each).
     """
     common.ship(docs.sparkSession)
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
     skip = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.word_tokenizer(tokenizer_path)
+        tokenizer = tokens.word_tokenizer(tokenizer_path, cache_words)
         packer = Packer(limits, TaskContext.get().partitionId() << 36, with_ids)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:

@@ -13,8 +13,8 @@ from itertools import compress
 
 import numpy as np
 
-#: Words in each of the two generations that one worker process remembers, and after how many idle seconds it forgets them.
-GENERATION, IDLE_SECONDS = 600_000, 4.0
+#: Words that one worker process remembers at most, in two generations, and after how many idle seconds it forgets them.
+CACHE_WORDS, IDLE_SECONDS = 2_400_000, 4.0
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
 
 
@@ -40,7 +40,8 @@ class WordTokenizer:
     of its pieces in order; and between ASCII letters and one final full stop or comma it always splits.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.generation = cache_words // 2
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -94,7 +95,7 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [_lower((t or "").encode()).replace(b"\n", b" ").split(b" ") for t in texts]
         with self.lock:
-            if len(self.known) > GENERATION:
+            if len(self.known) > self.generation:
                 self.known, self.old = {b"": b""}, self.known
             new = self._fetch(set().union(*split))
             edged = [w for w in new if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
@@ -119,5 +120,5 @@ def trim() -> None:
 
 
 @lru_cache(2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
+    return WordTokenizer(path, cache_words)
