@@ -17,12 +17,18 @@ from . import words
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that a Python worker gets at once: whole texts are large, and both sides hold a batch.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package also when the session was not started from the repository."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if REPO not in paths and REPO not in os.environ.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join([REPO, *paths])
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

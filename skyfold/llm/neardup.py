@@ -136,6 +136,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ],
                 names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
             )
+    words.release()
 
 
 def _sets_of(bits: np.ndarray):
@@ -151,6 +152,7 @@ def _sets_of(bits: np.ndarray):
                     [batch.column(0).slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
                     names=["id", "shingles"],
                 )
+        words.release()
 
     return run
 
@@ -169,6 +171,7 @@ def _fine_of(bits: np.ndarray):
                     odd = fold(minhashes(sets, edges[:-1][has], FINE_SAMPLES), FINE_BITS)
                     ends = pa.array(np.arange(len(has) + 1, dtype=np.int32) * (FINE_BITS // 64))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.ListArray.from_arrays(ends, pa.array(odd.ravel()))], names=["id", "sketch"])
+        words.release()
 
     return run
 
@@ -194,6 +197,7 @@ def _confirm(share: int):
                         out_a.append(a)
                         out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        words.release()
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, tokens, words
 
 #: Waiting pieces at which a task begins to fill bins, and with how many it stops.
 POOL, REST = 768, 256
@@ -160,5 +160,6 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
                     yield packer.batch()
         packer.finish()
         yield packer.batch()
+        words.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), skip.alias("skip")).mapInArrow(run, SCHEMA)

@@ -27,7 +27,7 @@ from . import common, words
 
 U = np.uint64
 #: Probes that one task gathers before it sends a packed array to each bucket.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 _SECOND = 0xD1342543DE82EF95
 _SECOND_INVERSE = pow(_SECOND, -1, 2**64)
 _FIRST_DOC = np.iinfo(np.int64).min
@@ -76,7 +76,7 @@ def _probe(buckets: int, block: int, window: int):
         for batch in batches:
             data, offsets = words.buffers(batch.column(1))
             keys = batch.column(0).to_numpy()
-            for i, j in words.chunks(offsets, 4 << 20, 4000):
+            for i, j in words.chunks(offsets, 1 << 20, 4000):
                 grams, owner, where, _, at = _anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], block, window)
                 if not len(grams):
                     continue
@@ -92,6 +92,8 @@ def _probe(buckets: int, block: int, window: int):
                     held, size = [], 0
         if held:
             yield flush()
+        held = []
+        words.release()
 
     return run
 
@@ -155,7 +157,7 @@ def _extend(buckets: int, block: int, window: int):
             data, offsets = words.buffers(texts["text"])
             keys, ids = texts["rk"].to_numpy(), texts["doc_id"].to_numpy()
             held = []
-            for i, j in words.chunks(offsets, 4 << 20, 4000):
+            for i, j in words.chunks(offsets, 1 << 20, 4000):
                 grams, owner, where, names, at = _anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], block, window)
                 if not len(grams):
                     continue
@@ -189,6 +191,7 @@ def _extend(buckets: int, block: int, window: int):
                     row = (int(b), key_[at_][new], id_[at_][new], np.diff(np.append(new, len(at_))).astype(np.uint32), one[at_], two[at_], start[at_])
                     for to, x in zip(out, row, strict=True):
                         to.append(x if isinstance(x, int) else x.tobytes())
+        words.release()
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "docs", "ids", "counts", "one", "two", "start"])
 
     return run
@@ -248,7 +251,10 @@ def _strip(schema: pa.Schema, window: int, always_join: bool):
             kept.append(b" ".join(own).decode() if cut or always_join else text)
             n_words.append(n)
             n_removed.append(cut)
-        return _rows(texts, kept, n_words, n_removed, schema)
+        out = _rows(texts, kept, n_words, n_removed, schema)
+        del kept, gone
+        words.release()
+        return out
 
     return run
 

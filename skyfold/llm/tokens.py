@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 import threading
@@ -13,6 +11,8 @@ from itertools import compress
 
 import numpy as np
 
+from . import words
+
 #: Words that one worker process remembers at most, in two generations, and after how many idle seconds it forgets them.
 CACHE_WORDS, IDLE_SECONDS = 2_400_000, 4.0
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
@@ -64,7 +64,7 @@ class WordTokenizer:
             if len(self.known) > 1 and time.monotonic() - self.used > IDLE_SECONDS and self.lock.acquire(blocking=False):
                 self.known, self.old = {b"": b""}, {}
                 self.lock.release()
-                trim()
+                words.release()
 
     def _fetch(self, words: set[bytes]) -> list[bytes]:
         """Move words from the old generation to the new one; return those in neither."""
@@ -107,16 +107,7 @@ class WordTokenizer:
                 self._learn(new)
             get = self.known.__getitem__
             self.used = time.monotonic()
-            return [b"".join(map(get, words)) for words in split]
-
-
-def trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
+            return [b"".join(map(get, own)) for own in split]
 
 
 @lru_cache(2)

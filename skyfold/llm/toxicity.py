@@ -204,5 +204,6 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             for i, j in words.chunks(offsets):
                 got = model.scores(*terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(got)], names=["rest", "score"])
+        words.release()
 
     return rest.mapInArrow(run, schema).select("rest.*", "score")

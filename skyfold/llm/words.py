@@ -6,6 +6,8 @@ modulo 2**64 over random byte values, finished by a bijective mix.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+try:  # arrays over 1 MB are mapped, so that their memory leaves a worker as soon as they are freed
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    _libc = None
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
