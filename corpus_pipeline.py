@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The executors' memory is also that of the stages before, so workers remember fewer words here.
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cache_words=800_000).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cache_words=200_000).drop("ids")
 
 
 STAGES = [

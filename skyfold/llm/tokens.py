@@ -6,7 +6,7 @@ import os
 import re
 import threading
 import time
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import compress
 
 import numpy as np
@@ -47,8 +47,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in texts they are ordinary text; between joined words they are not
+        self.path, self.joined = path, Tokenizer.from_file(path)
         self.joint = self.joined.token_to_id(_JOINT)
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer, self.letters.pre_tokenizer = None, WhitespaceSplit()
@@ -57,6 +56,15 @@ class WordTokenizer:
         self.lock, self.used = threading.Lock(), time.monotonic()
         threading.Thread(target=self._forget_when_idle, daemon=True).start()
 
+    @cached_property
+    def tokenizer(self):
+        """For the rare words that look like special tokens: in texts these are ordinary text, between joined words they are not."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _forget_when_idle(self) -> None:
         """The worker's memory goes back to the executor while other work runs there."""
         while True:
