@@ -15,7 +15,8 @@ def merge(windows: DataFrame, by: list[str]) -> DataFrame:
     """Windows of each key that overlap or touch become one: by, start, stop."""
     order = Window.partitionBy(*by).orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = windows.select(*by, "start", "stop", before.alias("_b")).withColumn("_i", F.sum(F.when(F.col("_b").isNull() | (F.col("start") > F.col("_b")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    longest = windows.groupBy(*by, "start").agg(F.max("stop").alias("stop"))  # also leaves no ties in the order
+    marked = longest.select(*by, "start", "stop", before.alias("_b")).withColumn("_i", F.sum(F.when(F.col("_b").isNull() | (F.col("start") > F.col("_b")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
 
 

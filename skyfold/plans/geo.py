@@ -197,15 +197,15 @@ def nearest_sample_within_tolerance(spark, sf_dir):
 PIXELS = "SELECT r_regionkey + 1 AS pixel, (r_regionkey - 2) * 0.3::DOUBLE AS look FROM region"
 
 
-@query(f"""WITH {ECEF.replace('FROM events', 'FROM events WHERE event_id % 5 = 0')}, px AS ({PIXELS}),
+@query(f"""WITH {ECEF}, px AS ({PIXELS}),
   ray AS (SELECT p.id, pixel, x * 1.066::DOUBLE AS px, y * 1.066::DOUBLE AS py, z * 1.066::DOUBLE AS pz, -x - look * 6000 AS vx, -y + look * 3000 AS vy, -z + look * look * 1000 AS vz FROM p CROSS JOIN px),
-  {RAY.split('ray)', 1)[0].split('s AS', 1)[0] and ''}{RAY[RAY.index('s AS (SELECT *'):]}
+  {RAY[RAY.index('s AS (SELECT *'):]}
   SELECT id AS ugps, pixel, CASE WHEN d >= 0 THEN {rs('degrees(atan2(py + d * vy, px + d * vx))', 5)} END AS lon,
   CASE WHEN d >= 0 THEN {rs(f'degrees(atan2((pz + d * vz) / {1 - E2!r}::DOUBLE, sqrt((px + d * vx) ** 2 + (py + d * vy) ** 2)))', 5)} END AS lat,
   CASE WHEN d >= 0 THEN 0 ELSE 512 END AS qf FROM d""")
 def geolocate_pixels(spark, sf_dir):
-    """Times x pixels -> ellipsoid, with quality flags; here each fifth time is a frame."""
-    frames = states(spark, sf_dir).where("id % 5 = 0").select("id", *Vec.columns("").times(1.066).named("p"), *Vec.columns("").named("c"))
+    """Times x pixels -> ellipsoid, with quality flags."""
+    frames = states(spark, sf_dir).select("id", *Vec.columns("").times(1.066).named("p"), *Vec.columns("").named("c"))
     px = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("pixel"), ((F.col("r_regionkey") - 2) * 0.3).alias("look"))
     all_ = ephemeris.pixel_states(frames, px)
     k = F.col("look")
@@ -236,11 +236,10 @@ def frame_rotations(spark, sf_dir):
 
 
 @query("""SELECT event_id AS id, CASE WHEN a + 0.5::DOUBLE <= 10 THEN 3 WHEN a >= 10.5::DOUBLE THEN 0 ELSE 1 END AS occultation,
-  CASE WHEN a <= 12 THEN 1 ELSE 0 END AS in_view FROM (SELECT event_id, (value * 0.1::DOUBLE) % 25.0::DOUBLE AS a FROM events) WHERE abs(a - 9.5) > 1e-6 AND abs(a - 10.5) > 1e-6 AND abs(a - 12) > 1e-6""")
+  CASE WHEN a <= 12 THEN 1 ELSE 0 END AS in_view FROM (SELECT event_id, (value * 0.1::DOUBLE) % 25.0::DOUBLE + 0.0003::DOUBLE AS a FROM events)""")
 def occultation_and_view(spark, sf_dir):
     """A near body of apparent radius 10 degrees before a far one of half a degree, at angles from values."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("value") * 0.1 % 25.0).alias("a"))
-    e = e.where("abs(a - 9.5) > 1e-6 and abs(a - 10.5) > 1e-6 and abs(a - 12) > 1e-6")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("value") * 0.1 % 25.0 + 0.0003).alias("a"))
     import math
 
     rad = F.radians("a")

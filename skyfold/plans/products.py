@@ -14,11 +14,11 @@ from .geo import ECEF, PIXELS, states
 from .registry import query, r, rs, table
 
 
-@query(f"""WITH {ECEF.replace('FROM events', 'FROM events WHERE event_id % 4 = 0')}, px AS ({PIXELS}), w AS (SELECT p.id, pixel, lon, lat, x / sqrt(x*x+y*y+z*z) AS ux, y / sqrt(x*x+y*y+z*z) AS uy, z / sqrt(x*x+y*y+z*z) AS uz FROM p, px)
+@query(f"""WITH {ECEF}, px AS ({PIXELS}), w AS (SELECT p.id, pixel, lon, lat, x / sqrt(x*x+y*y+z*z) AS ux, y / sqrt(x*x+y*y+z*z) AS uy, z / sqrt(x*x+y*y+z*z) AS uz FROM p, px)
   SELECT id AS ugps, pixel, CASE WHEN pixel <= 4 THEN {rs('lon', 4)} END AS lon, CASE WHEN pixel <= 4 THEN 0 ELSE 512 END AS qf FROM w""")
 def geolocate_product(spark, sf_dir):
     """Pixels that look down the radius (1 to 4, all the same) or away from it (5); the radius meets the surface at the same longitude."""
-    s = states(spark, sf_dir).where("id % 4 = 0")
+    s = states(spark, sf_dir)
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     u = [F.col(a) / n for a in "xyz"]
     frames = s.select(F.col("id").alias("ugps"), *Vec.columns("").times(1.1).named("p"), *[c.alias(f"r{k}") for k, c in enumerate([F.lit(0.0), F.lit(0.0), u[0], F.lit(0.0), F.lit(0.0), u[1], F.lit(0.0), F.lit(0.0), u[2]])], F.lit(1.5e8).alias("sun_x"), F.lit(0.0).alias("sun_y"), F.lit(1e7).alias("sun_z"))

@@ -114,10 +114,10 @@ def point_spread_centroid(spark, sf_dir):
     return got.select("image_id", r(F.col("a")).alias("centroid_row"), r(F.col("b")).alias("centroid_col"), r(F.col("c")).alias("peak"))
 
 
-@query("WITH p AS (SELECT p_partkey AS psf, (p_partkey * 0.618::DOUBLE) % 90.0::DOUBLE AS fa FROM part WHERE p_partkey < 40), q AS (SELECT s_suppkey AS id, (s_suppkey * 1.7::DOUBLE) % 90.0::DOUBLE AS a FROM supplier) SELECT id, psf FROM q, p QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(fa - a), psf) = 1")
+@query("WITH p AS (SELECT p_partkey AS psf, (p_partkey * 0.618::DOUBLE) % 90.0::DOUBLE AS fa FROM part), q AS (SELECT s_suppkey AS id, (s_suppkey * 1.7::DOUBLE) % 90.0::DOUBLE AS a FROM supplier) SELECT id, psf FROM q, p QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(fa - a), psf) = 1")
 def nearest_point_spread(spark, sf_dir):
     """The calibration table's entry of the nearest field angle, the first of equal ones; the table is small by nature."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("psf"), (F.col("p_partkey") * 0.618 % 90.0).alias("fa"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("psf"), (F.col("p_partkey") * 0.618 % 90.0).alias("fa"))
     q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 1.7 % 90.0).alias("a"))
     return q.crossJoin(p).groupBy("id").agg(F.min_by("psf", F.struct(F.abs(F.col("fa") - F.col("a")), "psf")).alias("psf"))
 
@@ -127,7 +127,7 @@ def image_match_search(spark, sf_dir):
     """Correlation search of a shifted image on a chip: 8 x 8 rasters on a grid of 0.02 degrees."""
     axis = [[float(i) * 0.02 for _ in range(8)] for i in range(8)]
     flip = [[float(j) * 0.02 for j in range(8)] for _ in range(8)]
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("pair_id"), F.col("embedding").cast("array<double>").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.col("embedding").cast("array<double>").alias("v"))
     grid = lambda rows: F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
     chip = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
     moved = lambda rows: F.transform(grid(rows), lambda row: F.transform(row, lambda x: x + 0.004))
@@ -138,7 +138,7 @@ def image_match_search(spark, sf_dir):
 @query()
 def terrain_correction(spark, sf_dir):
     """Ellipsoid points of slanted views, corrected for a rising ground."""
-    s = states(spark, sf_dir).where("abs(lat) < 60 and alt < 400")
+    s = states(spark, sf_dir)
     points = s.select("id", "lon", "lat", *[(F.col(c)).alias(c) for c in "xyz"], (F.col("x") * 1.1).alias("sx"), (F.col("y") * 1.1 + 200).alias("sy"), (F.col("z") * 1.1 + 100).alias("sz"))
     heights = np.fromfunction(lambda i, j: 1.0 + np.sin(i / 9.0) + np.cos(j / 7.0), (180, 360))
     return terrain.correct(points, heights, -180.0, 90.0, 1.0)

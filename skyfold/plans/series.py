@@ -73,15 +73,15 @@ def mean_step_and_monotonicity(spark, sf_dir):
 
 # --- intervals: a customer's orders to their shipments, in days -----------------------------------------------------
 
-DAYS = "w AS (SELECT o_custkey AS object_id, least(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 AS start, greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 AS stop, o_orderpriority AS kind, l_linenumber AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 AND (o_orderkey + l_linenumber) % 3 = 0)"
+DAYS = "w AS (SELECT o_custkey AS object_id, least(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 AS start, greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 AS stop, o_orderpriority AS kind, l_linenumber AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 DAYS = DAYS.replace("greatest(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 AS stop", "least(epoch_us(o_orderdate), epoch_us(l_shipdate)) // 86400000000 + 20 + (o_orderkey % 90) AS stop")
-MERGED = """i AS (SELECT *, sum(n) OVER (PARTITION BY object_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY object_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w)),
+MERGED = """i AS (SELECT *, sum(n) OVER (PARTITION BY object_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY object_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM (SELECT object_id, start, max(stop) AS stop FROM w GROUP BY object_id, start))),
 mg AS (SELECT object_id, min(start) AS start, max(stop) AS stop FROM i GROUP BY object_id, g)"""
 
 
 def windows(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).where("l_linenumber <= 2 and (o_orderkey + l_linenumber) % 3 = 0")
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     day = lambda c: F.floor(_us(c) / 86_400_000_000).cast("long")
     start = F.least(day("o_orderdate"), day("l_shipdate"))
     return j.select(F.col("o_custkey").alias("object_id"), start.alias("start"), (start + 20 + F.col("o_orderkey") % 90).alias("stop"), F.col("o_orderpriority").alias("kind"), F.col("l_linenumber").alias("line"))
@@ -92,10 +92,10 @@ def merge_windows(spark, sf_dir):
     return I.merge(windows(spark, sf_dir), ["object_id"])
 
 
-@query(f"WITH {DAYS}, a AS (SELECT * FROM w WHERE line = 1), b AS (SELECT * FROM w WHERE line = 2) SELECT a.object_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.object_id = b.object_id AND a.start <= b.stop AND b.start <= a.stop")
+@query(f"WITH {DAYS}, a AS (SELECT * FROM w WHERE line % 2 = 1), b AS (SELECT * FROM w WHERE line % 2 = 0) SELECT a.object_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.object_id = b.object_id AND a.start <= b.stop AND b.start <= a.stop")
 def intersect_windows(spark, sf_dir):
     w = windows(spark, sf_dir)
-    return I.intersect(w.where("line = 1").select("object_id", "start", "stop"), w.where("line = 2").select("object_id", "start", "stop"), ["object_id"])
+    return I.intersect(w.where("line % 2 = 1").select("object_id", "start", "stop"), w.where("line % 2 = 0").select("object_id", "start", "stop"), ["object_id"])
 
 
 @query(f"""WITH {DAYS}, {MERGED}, q AS (SELECT DISTINCT object_id, 9500 + object_id % 50 AS q0, 10200 AS q1 FROM w UNION SELECT -1, 9500, 10200),
@@ -119,7 +119,7 @@ def kernels(spark, sf_dir):
     return s.select(F.concat(F.lit("k"), (k % 13).cast("string")).alias("file"), kind.alias("ktype"), (F.col("s_nationkey") % 7).alias("object_id"), (k * 37 % 500).alias("start"), (k * 37 % 500 + 60 + k % 80).alias("stop"))
 
 
-_OBJECT_MERGE = MERGED.replace("FROM w)", "FROM cat WHERE ktype <> 'TEXT')")
+_OBJECT_MERGE = MERGED.replace("FROM w GROUP", "FROM cat WHERE ktype <> 'TEXT' GROUP")
 
 
 @query(f"WITH {KERNELS} SELECT file, object_id, min(start) AS start, max(stop) AS stop FROM cat GROUP BY ALL")

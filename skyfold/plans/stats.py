@@ -132,11 +132,11 @@ def random_parameter_sets(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT unnest(range(27)) AS param_idx) SELECT event_id, param_idx, epoch_us(ts) + CASE param_idx % 3 WHEN 0 THEN -3000 WHEN 1 THEN 1000 ELSE 5000 END AS ugps,
-  round(value + radians(CASE (param_idx // 3) % 3 WHEN 0 THEN -30 WHEN 1 THEN 15 ELSE 60 END / 3600.0::DOUBLE), 9) AS value FROM events, s WHERE event_id % 50 = 0""")
+  round(value + radians(CASE (param_idx // 3) % 3 WHEN 0 THEN -30 WHEN 1 THEN 15 ELSE 60 END / 3600.0::DOUBLE), 9) AS value FROM events, s""")
 def apply_offsets(spark, sf_dir):
     """Every set applied to telemetry: an angle added, times shifted."""
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0").select("event_id", us.alias("ugps"), "value")
+    e = table(spark, sf_dir, "events").select("event_id", us.alias("ugps"), "value")
     all_ = W.expand(W.parameter_sets(spark, SWEEP), e)
     got = W.apply_offset(W.apply_offset(all_, SWEEP.parameters[1], F.col("az")), SWEEP.parameters[2], F.col("clock"))
     return got.select("event_id", "param_idx", "ugps", F.round("value", 9).alias("value"))

@@ -89,10 +89,10 @@ def utc_strings(spark, sf_dir):
     return s.withColumn("ugps", T.utc_to_ugps(F.col("utc")))
 
 
-@query("SELECT 504489610000000 + event_id * 250 AS ugps, CASE WHEN event_id * 250 < 0 THEN '' ELSE CASE WHEN event_id * 250 >= 1000000 THEN '1996-01-01 00:00:0' || ((event_id * 250 - 1000000) // 1000000)::VARCHAR || '.' || lpad(((event_id * 250) % 1000000)::VARCHAR, 6, '0') ELSE '1995-12-31 23:59:60.' || lpad(((event_id * 250) % 1000000)::VARCHAR, 6, '0') END END AS utc FROM events WHERE event_id < 8000")
+@query("SELECT 504489610000000 + u AS ugps, CASE WHEN u >= 1000000 THEN '1996-01-01 00:00:00.' ELSE '1995-12-31 23:59:60.' END || lpad((u % 1000000)::VARCHAR, 6, '0') AS utc FROM (SELECT (event_id % 8000) * 250 AS u FROM events)")
 def utc_leap_second_strings(spark, sf_dir):
     """Second 60 appears within a leap second, and is understood."""
-    e = table(spark, sf_dir, "events").where("event_id < 8000").select((F.lit(504489610000000) + F.col("event_id") * 250).alias("ugps"))
+    e = table(spark, sf_dir, "events").select((F.lit(504489610000000) + F.col("event_id") % 8000 * 250).alias("ugps"))
     s = e.select(T.ugps_to_utc(F.col("ugps")).alias("utc"))
     return s.select(T.utc_to_ugps(F.col("utc")).alias("ugps"), "utc")
 
