@@ -3,7 +3,8 @@
 Vectors of one label are put into their three nearest cluster shards (centroids from a bounded sample). In each shard
 every vector's neighbours are pruned robustly to at most 32; the lists of a vector from its shards are united, and edges lead both ways. A search
 then runs for every vector in each of its shards: greedily from the shard's medoid with a beam, and from there on over
-everything in range. Links found are verified by cosine in double precision. Equal vectors are one node with a weight.
+everything in range. A vector with more vectors in range than it may have neighbours is crowded: its edges can all lead
+into its own dense group, so no search is sure to leave it, and it is compared with its whole shard instead. Links found are verified by cosine in double precision. Equal vectors are one node with a weight.
 """
 
 from __future__ import annotations
@@ -43,17 +44,19 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def prune(u: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Robustly pruned out-neighbours of every unit row, from its nearest rows; a block of rows at a time."""
+def prune(u: np.ndarray, least: float, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> tuple[list[np.ndarray], np.ndarray]:
+    """Robustly pruned out-neighbours of every unit row, from its nearest rows, and which rows are crowded (more than degree in range); a block of rows at a time."""
     n = len(u)
     k = min(pool, n - 1)
+    crowded = np.zeros(n, bool)
     if k < 1:
-        return [np.zeros(0, np.int64)] * n
+        return [np.zeros(0, np.int64)] * n, crowded
     lists: list[np.ndarray] = []
     for b in range(0, n, QUERIES):
         mine = np.arange(b, min(n, b + QUERIES))
         own = u[mine] @ u.T
         own[mine - b, mine] = -2
+        crowded[mine] = (own >= least).sum(1) > degree
         near = np.argpartition(-own, k - 1, 1)[:, :k]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(own, near, 1), 1, kind="stable"), 1)
         far = 1 - np.take_along_axis(own, near, 1)
@@ -69,7 +72,7 @@ def prune(u: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float =
             alive[rows, pick] = False
             alive &= ~(some[:, None] & (alpha * between[rows, pick] <= far))
         lists += [x[x >= 0] for x in out]
-    return lists
+    return lists, crowded
 
 
 def search(vectors: np.ndarray, near: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
@@ -160,12 +163,15 @@ def _deal(centres: dict):
     return run
 
 
-def _build(key, table):
-    """Pruned neighbours of one shard's nodes."""
-    nodes = table["node"].to_numpy()
-    u = unit(_matrix(table["embedding"])).astype(np.float32)
-    lists = prune(u)
-    return pa.table({"node": nodes, "near": pa.array([nodes[x] for x in lists], pa.list_(pa.int64()))})
+def _build(least: float):
+    def run(key, table):
+        """Pruned neighbours of one shard's nodes, and whether they are crowded there."""
+        nodes = table["node"].to_numpy()
+        u = unit(_matrix(table["embedding"])).astype(np.float32)
+        lists, crowded = prune(u, least - 1e-4)
+        return pa.table({"node": nodes, "near": pa.array([nodes[x] for x in lists], pa.list_(pa.int64())), "crowded": crowded})
+
+    return run
 
 
 def _links(least: float):
@@ -174,7 +180,7 @@ def _links(least: float):
         nodes, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), key[0].as_py()
         order = np.argsort(nodes)
         u64 = unit(_matrix(table["embedding"]))[order]
-        nodes, weight = nodes[order], weight[order]
+        nodes, weight, crowded = nodes[order], weight[order], table["crowded"].to_numpy()[order]
         homes = table["homes"].to_pylist()
         homes = [homes[i] for i in order]
         n, u = len(nodes), u64.astype(np.float32)
@@ -198,7 +204,11 @@ def _links(least: float):
         count, a, b = np.zeros(n, np.int64), [], []
         for k in range(0, n, QUERIES):
             some = np.arange(k, min(n, k + QUERIES))
-            x, y = np.nonzero(search(u, near, edges, medoid, some, least - 1e-4))
+            found, full = np.zeros((len(some), n), bool), crowded[some]
+            found[full] = u[some[full]] @ u.T >= least - 1e-4
+            if not full.all():
+                found[~full] = search(u, near, edges, medoid, some[~full], least - 1e-4)
+            x, y = np.nonzero(found)
             x = x + k
             keep = x != y
             x, y = x[keep], y[keep]
@@ -250,8 +260,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         centres[key] = (base, c)
         base += len(c)
     dealt = common.cut(classes_.mapInArrow(_deal(centres), "node long, embedding array<float>, weight long, shard int, homes array<int>"))
-    lists = dealt.select("shard", "node", "embedding").groupBy("shard").applyInArrow(_build, "node long, near array<long>")
-    lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"))  # at most OVERLAP lists of DEGREE
+    lists = dealt.select("shard", "node", "embedding").groupBy("shard").applyInArrow(_build(least), "node long, near array<long>, crowded boolean")
+    lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"), F.max("crowded").alias("crowded"))  # at most OVERLAP lists of DEGREE
     found = common.cut(dealt.join(lists, "node").groupBy("shard").applyInArrow(_links(least), "a long, b long, n long"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     comps = common.components(found.where("b is not null").select("a", "b"))

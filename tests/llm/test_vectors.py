@@ -67,3 +67,15 @@ def test_a_large_group_of_copies(spark):
     rows = [(i, base.tolist(), 0) for i in range(2000)] + [(3000 + i, (base + 0.05 * rng.normal(size=16)).tolist(), 0) for i in range(300)] + [(5000 + i, rng.normal(size=16).tolist(), 0) for i in range(1000)]
     got, want = run(spark, rows), brute(rows)
     assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values()) and all(got[k][0] <= want[k][0] for k in got)
+
+
+def test_dense_groups_in_range_of_each_other(spark):
+    """Groups of more than an edge list (120) and than the pool of candidates, jittered, at cosine 0.95; the medoid lies elsewhere."""
+    rng = np.random.default_rng(4)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    groups = [np.sqrt(0.95) * axes[0] + np.sqrt(0.05) * axes[i] for i in (1, 2, 3)] + [np.sqrt(0.95) * axes[10] + np.sqrt(0.05) * axes[i] for i in (11, 12)]
+    rows = [c + 0.004 * rng.normal(size=64) for c, n in zip(groups, (120, 120, 130, 50, 50)) for _ in range(n)]
+    rows += [axes[20] + 0.06 * rng.normal(size=64) for _ in range(700)] + list(rng.normal(size=(300, 64)))
+    rows = [(i, e.tolist(), 0) for i, e in enumerate(rows)]
+    got, want = run(spark, rows), brute(rows)
+    assert got == want, (sum(g[0] for g in got.values()), sum(w[0] for w in want.values()))
