@@ -176,13 +176,16 @@ def _build(least: float):
 
 def _links(least: float):
     def run(key, table):
-        """Of one shard: for each node the weight of its links whose first common shard this is, and a forest of the links."""
+        """Of one shard: a forest of the links (a, b, 0), and the links' weights, of both ends.
+
+        Links with a crowded end are found in every common shard; the first one sums up their weights (a, null, n).
+        Of others any common shard may find one: they are rows (a, b, weight of b), at most DEGREE of a node, that tally() counts once.
+        """
         nodes, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), key[0].as_py()
         order = np.argsort(nodes)
         u64 = unit(_matrix(table["embedding"]))[order]
         nodes, weight, crowded = nodes[order], weight[order], table["crowded"].to_numpy()[order]
-        homes = table["homes"].to_pylist()
-        homes = [homes[i] for i in order]
+        homes = np.array(table["homes"].to_pylist())[order]
         n, u = len(nodes), u64.astype(np.float32)
         out = [np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in lists)]) for lists in table["lists"].to_pylist()]
         x, y = np.repeat(np.arange(n), [len(out[i]) for i in order]), np.concatenate([out[i] for i in order])
@@ -192,7 +195,6 @@ def _links(least: float):
         pairs = np.unique(np.concatenate([x * n + at, at * n + x]))  # both ways: else a hub would lead nowhere
         near, edges = pairs % n, np.searchsorted(pairs // n, np.arange(n + 1))
         medoid = int(np.argmax(u @ u.sum(0)))
-        before = [np.array([h < own for h in x]).any() for x in homes]
         parent = np.arange(n)
 
         def root(i: int) -> int:
@@ -201,7 +203,7 @@ def _links(least: float):
                 i = parent[i]
             return i
 
-        count, a, b = np.zeros(n, np.int64), [], []
+        count, a, b, pairs = np.zeros(n, np.int64), [], [], []
         for k in range(0, n, QUERIES):
             some = np.arange(k, min(n, k + QUERIES))
             found, full = np.zeros((len(some), n), bool), crowded[some]
@@ -215,19 +217,41 @@ def _links(least: float):
             good = np.concatenate([np.einsum("ij,ij->i", u64[x[s : s + 65536]], u64[y[s : s + 65536]]) >= least for s in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
             x, y = x[good], y[good]
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                if not (before[i] and before[j] and min(set(homes[i]) & set(homes[j])) < own):
-                    count[i] += weight[j]
                 r, s = root(i), root(j)
                 if r != s:
                     parent[max(r, s)] = min(r, s)
                     a.append(int(nodes[i]))
                     b.append(int(nodes[j]))
+            few = ~crowded[x] & ~crowded[y]
+            pairs.append(np.minimum(x, y)[few] * n + np.maximum(x, y)[few])
+            x, y = x[crowded[x]], y[crowded[x]]
+            for s in range(0, len(x), 65536):
+                i, j = x[s : s + 65536], y[s : s + 65536]
+                first = ~((homes[i][:, :, None] == homes[j][:, None, :]) & (homes[i] < own)[:, :, None]).any((1, 2))
+                i, j = i[first], j[first]
+                np.add.at(count, i, weight[j])
+                alone = ~crowded[j]
+                np.add.at(count, j[alone], weight[i[alone]])
         some = np.flatnonzero(count)
-        return pa.table({"a": pa.array([*nodes[some].tolist(), *a], pa.int64()), "b": pa.array([None] * len(some) + b, pa.int64()), "n": pa.array([*count[some].tolist(), *[0] * len(a)], pa.int64())})
+        x, y = np.divmod(np.unique(np.concatenate(pairs)), n)
+        x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        return pa.table(
+            {
+                "a": pa.array([*nodes[some].tolist(), *a, *nodes[x].tolist()], pa.int64()),
+                "b": pa.array([*[None] * len(some), *b, *nodes[y].tolist()], pa.int64()),
+                "n": pa.array([*count[some].tolist(), *[0] * len(a), *weight[y].tolist()], pa.int64()),
+            }
+        )
 
     return run
 
 
+def tally(found: DataFrame) -> DataFrame:
+    """(a, n): the weight of every node's links, a link once however many shards found it."""
+    once = found.where("b is not null and n > 0").dropDuplicates(["a", "b"])
+    return found.where("b is null").unionByName(once).groupBy("a").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
@@ -263,8 +287,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     lists = dealt.select("shard", "node", "embedding").groupBy("shard").applyInArrow(_build(least), "node long, near array<long>, crowded boolean")
     lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"), F.max("crowded").alias("crowded"))  # at most OVERLAP lists of DEGREE
     found = common.cut(dealt.join(lists, "node").groupBy("shard").applyInArrow(_links(least), "a long, b long, n long"))
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    comps = common.components(found.where("b is not null").select("a", "b"))
+    counts = tally(found)
+    comps = common.components(found.where("b is not null and n = 0").select("a", "b"))
     known = classes.select("node", "weight", "h", "g").join(counts, F.col("node") == F.col("a"), "left").join(comps, F.col("node") == F.col("id"), "left")
     known = known.select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("comp"))
     out = rows.select("vec_id", "h", "g").join(known, ["h", "g"], "left")

@@ -79,3 +79,21 @@ def test_dense_groups_in_range_of_each_other(spark):
     rows = [(i, e.tolist(), 0) for i, e in enumerate(rows)]
     got, want = run(spark, rows), brute(rows)
     assert got == want, (sum(g[0] for g in got.values()), sum(w[0] for w in want.values()))
+
+
+def test_links_count_for_both_ends_and_once(spark):
+    """A link that one end's search meets, or that only a later common shard meets, or that both shards meet."""
+    import pyarrow as pa
+
+    e = {1: [1.0, 0.0, 0.0], 2: [1.0, 0.2, 0.0], 3: [1.0, 0.1, 0.1], 4: [0.0, 0.0, 1.0], 5: [1.0, -0.1, 0.1]}
+    homes = {1: [0, 1], 2: [0, 1], 3: [1, 2], 4: [0, 2], 5: [1, 2]}
+    near = {1: [3], 2: [3], 3: [1, 2], 4: [], 5: []}  # in shard 0 no edge joins 1 and 2; nothing leads to 5
+    tables = []
+    for shard in (0, 1):
+        mine = [k for k in e if shard in homes[k]]
+        table = pa.table({"node": mine, "embedding": pa.array([e[k] for k in mine], pa.list_(pa.float32())), "weight": [10 * k for k in mine], "homes": pa.array([homes[k] for k in mine], pa.list_(pa.int32())), "lists": [[near[k]] for k in mine], "crowded": [False] * len(mine)})
+        tables.append(vectors._links(0.93)((pa.scalar(shard),), table))
+    rows = pa.concat_tables(tables).to_pylist()
+    found = spark.createDataFrame([(r["a"], r["b"], r["n"]) for r in rows], "a long, b long, n long")
+    got = {r.a: r.n for r in vectors.tally(found).collect()}
+    assert got == {1: 100, 2: 90, 3: 80, 5: 60}, got
