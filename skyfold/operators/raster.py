@@ -70,6 +70,39 @@ class Search:
         return out
 
 
+def _weights(axis: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Weights of an axis' points in sample_bilinear() at each position, zero outside."""
+    if not ascending(axis):
+        return _weights(axis[::-1], at)[..., ::-1]
+    i = np.clip(np.searchsorted(axis, at, "right") - 1, 0, len(axis) - 2)
+    u = (at - axis[i]) / (axis[i + 1] - axis[i])
+    inside, out = (u >= 0) & (u <= 1), np.zeros((*at.shape, len(axis)))
+    np.put_along_axis(out, i[..., None], (inside * (1 - u))[..., None], -1)
+    np.put_along_axis(out, i[..., None] + 1, (inside * u)[..., None], -1)
+    return out
+
+
+def _candidates(values: np.ndarray, data: np.ndarray, by_row: np.ndarray, by_col: np.ndarray) -> np.ndarray:
+    """The shifts (k, m), in order, among which the first best correlation is for certain; all of them at once by matrix products.
+
+    by_row[k] and by_col[m] are weights of an image whose latitude depends on the row only, and its longitude on the column.
+    """
+    da, n, k, m = values - values.mean(), values.size, len(by_row), len(by_col)
+    a = by_row @ data
+    mean = a.sum(1) @ by_col.sum(1).T / n
+    square = (a.transpose(0, 2, 1) @ a).reshape(k, -1) @ (by_col.transpose(0, 2, 1) @ by_col).reshape(m, -1).T
+    cov = (da.T @ a).reshape(k, -1) @ by_col.reshape(m, -1).T - mean * da.sum()
+    spread, own = square - n * mean * mean, float((da * da).sum())
+    zero = (square == 0) | (own == 0)  # correlation() is exactly 0
+    with np.errstate(all="ignore"):
+        c = np.where(zero, 0.0, np.where(spread > 1e-4 * square, cov / np.sqrt(spread * own), np.nan))
+    unsure = np.isnan(c)
+    some = unsure | (c >= (np.nan if unsure.all() else np.nanmax(c)) - 1e-9)
+    zeros = np.flatnonzero(some & zero)
+    some.ravel()[zeros[1:]] = False
+    return np.argwhere(some)
+
+
 def search_shift(gcp: tuple[np.ndarray, np.ndarray, np.ndarray], image: tuple[np.ndarray, np.ndarray, np.ndarray], how: Search = Search()) -> tuple[float, float, float, int, int]:
     """(lat shift, lon shift in degrees, correlation, row and column of the last best shift) of an image on a chip.
 
@@ -82,15 +115,18 @@ def search_shift(gcp: tuple[np.ndarray, np.ndarray, np.ndarray], image: tuple[np
     best = (0.0, 0.0, -np.inf, 0, 0)
     mid = how.steps // 2
     centre = (0.0, 0.0)
+    every = [(k, m) for k in range(how.steps) for m in range(how.steps)]
+    even = max(*data.shape, *values.shape) <= 128 and min(data.shape) > 1 and data.shape == (len(rows), len(cols)) and values.shape == lats.shape == lons.shape and (lats == lats[:, :1]).all() and (lons == lons[:1]).all()
     for spacing in how.rounds():
         step = spacing / KM_PER_DEG
         top = (-np.inf, 0, 0)
-        for k in range(how.steps):
-            for m in range(how.steps):
-                moved = sample_bilinear(data, rows, cols, lats + centre[0] + (k - mid) * step, lons + centre[1] + (m - mid) * step)
-                c = correlation(values, moved)
-                if c > top[0]:
-                    top = (c, k, m)
+        shifts = (np.arange(how.steps) - mid) * step
+        tried = _candidates(values, data, _weights(rows, lats[:, 0] + centre[0] + shifts[:, None]), _weights(cols, lons[0] + centre[1] + shifts[:, None])).tolist() if even else every
+        for k, m in tried:
+            moved = sample_bilinear(data, rows, cols, lats + centre[0] + (k - mid) * step, lons + centre[1] + (m - mid) * step)
+            c = correlation(values, moved)
+            if c > top[0]:
+                top = (c, k, m)
         centre = (centre[0] + (top[1] - mid) * step, centre[1] + (top[2] - mid) * step)
         best = (*centre, top[0], top[1], top[2])
     return best

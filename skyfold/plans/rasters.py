@@ -132,7 +132,7 @@ def image_match_search(spark, sf_dir):
     chip = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
     moved = lambda rows: F.transform(grid(rows), lambda row: F.transform(row, lambda x: x + 0.004))
     pairs = e.select("pair_id", chip.alias("gcp_data"), grid(axis).alias("gcp_lat"), grid(flip).alias("gcp_lon"), chip.alias("img_data"), moved(axis).alias("img_lat"), moved(flip).alias("img_lon"))
-    return R.match_images(pairs, R.Search(steps=12, last_spacing_km=0.3))
+    return R.match_images(pairs)
 
 
 @query()

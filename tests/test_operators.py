@@ -160,6 +160,24 @@ def test_image_match_recovers_shifts():
         raster.ascending(np.array([0.0, 1.0, 1.0]))
 
 
+def test_image_match_search_tries_all_shifts(spark):
+    """The query's first pairs, against every shift of 44 x 44 in 16 rounds down to 10 m, one at a time."""
+    from skyfold.plans.rasters import image_match_search
+
+    e = {r.vec_id: np.array(r.embedding, float).reshape(8, 8) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").limit(2).collect()}
+    got = {r.pair_id: r for r in image_match_search(spark, "/root/testdata/sf0.001").where(F.col("pair_id").isin(list(e))).collect()}
+    axis = np.arange(8) * 0.02
+    lat, lon = np.meshgrid(axis + 0.004, axis + 0.004, indexing="ij")
+    for i, data in e.items():
+        centre, spacing = (0.0, 0.0), 11.0 / 43
+        for _ in range(16):
+            step = spacing / 111.0
+            tried = [(raster.correlation(data, raster.sample_bilinear(data, axis, axis, lat + centre[0] + k * step, lon + centre[1] + m * step)), -k, -m) for k in range(-22, 22) for m in range(-22, 22)]
+            ccv, k, m = max(tried)
+            centre, spacing = (centre[0] - k * step, centre[1] - m * step), spacing * 0.8
+        assert (got[i].lat_shift_deg, got[i].lon_shift_deg, got[i].ccv) == pytest.approx((*centre, ccv), abs=1e-9)
+
+
 def test_raster_kernels():
     rng = np.random.default_rng(1)
     image, kernel = rng.random((9, 7)), rng.random((3, 5))
