@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from skyfold.functions.vec import NAN, safe_div
@@ -281,13 +282,29 @@ def bilinear_in_quad(px: Column, py: Column, x: list[Column], y: list[Column], v
     return F.when(F.abs(d) < 1e-18, (v[0] + v[1] + v[2] + v[3]) / 4).otherwise(out)
 
 
-def regrid(cells: DataFrame, grid: DataFrame, cell_deg: float, key: str = "image_id", fill: float = NAN, method: str = "bilinear") -> DataFrame:
+def _nearest_centre(points: pa.Table, quads: pa.Table) -> pa.Table:
+    """Of one image: the points with (i, j) of the quadrilateral of the nearest centre, the first of equal ones; blocks of points at a time."""
+    quads = quads.sort_by([("i", "ascending"), ("j", "ascending")])
+    x, y = quads["x"].to_numpy(), quads["y"].to_numpy()
+    lon, lat = points["lon"].to_numpy(), points["lat"].to_numpy()
+    some = max(1, 1_000_000 // max(1, len(x)))
+    blocks = [np.argmin((lon[k : k + some, None] - x) ** 2 + (lat[k : k + some, None] - y) ** 2, 1) for k in range(0, len(lon), some)] if len(x) else []
+    at = np.concatenate([np.zeros(0, np.int64), *blocks])
+    points = points.slice(0, len(at))
+    return points.append_column("i", quads["i"].take(pa.array(at))).append_column("j", quads["j"].take(pa.array(at)))
+
+
+def regrid(cells: DataFrame, grid: DataFrame, cell_deg: float, key: str = "image_id", fill: float = NAN, method: str = "bilinear", snap_over: int = 2500) -> DataFrame:
     """Irregular rasters onto regular points: key, gi, gj, lon, lat, value; fill where no quadrilateral holds the point.
 
+    In images of more than snap_over cells such a point has the value of the quadrilateral of the nearest centre, carried on
+    beyond it (as in the reference, which searches by centres in images of more than 2,500 points only). One image's centres and points without
+    a quadrilateral must fit in one task.
+
     cells: key, row, col, lon, lat, value; grid: key, gi, gj, lon, lat. Quadrilaterals are dealt to square buckets of
     cell_deg; of several that hold a point the first (by row, column) counts. nearest takes the nearest corner's value.
     """
-    q = quad_corners(cells, key)
+    quads = q = quad_corners(cells, key)
     x, y, v = ([F.col(f"{n}{k}") for k in range(4)] for n in "xyv")
     seq = lambda c: F.sequence(F.floor(F.least(*c) / cell_deg).cast("long"), F.floor(F.greatest(*c) / cell_deg).cast("long"))
     q = q.withColumn("_bx", F.explode(seq(x))).withColumn("_by", F.explode(seq(y))).withColumnRenamed(key, "_k")
@@ -302,6 +319,14 @@ def regrid(cells: DataFrame, grid: DataFrame, cell_deg: float, key: str = "image
         value = bilinear_in_quad(px, py, x, y, v)
     hit = g.join(q, (g["_bx"] == q["_bx"]) & (g["_by"] == q["_by"]) & (F.col(key) == F.col("_k"))).where(holds)
     first = hit.groupBy(key, "gi", "gj").agg(F.min_by(value, F.struct("i", "j")).alias("value"))
+    big = cells.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > snap_over).select(key)
+    placed = lambda a, b: a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    lost = grid.select(key, "gi", "gj", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).where(placed(px, py)).join(first, [key, "gi", "gj"], "left_anti").join(big, key, "left_semi")
+    centres = quads.select(key, "i", "j", ((x[0] + x[1] + x[2] + x[3]) / 4).cast("double").alias("x"), ((y[0] + y[1] + y[2] + y[3]) / 4).cast("double").alias("y"))
+    centres = centres.where(placed(F.col("x"), F.col("y"))).join(big, key, "left_semi")
+    out = StructType([*lost.schema.fields, centres.schema["i"], centres.schema["j"]])
+    near = lost.groupBy(key).cogroup(centres.groupBy(key)).applyInArrow(_nearest_centre, out)
+    first = first.unionByName(near.join(quads, [key, "i", "j"]).select(key, "gi", "gj", value.alias("value")))
     return grid.join(first, [key, "gi", "gj"], "left").select(key, "gi", "gj", "lon", "lat", F.coalesce("value", F.lit(fill)).alias("value"))
 
 

@@ -178,6 +178,19 @@ def test_image_match_search_tries_all_shifts(spark):
         assert (got[i].lat_shift_deg, got[i].lon_shift_deg, got[i].ccv) == pytest.approx((*centre, ccv), abs=1e-9)
 
 
+def test_regrid_snaps_to_the_nearest_cell_of_large_images(spark):
+    """A plane on 60 x 60 skewed points is carried on beyond them; 8 x 8 points (image 2) give the fill there."""
+    rows = [(image, i, j, j + 0.03 * i, i + 0.05 * j) for image, n in ((1, 60), (2, 8)) for i in range(n) for j in range(n)]
+    cells = spark.createDataFrame([(*r, 2 * r[3] + 3 * r[4]) for r in rows], "image_id long, row int, col int, lon double, lat double, value double")
+    points = [(0, 0, 10.2, 10.1), (0, 1, -0.2, 5.3), (1, 0, 30.0, -0.7), (1, 1, 70.0, 70.0), (2, 0, float("nan"), 1.0)]
+    grid = spark.createDataFrame([(image, *p) for image in (1, 2) for p in points], "image_id long, gi int, gj int, lon double, lat double")
+    got = {(r.image_id, r.gi, r.gj): r.value for r in raster.regrid(cells, grid, 1.0).collect()}
+    assert len(got) == 10 and all(got[1, gi, gj] == pytest.approx(2 * lon + 3 * lat) for gi, gj, lon, lat in points[:4])
+    assert math.isnan(got[1, 2, 0]) and all(math.isnan(got[2, gi, gj]) for gi, gj, *_ in points)
+    near = {(r.gi, r.gj): r.value for r in raster.regrid(cells, grid, 1.0, method="nearest").where("image_id = 1").collect()}
+    assert near[1, 1] == pytest.approx(2 * (59 + 0.03 * 59) + 3 * (59 + 0.05 * 59))
+
+
 def test_raster_kernels():
     rng = np.random.default_rng(1)
     image, kernel = rng.random((9, 7)), rng.random((3, 5))
