@@ -1,7 +1,8 @@
-"""Shared plumbing: durable cut points, bounded Bloom filters, components of a link graph."""
+"""Shared plumbing: durable cut points, Bloom filters of checked size, components of a link graph."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,55 +45,81 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Cut points of this driver that were not dropped yet.
+_held: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    Operators drop() what their result does not read. The rest is needed until the result is read; clear() deletes
+    it, at the latest when the driver's interpreter ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _held[path] = spark
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a cut point that nothing reads any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete cut points that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path in _held:
+            _delete(_held.pop(path), path)
+
+
+def clear() -> None:
+    """Delete all cut points that are left. Results of operators that were not read before can't be read after."""
+    while _held:
+        path, spark = _held.popitem()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, path)
+
+
+atexit.register(clear)
 
 
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Fixed size of every Bloom filter here (2 MB). It does not grow with the input: a fuller filter lets more
-#: rows through to the exact join that always follows, and never loses one.
-BLOOM_BITS = 1 << 24
+#: Sizes of a Bloom filter, in bits: 8 a key, between these (8 KB and 8 MB). Beyond the larger, keys are joined instead.
+BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 26
 
 
 _PIECE = 256
 
 
-def _bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits_of(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     k = keys.view(np.uint64)
-    return tuple((words.mix(k ^ np.uint64(salt)) >> np.uint64(40)).astype(np.int64) % BLOOM_BITS for salt in (0x51ED270B, 0xA24BAED4))
+    return tuple((words.mix(k ^ np.uint64(salt)) >> np.uint64(36)).astype(np.int64) % size for salt in (0x51ED270B, 0xA24BAED4))
+
 
+def _set_bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for column in batch.columns:
+                keys = np.ascontiguousarray((column.flatten() if pa.types.is_list(column.type) else column).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+                if len(keys):
+                    held = np.zeros(size, bool) if held is None else held
+                    for b in _bits_of(keys, size):
+                        held[b] = True
+        if held is not None:
+            rows = np.packbits(held, bitorder="little").reshape(-1, _PIECE)
+            some = np.flatnonzero(rows.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
 
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
-    for batch in batches:
-        for column in batch.columns:
-            keys = np.ascontiguousarray((column.flatten() if pa.types.is_list(column.type) else column).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-            if len(keys):
-                held = np.zeros(BLOOM_BITS, bool) if held is None else held
-                for b in _bits_of(keys):
-                    held[b] = True
-    if held is not None:
-        rows = np.packbits(held, bitorder="little").reshape(-1, _PIECE)
-        some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
+    return run
 
 
 def _union(key, table):
@@ -99,10 +127,18 @@ def _union(key, table):
     return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(rows, 0).tobytes()], pa.binary())})
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of all columns (longs, or arrays of longs): each task sends its bits once, the driver gets BLOOM_BITS."""
-    rows = keys.mapInArrow(_set_bits, "piece int, bits binary").groupBy("piece").applyInArrow(_union, "piece int, bits binary").collect()
-    out = np.zeros((BLOOM_BITS // 8 // _PIECE, _PIECE), np.uint8)
+def bloom(keys: DataFrame) -> np.ndarray | None:
+    """Bloom filter of all columns (longs, or arrays of longs); None where more than BLOOM_MOST bits would be needed.
+
+    keys is a cut point or cheap to read: it is counted first. Each task sends its bits once.
+    """
+    each = [F.size(c) if t.startswith("array") else F.lit(1) for c, t in keys.dtypes]
+    n = keys.agg(F.coalesce(F.sum(sum((x.cast("long") for x in each[1:]), each[0].cast("long"))), F.lit(0))).first()[0]
+    size = max(BLOOM_LEAST, 1 << int(8 * n).bit_length())
+    if size > BLOOM_MOST:
+        return None
+    rows = keys.mapInArrow(_set_bits(size), "piece int, bits binary").groupBy("piece").applyInArrow(_union, "piece int, bits binary").collect()
+    out = np.zeros((size // 8 // _PIECE, _PIECE), np.uint8)
     for piece, bits in rows:
         out[piece] = np.frombuffer(bits, np.uint8)
     return out.ravel().view(np.uint64)
@@ -111,10 +147,38 @@ def bloom(keys: DataFrame) -> np.ndarray:
 def may_hold(bits: np.ndarray, keys: pa.Array) -> pa.Array:
     """Mask of the keys that the filter may hold; it is never false for one that it does."""
     k = np.ascontiguousarray(keys.to_numpy(zero_copy_only=False).astype(np.int64))
-    one, two = ((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) for b in _bits_of(k))
+    one, two = ((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) for b in _bits_of(k, len(bits) * 64))
     return pa.array((one & two).astype(bool))
 
 
+def divide(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two parts of rows: one that holds all rows whose key (a long, never null) is among keys, and the others.
+
+    A Bloom filter of a checked size decides where the keys fit one: without an exchange, and a few other rows pass for
+    keys. Where they don't, a join decides, exactly. Either way each row is in one part.
+    """
+    bits = bloom(keys)
+    if bits is None:
+        flat = [keys.select((F.explode(c) if t.startswith("array") else F.col(c)).alias(key)) for c, t in keys.dtypes]
+        named = flat[0]
+        for more in flat[1:]:
+            named = named.unionByName(more)
+        named = named.distinct()
+        return tuple(rows.join(named, key, how).select(*rows.columns) for how in ("left_semi", "left_anti"))
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    at = rows.columns.index(key)
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask = may_hold(held.value, batch.column(at))
+                yield batch.filter(mask if wanted else pc.invert(mask))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(True), part(False)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), where component is the smallest id reachable.
 
