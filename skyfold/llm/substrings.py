@@ -6,8 +6,11 @@ of 20 words always covers an aligned block of its other copy, so only windows ar
 those are extended to 20 words, compared by 96-bit names in a second, small exchange that finds the earliest
 start of each, and overlapping repeats merge into maximal ones.
 
-Texts travel only to where their hits are; which texts have hits is tested with a Bloom filter of fixed size
-(a full one sends every text, with the same result).
+Hot keys: blocks that a sample of the documents shows to be very frequent are hits at once and never sent to a bucket;
+and of a window's occurrences in one task only the earliest is sent on, the others are repeats already.
+
+Texts travel only to where their hits are; which texts have hits is tested with a Bloom filter of checked size, or by
+a join where they are too many for one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,9 @@ from . import common, words
 U = np.uint64
 #: Probes that one task gathers before it sends a packed array to each bucket.
 FLUSH = 2_000_000
+#: Blocks that occur so often in a sample of so many documents are hot. The result is the same with any sample.
+SAMPLE, HOT = 8_000, 24
+_CENSUS = 16
 _SECOND = 0xD1342543DE82EF95
 _SECOND_INVERSE = pow(_SECOND, -1, 2**64)
 _FIRST_DOC = np.iinfo(np.int64).min
@@ -58,41 +63,103 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, block: int, window: int):
     return grams, owner, where, names, at
 
 
-def _probe(buckets: int, block: int, window: int):
+def _census(block: int, window: int):
+    """All rolling blocks of some texts, packed, in _CENSUS parts by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        for batch in batches:
+            data, offsets = words.buffers(batch.column(0))
+            for i, j in words.chunks(offsets, 1 << 20, 4000):
+                grams = np.sort(_anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], block, window)[0])
+                cuts = np.searchsorted(grams, np.arange(1, _CENSUS).astype(U) << U(60))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CENSUS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(grams, cuts)], pa.binary())], names=["part", "grams"])
+
+    return run
+
+
+def _frequent(key, table):
+    grams, counts = np.unique(_glued(table["grams"], U), return_counts=True)
+    return pa.table({"gram": grams[counts >= HOT].view(np.int64)})
+
+
+def hot_blocks(texts: DataFrame, block: int, window: int) -> np.ndarray:
+    """Sorted hashes of the blocks that occur HOT times or more in about SAMPLE documents: at most a HOT-th of those documents' blocks."""
+    n = texts.count()
+    some = texts.where(F.pmod(F.xxhash64("rk", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))).select("text")
+    got = some.mapInArrow(_census(block, window), "part int, grams binary").groupBy("part").applyInArrow(_frequent, "gram long").collect()
+    return np.sort(np.array([r.gram for r in got], np.int64).view(U))
+
+
+class _Hot:
+    """Which blocks are hot; most are told apart by their first 16 bits."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams, self.first = grams, np.zeros(1 << 16, bool)
+        self.first[(grams >> U(48)).astype(np.int64)] = True
+
+    def mask(self, grams: np.ndarray) -> np.ndarray:
+        out = self.first[(grams >> U(48)).astype(np.int64)]
+        if len(self.grams):
+            some = np.flatnonzero(out)
+            out[some] = self.grams[np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)] == grams[some]
+        return out
+
+
+def _small(buckets: int):
+    """The least type that holds a bucket's number: sorting by 16 bits is much faster."""
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
+def _probe(buckets: int, homes: int, block: int, window: int, hot: _Hot):
+    """Probes by bucket; documents with hot blocks are named to their home, as bucket -1 - home."""
+    kind, most = _small(buckets), max(FLUSH, 32 * buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, marked, size, rows = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             out = [[], [], [], [], []]
-            for b in range(buckets):
-                rows = [(d[c > 0], c[c > 0], low[s:e], al[s:e]) for docs, per, low, al, cuts in held for d, c, s, e in [(docs, per[b], cuts[b], cuts[b + 1])] if e > s]
-                if rows:
-                    for to, x in zip(out, (b, *(np.concatenate(x) for x in zip(*rows, strict=True))), strict=True):
-                        to.append(x)
-            b, docs, counts, low, aligned = out
-            raw = [pa.array([x.tobytes() for x in col], pa.binary()) for col in (docs, counts, low, map(np.packbits, aligned))]
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *raw], names=["bucket", "docs", "counts", "low", "aligned"])
+            own = np.concatenate(keys)
+            bucket, row, low, aligned = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(bucket, kind="stable")
+            bucket, row, low, aligned = bucket[order], row[order], low[order], aligned[order]
+            new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, np.int64)
+            ends = np.append(new, len(row))
+            counts = np.diff(ends).astype(np.uint32)
+            first = np.flatnonzero(np.concatenate([[True], bucket[new][1:] != bucket[new][:-1]])) if len(new) else np.zeros(0, np.int64)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(new)], strict=True) if len(first) else ():
+                s, e = ends[a], ends[b]
+                for to, x in zip(out, (int(bucket[s]), own[row[new[a:b]]], counts[a:b], low[s:e], np.packbits(aligned[s:e])), strict=True):
+                    to.append(x if isinstance(x, int) else x.tobytes())
+            near = np.unique(np.concatenate(marked)) if marked else np.zeros(0, np.int64)
+            home = near % homes
+            for h in np.unique(home).tolist():
+                for to, x in zip(out, (-1 - h, near[home == h].tobytes(), b"", b"", b""), strict=True):
+                    to.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "docs", "counts", "low", "aligned"])
 
         for batch in batches:
             data, offsets = words.buffers(batch.column(1))
-            keys = batch.column(0).to_numpy()
+            ids = batch.column(0).to_numpy()
             for i, j in words.chunks(offsets, 1 << 20, 4000):
                 grams, owner, where, _, at = _anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], block, window)
                 if not len(grams):
                     continue
-                bucket = ((grams >> U(40)) % U(buckets)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                per = np.bincount(bucket.astype(np.int64) * (j - i) + owner, minlength=buckets * (j - i)).reshape(buckets, j - i).astype(np.uint32)
-                cuts = np.concatenate([[0], np.cumsum(per.sum(1, dtype=np.int64))])
                 aligned = (where - at[owner]) % block == 0
-                held.append((keys[i:j], per, grams.astype(np.uint32)[order], aligned[order], cuts))
+                is_hot = hot.mask(grams)
+                if is_hot.any():
+                    marked.append(ids[i:j][np.unique(owner[is_hot])])
+                    grams, owner, aligned = grams[~is_hot], owner[~is_hot], aligned[~is_hot]
+                held.append((((grams >> U(40)) % U(buckets)).astype(kind), (owner + rows).astype(np.int32), grams.astype(np.uint32), aligned))
+                keys.append(ids[i:j])
+                rows += j - i
                 size += len(grams)
-                if size >= FLUSH:
+                if size >= most:
                     yield flush()
-                    held, size = [], 0
+                    held, keys, marked, size, rows = [], [], [], 0, 0
         if held:
             yield flush()
-        held = []
+        held = keys = marked = []
         words.release()
 
     return run
@@ -103,6 +170,9 @@ def _hit(homes: int):
 
     def run(key, table):
         docs, counts = _glued(table["docs"], np.int64), _glued(table["counts"], np.uint32).astype(np.int64)
+        if key[0].as_py() < 0:  # documents with hot blocks
+            docs = np.unique(docs)
+            return pa.table({"home": pa.array([-1 - key[0].as_py()], pa.int32()), "bucket": pa.array([-1], pa.int32()), "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([bytes(4 * len(docs))], pa.binary()), "bits": pa.array([b""], pa.binary())})
         low = _glued(table["low"], np.uint32)
         sizes = [len(x) // 4 for x in table["low"].to_pylist()]
         aligned = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["aligned"].to_pylist(), sizes, strict=True)])
@@ -138,8 +208,11 @@ def _spans(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def _extend(buckets: int, block: int, window: int):
-    """Texts and hits of one home: names of all windows around a hit, dealt to buckets."""
+def _extend(buckets: int, block: int, window: int, hot: _Hot):
+    """Texts and hits of one home: names of all windows around a hit, dealt to buckets, each window's earliest occurrence only.
+
+    The other occurrences are repeats: they stay at the home, as bucket -1 - home.
+    """
 
     def run(key, texts, hits):
         out = [[] for _ in range(7)]
@@ -161,15 +234,18 @@ def _extend(buckets: int, block: int, window: int):
                 grams, owner, where, names, at = _anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], block, window)
                 if not len(grams):
                     continue
+                mask = np.zeros(len(names) + window + 1, np.int32)
+                is_hot = hot.mask(grams)
+                mask[where[is_hot]] = 1
+                grams, owner, where = grams[~is_hot], owner[~is_hot], where[~is_hot]
                 run_of = owner.astype(np.int64) * buckets + ((grams >> U(40)) % U(buckets)).astype(np.int64)
                 order = np.argsort(run_of, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(run_of[order]) != 0]))
+                first = np.flatnonzero(np.concatenate([[True], np.diff(run_of[order]) != 0])) if len(order) else np.zeros(0, np.int64)
                 size = np.diff(np.append(first, len(order)))
                 runs = run_of[order][first]
                 wanted = words.mix(keys[i:j].view(U)[runs // buckets] ^ ((runs % buckets).astype(U) * U(0x9E3779B97F4A7C15)))
                 pos = np.minimum(np.searchsorted(name, wanted), len(name) - 1)
                 known = name[pos] == wanted
-                mask = np.zeros(len(names) + window + 1, np.int32)
                 mask[where[order[_spans(first[known], size[known])]]] = bits[_spans(begin[sort[pos[known]]], size[known])]
                 total = np.concatenate([[0], np.cumsum(mask)])
                 whole, per = words.inside(at, window)
@@ -182,13 +258,18 @@ def _extend(buckets: int, block: int, window: int):
                 held.append((keys[i:j][mine], ids[i:j][mine], one, two.astype(np.uint32), (starts - at[mine]).astype(np.uint32)))
             if held:
                 key_, id_, one, two, start = (np.concatenate(x) for x in zip(*held, strict=True))
-                bucket = ((one >> U(40)) % U(buckets)).astype(np.uint16)
+                order = np.lexsort((start, id_, two, one))
+                new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                again = np.zeros(len(order), bool)
+                again[order] = (id_[order] != id_[lead]) | (start[order] != start[lead])
+                bucket = ((one >> U(40)) % U(buckets)).astype(np.int64)
+                bucket[again] = -1 - key[0].as_py()
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    at_ = order[cuts[b] : cuts[b + 1]]
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+                for at_ in np.split(order, cuts[1:]):
                     new = np.flatnonzero(np.concatenate([[True], key_[at_][1:] != key_[at_][:-1]]))
-                    row = (int(b), key_[at_][new], id_[at_][new], np.diff(np.append(new, len(at_))).astype(np.uint32), one[at_], two[at_], start[at_])
+                    row = (int(bucket[at_[0]]), key_[at_][new], id_[at_][new], np.diff(np.append(new, len(at_))).astype(np.uint32), one[at_], two[at_], start[at_])
                     for to, x in zip(out, row, strict=True):
                         to.append(x if isinstance(x, int) else x.tobytes())
         words.release()
@@ -204,12 +285,13 @@ def _earliest(homes: int):
         counts = _glued(table["counts"], np.uint32).astype(np.int64)
         docs, ids = np.repeat(_glued(table["docs"], np.int64), counts), np.repeat(_glued(table["ids"], np.int64), counts)
         one, two, start = _glued(table["one"], U), _glued(table["two"], np.uint32), _glued(table["start"], np.uint32)
-        order = np.lexsort((start, ids, two, one))
-        one, two, ids, start, docs = one[order], two[order], ids[order], start[order], docs[order]
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = np.flatnonzero((ids != ids[lead]) | (start != start[lead]))
-        docs, start = docs[again], start[again]
+        if key[0].as_py() >= 0:  # else they are repeats already
+            order = np.lexsort((start, ids, two, one))
+            one, two, ids, start, docs = one[order], two[order], ids[order], start[order], docs[order]
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            again = np.flatnonzero((ids != ids[lead]) | (start != start[lead]))
+            docs, start = docs[again], start[again]
         home = docs % homes
         order = np.lexsort((docs, home))
         docs, start, home = docs[order], start[order], home[order]
@@ -264,22 +346,11 @@ def _rows(texts, kept: list, n_words: list, n_removed: list, schema: pa.Schema)
     return pa.table([rest, pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["rest", "kept_text", "n_words", "n_removed"])
 
 
-def _filter(bits: np.ndarray):
-    """Rows whose first column the Bloom filter may hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(common.may_hold(bits, batch.column(0)))
-
-    return run
-
-
-def _whole(bits: np.ndarray, always_join: bool, schema: pa.Schema):
+def _whole(always_join: bool, schema: pa.Schema):
     """Texts without any repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.invert(common.may_hold(bits, batch.column(0))))
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
@@ -290,7 +361,7 @@ def _whole(bits: np.ndarray, always_join: bool, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, always_join: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, always_join: bool = True, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text, any others) with kept_text, n_words and n_removed; every row stays, with all its columns.
 
     A word goes if a window of that many words of its document covers it and the same words also start earlier
@@ -298,29 +369,29 @@ def remove_repeats(docs: DataFrame, window: int = 20, always_join: bool = True)
     case. kept_text has the remaining words joined by one space; with always_join=False a text that loses nothing
     stays as it is. Null text has no words (kept_text: empty, or null where it stays). A null doc_id comes before
     all others. Rows with equal doc_id and start are not earlier than each other. Columns named like the new ones
-    are replaced. An empty table gives no rows.
+    are replaced. An empty table gives no rows. buckets (null: the number of shuffle partitions) doesn't change the result.
     """
     spark = docs.sparkSession
     common.ship(spark)
     block = window // 2
-    n = common.parts(spark)
-    homes = 2 * n
+    n = buckets or common.parts(spark)
+    homes = 2 * common.parts(spark)
     added = {"kept_text", "n_words", "n_removed"}
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_DOC)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     home = F.pmod(F.col("rk"), F.lit(homes)).cast("int")
-    probes = keyed.select("rk", "text").mapInArrow(_probe(n, block, window), _PROBES)
+    hot = _Hot(hot_blocks(keyed.select("rk", "text"), block, window))
+    probes = keyed.select("rk", "text").mapInArrow(_probe(n, homes, block, window, hot), _PROBES)
     hits = common.cut(probes.groupBy("bucket").applyInArrow(_hit(homes), _HITS))
-    bits = common.bloom(hits.select("docs"))
-    near = keyed.select("rk", "doc_id", "text").mapInArrow(_filter(bits), "rk long, doc_id long, text string")
-    windows = near.withColumn("home", home).groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(_extend(n, block, window), _WINDOWS)
+    near, _ = common.divide(keyed.select("rk", "doc_id", "text"), "rk", hits.select("docs"))
+    windows = near.withColumn("home", home).groupBy("home").cogroup(hits.groupBy("home")).applyInArrow(_extend(n, block, window, hot), _WINDOWS)
     repeats = common.cut(windows.groupBy("bucket").applyInArrow(_earliest(homes), _REPEATS))
-    bits = common.bloom(repeats.select("docs"))
+    common.drop(hits)
     marked = keyed.select("rk", "text", "rest")
     shape = marked.select("rest").schema
     arrow = to_arrow_schema(shape)
     result = T.StructType([*shape.fields, *(T.StructField(c, t) for c, t in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())))])
-    some = marked.mapInArrow(_filter(bits), marked.schema).withColumn("home", home)
-    some = some.groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(_strip(arrow, window, always_join), result)
-    none = marked.mapInArrow(_whole(bits, always_join, arrow), result)
+    some, none = common.divide(marked, "rk", repeats.select("docs"))
+    some = some.withColumn("home", home).groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(_strip(arrow, window, always_join), result)
+    none = none.mapInArrow(_whole(always_join, arrow), result)
     return none.unionByName(some).select("rest.*", "kept_text", "n_words", "n_removed")
