@@ -1,6 +1,7 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors of one label are put into their three nearest cluster shards (centroids from a bounded sample). In each shard
+Vectors of one label are put into their three nearest cluster shards (centroids from a bounded sample); shards that are
+overfull all the same are divided again, by pivots drawn from each of them. In each shard
 every vector's neighbours are pruned robustly to at most 32; the lists of a vector from its shards are united, and edges lead both ways. A search
 then runs for every vector in each of its shards: greedily from the shard's medoid with a beam, and from there on over
 everything in range. A vector with more vectors in range than it may have neighbours is crowded: its edges can all lead
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -23,12 +25,18 @@ SHARD, OVERLAP, DEGREE, POOL = 400, 3, 32, 96
 ALPHA, BEAM = 1.2, 24
 #: Rows that centroids are fitted on, of all labels together (those with the smallest hash of vec_id).
 SAMPLE = 20_000
+#: Rows of a label in the sample for each of its centroids.
+PER_CENTRE = 8
+#: A shard with more vectors is divided by its nearest pivots.
+OVERFULL, PIVOTS, LEVELS = 16_384, 16, 12
 #: Queries that one step of a search holds at once.
 QUERIES = 512
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision; scaled first, so that no square is infinite or lost."""
     rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(1)[:, None]
     return rows / np.sqrt((rows * rows).sum(1))[:, None]
 
 
@@ -143,33 +151,59 @@ def _matrix(column) -> np.ndarray:
 
 
 def _deal(centres: dict):
-    """Rows of a class, once for each of its shards, with the list of all of them."""
+    """Rows of a class, once for each of its shards; a label without centroids is one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 1))
             for key in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
                 mine = np.flatnonzero((labels == key[0]) & (dims == key[1]))
-                part = batch.take(pa.array(mine))
-                base, c = centres[key]
-                k = min(OVERLAP, len(c))
-                near = np.sort(np.argpartition(-(unit(_matrix(part.column(3))) @ c.T), k - 1, 1)[:, :k], 1) + base
-                rows = np.repeat(np.arange(len(mine)), k)
-                dealt = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [dealt.column(0), dealt.column(3), dealt.column(4), pa.array(near.ravel().astype(np.int32)), pa.array(list(near[rows].astype(np.int32)), pa.list_(pa.int32()))], names=["node", "embedding", "weight", "shard", "homes"]
-                )
+                part, c = batch.take(pa.array(mine)), centres.get(key)
+                k, near = 1, np.zeros((len(mine), 1), np.int64)
+                if c is not None:
+                    k = min(OVERLAP, len(c))
+                    near = np.argpartition(-(unit(_matrix(part.column(3))) @ c.T), k - 1, 1)[:, :k]
+                dealt = part.take(pa.array(np.repeat(np.arange(len(mine)), k)))
+                yield pa.RecordBatch.from_arrays([*dealt.columns, pa.array(near.ravel().astype(np.int64))], names=["node", "label", "dim", "embedding", "weight", "shard"])
 
     return run
 
 
+_SHARD = ["label", "dim", "shard"]
+
+
+def _divided(dealt: DataFrame) -> DataFrame:
+    """dealt with overfull shards divided, level by level: a vector goes to those of its OVERLAP nearest pivots of PIVOTS.
+
+    Pivots are the shard's vectors of smallest hashes, found by a partial aggregation.
+    """
+    scaled = lambda e: F.transform(e, lambda x: x.cast("double") / F.array_max(F.transform(e, lambda y: F.abs(y.cast("double")))))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    for level in range(LEVELS):
+        big = dealt.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL).drop("n")
+        big = common.cut(big)
+        if not big.limit(1).count():
+            common.drop(big)
+            break
+        mine = dealt.join(big, _SHARD)
+        drawn = mine.groupBy(*_SHARD).agg(F.array(*[F.min_by("embedding", F.xxhash64("node", F.lit(PIVOTS * level + j))) for j in range(PIVOTS)]).alias("pivots"))
+        pivots = common.cut(drawn.withColumn("pivots", F.transform(F.array_distinct("pivots"), lambda p: F.transform(scaled(p), lambda x: x / F.sqrt(dot(scaled(p), scaled(p)))))))
+        near = F.array_sort(F.transform("pivots", lambda p, i: F.struct((-dot(p, F.col("own"))).alias("d"), i.alias("i"))))
+        named = F.transform(F.slice(near, 1, OVERLAP), lambda s: F.xxhash64("shard", F.lit(level), s["i"]))
+        new = mine.join(pivots, _SHARD).withColumn("own", scaled(F.col("embedding"))).withColumn("shard", F.explode(named)).select(*dealt.columns)
+        after = common.cut(dealt.join(big, _SHARD, "left_anti").select(*dealt.columns).unionByName(new.dropDuplicates(["node", *_SHARD])))
+        common.drop(dealt, big, pivots)
+        dealt = after
+    return dealt
+
+
 def _build(least: float):
     def run(key, table):
         """Pruned neighbours of one shard's nodes, and whether they are crowded there."""
         nodes = table["node"].to_numpy()
         u = unit(_matrix(table["embedding"])).astype(np.float32)
         lists, crowded = prune(u, least - 1e-4)
-        return pa.table({"node": nodes, "near": pa.array([nodes[x] for x in lists], pa.list_(pa.int64())), "crowded": crowded})
+        return pa.table({"node": nodes, "shard": table["shard"], "near": pa.array([nodes[x] for x in lists], pa.list_(pa.int64())), "crowded": crowded})
 
     return run
 
@@ -181,11 +215,13 @@ def _links(least: float):
         Links with a crowded end are found in every common shard; the first one sums up their weights (a, null, n).
         Of others any common shard may find one: they are rows (a, b, weight of b), at most DEGREE of a node, that tally() counts once.
         """
-        nodes, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), key[0].as_py()
+        nodes, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), key[2].as_py()
         order = np.argsort(nodes)
         u64 = unit(_matrix(table["embedding"]))[order]
         nodes, weight, crowded = nodes[order], weight[order], table["crowded"].to_numpy()[order]
-        homes = np.array(table["homes"].to_pylist())[order]
+        lists_ = table["homes"].to_pylist()
+        homes = np.array([sorted(x) + [np.iinfo(np.int64).max] * (max(map(len, lists_)) - len(x)) for x in lists_])[order]
+        own_homes = homes < own
         n, u = len(nodes), u64.astype(np.float32)
         out = [np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in lists)]) for lists in table["lists"].to_pylist()]
         x, y = np.repeat(np.arange(n), [len(out[i]) for i in order]), np.concatenate([out[i] for i in order])
@@ -227,7 +263,7 @@ def _links(least: float):
             x, y = x[crowded[x]], y[crowded[x]]
             for s in range(0, len(x), 65536):
                 i, j = x[s : s + 65536], y[s : s + 65536]
-                first = ~((homes[i][:, :, None] == homes[j][:, None, :]) & (homes[i] < own)[:, :, None]).any((1, 2))
+                first = ~((homes[i][:, :, None] == homes[j][:, None, :]) & own_homes[i][:, :, None]).any((1, 2))
                 i, j = i[first], j[first]
                 np.add.at(count, i, weight[j])
                 alone = ~crowded[j]
@@ -256,50 +292,69 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Rows are compared only where labels are equal and not null (and lengths are). n_links counts the other rows whose
-    cosine is at least `least`, as found; equal vectors count each other. A vector that is null, empty, zero or holds
+    cosine, in double precision at any magnitude, is at least `least`, as found; equal vectors count each other. A vector that is null, empty, zero or holds
     null or non-finite components has no links, and forms its own component. Rows that repeat a vec_id count as other
     rows of the same vertex. A null vec_id has no component (null) and is not kept. Other columns are ignored; an
     empty table gives no rows. audit() measures the recall.
     """
-    spark = vectors.sparkSession
-    common.ship(spark)
-    e = F.col("embedding").cast("array<float>")
+    common.ship(vectors.sparkSession)
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())  # held as it is; all else in double precision
+    e = F.col("embedding").cast("array<float>" if single else "array<double>")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"), F.col("label").cast("long").alias("label"))
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.coalesce(~odd & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("ok", fine).withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "embedding"))).withColumn("g", F.when(F.col("ok"), F.xxhash64("embedding", "label", F.lit(7))))
+    hashes = [F.xxhash64("label", "embedding").alias("h"), F.xxhash64("embedding", "label", F.lit(7)).alias("g")]
+    rows = rows.withColumn("ok", fine)
     classes = rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
-    classes = common.cut(classes.select("node", "label", F.size("embedding").alias("dim"), "embedding", "weight", F.xxhash64("label", "embedding").alias("h"), F.xxhash64("embedding", "label", F.lit(7)).alias("g")))
-    classes_ = classes.select("node", "label", "dim", "embedding", "weight")
-    sizes = {(r.label, r.dim): r.n for r in classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = classes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLE).select("label", "dim", "embedding").toPandas()
-    base, centres = 0, {}
-    for key in sorted(sizes):
-        mine = drawn[(drawn["label"] == key[0]) & (drawn["dim"] == key[1])]["embedding"]
-        if len(mine):
-            k = max(1, min(-(-sizes[key] // SHARD), len(mine) // 8))
-            c = centroids(unit(np.stack(mine.to_list())), k)
-        else:  # a label too rare for the sample: one shard
-            c = np.ones((1, key[1]))
-        centres[key] = (base, c)
-        base += len(c)
-    dealt = common.cut(classes_.mapInArrow(_deal(centres), "node long, embedding array<float>, weight long, shard int, homes array<int>"))
-    lists = dealt.select("shard", "node", "embedding").groupBy("shard").applyInArrow(_build(least), "node long, near array<long>, crowded boolean")
-    lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"), F.max("crowded").alias("crowded"))  # at most OVERLAP lists of DEGREE
-    found = common.cut(dealt.join(lists, "node").groupBy("shard").applyInArrow(_links(least), "a long, b long, n long"))
+    classes = common.cut(classes.select("node", "label", F.size("embedding").alias("dim"), "embedding", "weight", *hashes))
+    # A vec_id with several vectors joins their classes; a class that it would name has a name of its own.
+    both = F.struct(*hashes)
+    several = rows.where("ok").groupBy("vec_id").agg(F.min(both).alias("low"), F.max(both).alias("high")).where("low <> high")
+    several = common.cut(several.select("vec_id"))
+    ties = None
+    classes = classes.withColumn("vec_id", F.col("node"))
+    if several.limit(1).count():
+        named = classes.join(several.withColumn("twice", F.lit(True)), "vec_id", "left")
+        classes = common.cut(named.withColumn("node", F.when(F.col("twice"), F.xxhash64("node", "h", "g")).otherwise(F.col("node"))).drop("twice"))
+        many = rows.where("ok").join(several, "vec_id").select("vec_id", "label", "embedding").join(classes.select("label", "embedding", "node"), ["label", "embedding"]).select("vec_id", "node").distinct()
+        ties = many.join(many.groupBy("vec_id").agg(F.min("node").alias("a")), "vec_id").select("a", F.col("node").alias("b"))
+    plain = classes.select("node", "label", "dim", "embedding", "weight")
+    total = classes.count()
+    drawn = plain.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLE).select("label", "dim", "embedding").toPandas()
+    centres = {}
+    for key, mine in drawn.groupby(["label", "dim"])["embedding"]:
+        k = min(-(-total * len(mine) // (len(drawn) * SHARD)), len(mine) // PER_CENTRE)
+        if k > 1:
+            centres[tuple(map(int, key))] = centroids(unit(np.stack(mine.to_list())), k)
+    kind = "float" if single else "double"
+    dealt = common.cut(plain.mapInArrow(_deal(centres), f"node long, label long, dim int, embedding array<{kind}>, weight long, shard long"))
+    dealt = _divided(dealt)
+    lists = dealt.groupBy(*_SHARD).applyInArrow(_build(least), "node long, shard long, near array<long>, crowded boolean")
+    lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"), F.max("crowded").alias("crowded"), F.collect_list("shard").alias("homes"))  # a node is in OVERLAP shards, more only where these were divided
+    found = common.cut(dealt.join(lists, "node").groupBy(*_SHARD).applyInArrow(_links(least), "a long, b long, n long"))
+    common.drop(dealt)
     counts = tally(found)
-    comps = common.components(found.where("b is not null and n = 0").select("a", "b"))
-    known = classes.select("node", "weight", "h", "g").join(counts, F.col("node") == F.col("a"), "left").join(comps, F.col("node") == F.col("id"), "left")
-    known = known.select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("comp"))
-    out = rows.select("vec_id", "h", "g").join(known, ["h", "g"], "left")
+    edges = found.where("b is not null and n = 0").select("a", "b")
+    comps = common.components(edges if ties is None else edges.unionByName(ties))
+    low = comps.join(classes.select(F.col("node").alias("id"), "vec_id"), "id").groupBy("component").agg(F.min("vec_id").alias("low"))
+    comps = comps.join(low, "component").select("id", F.col("low").alias("component"))
+    known = classes.select("node", "vec_id", "weight", "h", "g").join(counts, F.col("node") == F.col("a"), "left").join(comps, F.col("node") == F.col("id"), "left")
+    known = known.select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "vec_id").alias("comp"))
+    out = rows.select("vec_id", *[F.when(F.col("ok"), h).alias(n) for h, n in zip(hashes, "hg", strict=True)]).join(known, ["h", "g"], "left")
+    if ties is not None:  # rows of one vec_id that have no vector to compare
+        same = out.where("vec_id is not null and comp is not null").groupBy("vec_id").agg(F.min("comp").alias("of_id"))
+        out = out.join(same, "vec_id", "left").withColumn("comp", F.coalesce("of_id", "comp"))
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def audit(vectors: DataFrame, found: DataFrame, least: float = 0.93, every: int = 20) -> float:
-    """Share of links found, over all rows whose vec_id is divisible by `every` as queries against all rows, by brute force in blocks."""
+    """Share of links found, over all rows whose vec_id is divisible by `every` as queries against all rows, by brute force in blocks.
+
+    ValueError where these queries have no links: nothing is measured then.
+    """
     common.ship(vectors.sparkSession)
-    rows = vectors.where("label is not null and embedding is not null and vec_id is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = vectors.where("label is not null and embedding is not null and vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     n = 64
     ask = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "label", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(True).alias("asks"))
     have = rows.select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.lit(False).alias("asks"))
@@ -316,4 +371,6 @@ def audit(vectors: DataFrame, found: DataFrame, least: float = 0.93, every: int
 
     true = ask.unionByName(have).groupBy("label", "block").applyInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     got = true.join(found, "vec_id").agg(F.sum("n_links"), F.sum("n")).first()
-    return float(got[0] / got[1]) if got[1] else 1.0
+    if not got[1]:
+        raise ValueError("the queries have no links")
+    return float(got[0] / got[1])
