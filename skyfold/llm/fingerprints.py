@@ -129,41 +129,71 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _chunk(held)
 
 
-def _place(splitters: np.ndarray, first: int):
-    """(place, look, doc_id, ord, text): a range's rows, and as look-ahead the row that follows its last one."""
+def _place(splitters: np.ndarray, first: np.ndarray):
+    """(place, look, doc_id, ord, text): a range's rows, and as look-ahead the row that follows its last one (one of a batch, where several are equal)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = batch.column(1).to_numpy()
-            place = np.searchsorted(splitters, order, "right")
-            head = (place > 0) & (splitters[np.maximum(place - 1, 0)] == order) if len(splitters) else np.zeros(len(order), bool)
-            rows = np.concatenate([np.arange(len(order)), np.flatnonzero(head), np.flatnonzero(order == first)])
-            n, h = len(order), int(head.sum())
-            where = np.concatenate([place, place[head] - 1, np.full(len(rows) - n - h, len(splitters))]).astype(np.int32)
+            key = np.empty(batch.num_rows, _KEY)
+            key["ord"], key["h"] = (batch.column(c).to_numpy() for c in (1, 2))
+            place = np.searchsorted(splitters, key, "right")
+            heads = np.flatnonzero((place > 0) & (splitters[np.maximum(place - 1, 0)] == key)) if len(splitters) else np.zeros(0, np.int64)
+            heads = heads[np.sort(np.unique(place[heads], return_index=True)[1])]
+            begin = np.flatnonzero(key == first)[:1]
+            rows = np.concatenate([np.arange(len(key)), heads, begin])
+            where = np.concatenate([place, place[heads] - 1, np.full(len(begin), len(splitters))]).astype(np.int32)
             got = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.arange(len(rows)) >= n), *got.columns], names=["place", "look", "doc_id", "ord", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.arange(len(rows)) >= len(key)), *got.columns], names=["place", "look", "doc_id", "ord", "h", "text"])
 
     return run
 
 
+_KEY = np.dtype([("ord", "<i8"), ("h", "<i8")])
+
+
+def _keys(rows: list) -> np.ndarray:
+    return np.array([tuple(r) for r in rows], _KEY)
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """For each row its fingerprint, and that of its edited text with the likeness to both and to the next document's.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex, 4 digits a sample), near_edited, near_next.
     The next document is that of the next doc_id (null first; after the last: the first); rows of equal doc_id follow
-    one another in order of text. Null text is empty; an empty text's fingerprint is all zeros. Other columns are
-    ignored. An empty table gives no rows.
+    one another in order of their text's hash. Null text is empty; an empty text's fingerprint is all zeros. Other
+    columns are ignored. An empty table gives no rows.
 
-    Rows are range-partitioned by doc_id, at values of the column itself; the row at such a value goes to both
-    ranges, so that the last document of a range meets its next one without a global sort into one task.
+    Rows are range-partitioned by doc_id and hash, at keys of the table itself; a row with such a key goes to both
+    ranges, so that the last document of a range meets its next one without a global sort into one task. A doc_id (or
+    null) that holds more than a range's share of the rows is divided by hash.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("ord"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("ord"), F.xxhash64(text).alias("h"), text.alias("text"))
     ranges = 4 * common.parts(spark)
-    got = rows.agg(F.min("ord"), F.percentile_approx("ord", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()
-    first = got[0] if got[0] is not None else 0
-    splitters = np.unique(np.array([x for x in got[1] or [] if x > first], np.int64))
-    placed = rows.mapInArrow(_place(splitters, first), "place int, look boolean, doc_id long, ord long, text string")
-    dealt = placed.repartition(common.parts(spark), "place").sortWithinPartitions("place", "look", "ord", "text")
+    bounds = rows.agg(F.percentile_approx("ord", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    wanted = []
+    for x in sorted(set(bounds)):  # a value that is k bounds has k ranges, of equal parts of the hashes
+        k = bounds.count(x)
+        wanted += [(x, _FIRST + (i << 64) // k) for i in range(k)]
+    held = _keys(wanted)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least key of each range in a task."""
+        least: dict[int, tuple] = {}
+        for batch in batches:
+            key = np.empty(batch.num_rows, _KEY)
+            key["ord"], key["h"] = (batch.column(c).to_numpy() for c in (0, 1))
+            key = np.sort(key)
+            place, at = np.unique(np.searchsorted(held, key, "right"), return_index=True)
+            for p, i in zip(place.tolist(), at.tolist(), strict=True):
+                least[p] = min(least.get(p, key[i].item()), key[i].item())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*[(p, *k) for p, k in least.items()], strict=True)] or [pa.array([], pa.int64())] * 3, names=["place", "ord", "h"])
+
+    heads = rows.select("ord", "h").mapInArrow(ranged, "place long, ord long, h long").groupBy("place").agg(F.min(F.struct("ord", "h")).alias("k")).select("k.*").collect()
+    heads = np.sort(_keys(heads))
+    first, splitters = (heads[0] if len(heads) else np.zeros(1, _KEY)[0]), heads[1:]
+    placed = rows.mapInArrow(_place(splitters, first), "place int, look boolean, doc_id long, ord long, h long, text string")
+    dealt = placed.repartition(common.parts(spark), "place").sortWithinPartitions("place", "look", "ord", "h", "text")
     return dealt.select("place", "look", "doc_id", "text").mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
