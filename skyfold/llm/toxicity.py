@@ -2,7 +2,8 @@
 
 A term is a word (A-Z lower-cased, outer punctuation cut), the first four bytes of one, or the first six; it is
 hashed to one of 2**18 slots. The model knows the slots whose share of toxic training texts differs clearly from the
-overall share. A text's value at each of its k known slots is 1 / sqrt(1 + k); every pair of slots interacts through
+overall share; and those that are neutral alone, but whose share differs among the texts that hold a slot of raised
+share (a group's name beside insults), so that their pairs can be learnt. A text's value at each of its k known slots is 1 / sqrt(1 + k); every pair of slots interacts through
 8 factors. The machine is trained on the driver, on a
 bounded sample of labelled rows; every text is scored whole.
 """
@@ -138,16 +139,34 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)], names=["slots", "label", "ord"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's number of texts and of toxic texts with each slot."""
-    both = np.zeros((2, SLOTS), np.int64)
-    for batch in batches:
-        for raw, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            slots = np.frombuffer(raw, np.int32)  # distinct
-            both[0, slots] += 1
-            both[1, slots] += label
-    some = np.flatnonzero(both[0])
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[0, some]), pa.array(both[1, some])], names=["slot", "texts", "toxic"])
+def _count(among: np.ndarray | None):
+    """A task's number of texts and of toxic texts with each slot (and in all: slot -1); with a mask, of the texts that hold one of its slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, all_ = np.zeros((2, SLOTS), np.int64), [0, 0]
+        for batch in batches:
+            for raw, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                slots = np.frombuffer(raw, np.int32)  # distinct
+                if among is None or among[slots].any():
+                    both[0, slots] += 1
+                    both[1, slots] += label
+                    all_ = [all_[0] + 1, all_[1] + label]
+        some = np.flatnonzero(both[0])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([all_[0], *both[0, some].tolist()]), pa.array([all_[1], *both[1, some].tolist()])], names=["slot", "texts", "toxic"])
+
+    return run
+
+
+def _distinct_slots(rows: DataFrame, among: np.ndarray | None = None) -> list:
+    """(slot, raised) of the slots in LEAST_TEXTS texts or more whose toxic share is LEAST_Z deviations off that of all the texts."""
+    counts = rows.mapInArrow(_count(among), "slot int, texts long, toxic long").groupBy("slot").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    n, toxic = counts.where("slot < 0").agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = toxic / n if n else 0.0
+    if not 0 < share < 1:
+        return []
+    off = F.col("toxic") - F.col("texts") * share
+    far = counts.where((F.col("slot") >= 0) & (F.col("texts") >= LEAST_TEXTS) & (F.abs(off) >= LEAST_Z * F.sqrt(F.col("texts") * (share * (1 - share)))))
+    return far.select("slot", (off > 0).alias("raised")).collect()  # SLOTS rows at most
 
 
 def _only(known: np.ndarray):
@@ -171,13 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label"), order.alias("ord")).orderBy("ord", "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label", "ord")
     rows = common.cut(rows.mapInArrow(_terms_of, "slots binary, label int, ord long"))
-    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = toxic / n if n else 0.0
-    counts = rows.mapInArrow(_count, "slot int, texts long, toxic long").groupBy("slot").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-    off = F.abs(F.col("toxic") - F.col("texts") * share)
-    far = counts.where((F.col("texts") >= LEAST_TEXTS) & (off >= LEAST_Z * F.sqrt(F.col("texts") * (share * (1 - share)))) & F.lit(0 < share < 1))
-    known = np.zeros(SLOTS, bool)
-    known[[r.slot for r in far.select("slot").collect()]] = True
+    known, raised = np.zeros(SLOTS, bool), np.zeros(SLOTS, bool)
+    for r in _distinct_slots(rows):
+        known[r.slot], raised[r.slot] = True, r.raised
+    for r in _distinct_slots(rows, raised) if raised.any() else ():
+        known[r.slot] = True
     got = sorted(map(tuple, rows.mapInArrow(_only(known), "slots binary, label int, ord long").collect()), key=lambda r: (r[2], r[1], bytes(r[0])))[:sample]
     common.drop(rows)
     parts = [np.frombuffer(r[0], np.int32) for r in got]
