@@ -1,71 +1,5 @@
-"""A corpus pipeline of five stages over `documents`: toxicity, near-duplicates, repeated passages, source mix, packing.
+"""The corpus pipeline: STAGES over `documents`, run() and its SQL (none). The stages are in skyfold.llm.pipeline."""
 
-Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
-documents; the last one returns packed pieces. Other columns pass through every stage but the last.
-"""
+from skyfold.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from skyfold.llm import common, mixing, neardup, packing, substrings, toxicity
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold. The model learns from all labels, on their documents among docs."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    names = docs.columns
-    clean = docs.withColumnRenamed("score", "_own_score") if "score" in names else docs
-    scored = toxicity.score(clean, toxicity.fit(docs, labels)).where(F.col("score") < toxicity.THRESHOLD).drop("score")
-    return scored.withColumnRenamed("_own_score", "score").select(*names)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates; rows without doc_id stay."""
-    groups = neardup.cluster(docs)
-    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 20 words or more that occur before; a text without any stays byte for byte."""
-    out = substrings.remove_repeats(docs, always_join=False)
-    kept = out.withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document that is taken twice has two rows, one that is taken in part has its first words."""
-    drawn = mixing.draw(mixing.plan_mix(docs))
-    if "n_chars" in docs.columns:
-        drawn = drawn.withColumn("n_chars", F.char_length("text").cast("long"))
-    return drawn.select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The executors' memory is also that of the stages before, so workers remember fewer words here.
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cache_words=200_000).drop("ids")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash near-dedup", drop_near_duplicates),
-    ("substring dedup", cut_repeats),
-    ("source mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: The stages learn a model, sample sketches and tokenize; SQL can't express them.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
