@@ -139,7 +139,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
     loss-bearing tokens (null: max_tokens); it is shorter than max_tokens only where the other two limits are met,
     or as one of a task's last sequences, whose lengths are powers of two. sequence_id is unique; rows with equal
     doc_id are packed each on its own; other columns are ignored. An empty table gives no rows. A worker remembers
-    the ids of cache_words words at most (some 300 bytes each).
+    the ids of cache_words words at most (some 300 bytes each), if the tokenizer splits at spaces; any other file of the
+    tokenizers library is used text by text.
     """
     common.ship(docs.sparkSession)
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
@@ -148,21 +149,23 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segme
     skip = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.word_tokenizer(tokenizer_path, cache_words)
+        tokenizer = tokens.tokenizer_of(tokenizer_path, cache_words)
         packer = Packer(limits, TaskContext.get().partitionId() << 36, with_ids)
         end = int(end_id).to_bytes(4, "little")
         gc.disable()  # nothing here makes cycles, and collections would walk all remembered words
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids, texts, firsts = (part.column(c).to_pylist() for c in range(3))
-                for doc_id, own, first in zip(ids, tokenizer.encode(texts), firsts, strict=True):
-                    packer.add(doc_id, own + end, first)
-                if packer.out:
-                    yield packer.batch()
-        packer.finish()
-        yield packer.batch()
-        gc.enable()
-        words.release()
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    ids, texts, firsts = (part.column(c).to_pylist() for c in range(3))
+                    for doc_id, own, first in zip(ids, tokenizer.encode(texts), firsts, strict=True):
+                        packer.add(doc_id, own + end, first)
+                    if packer.out:
+                        yield packer.batch()
+            packer.finish()
+            yield packer.batch()
+        finally:  # also where the task fails or is ended early: the worker lives on
+            gc.enable()
+            words.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), skip.alias("skip")).mapInArrow(run, SCHEMA)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, neardup, packing, sharding, substrings, toxicity, vectors, viterbi
+from . import chat, fingerprints, mixing, neardup, packing, pipeline, sharding, substrings, toxicity, vectors, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +88,14 @@ FROM documents LEFT JOIN marked ON documents.doc_id = marked.doc_id GROUP BY doc
 """
 
 
+#: Leading ids of a document that bear no loss, and documents' pieces in a sequence at most.
+CONTEXT, SEGMENTS = 16, 64
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+    """The first CONTEXT ids of a document bear no loss (as a prompt would); its other ids and the end do."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(CONTEXT).alias("context"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_segments=SEGMENTS, loss_from="context", with_ids=False).drop("ids")
 
 
 def held_out(doc_id="doc_id"):
@@ -137,5 +142,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints)}
+QUERIES = {"pipeline": pipeline.run} | {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_neardup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_embedding_neardup": OP9_SQL}

@@ -1,20 +1,17 @@
-"""Token ids of whole texts through a cache of words, for tokenizers that split at white space and drop it."""
+"""Token ids of whole texts; through a cache of words for tokenizers that split at white space and drop it."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import threading
-import time
 from functools import cached_property, lru_cache
 from itertools import compress
 
 import numpy as np
 
-from . import words
-
-#: Words that one worker process remembers at most, in two generations, and after how many idle seconds it forgets them.
-CACHE_WORDS, IDLE_SECONDS = 2_400_000, 4.0
+#: Words that one worker process remembers at most, in two generations.
+CACHE_WORDS = 2_400_000
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
 
 
@@ -33,8 +30,36 @@ def _lower(text: bytes) -> bytes:
     return text if b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
+#: What a tokenizer file must say for the way by words: these steps never join characters across a space or a line feed.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether the tokenizer of a file lower-cases, drops white space, splits as _SPLIT says, and has the token that keeps words apart."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    return d.get("normalizer") == _NORMALIZER and d.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and any(t["content"] == _JOINT for t in d.get("added_tokens", []))
+
+
+class PlainTokenizer:
+    """Ids as little-endian 32-bit bytes, text by text, by any tokenizer file."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), 64) for e in self.tokenizer.encode_batch([t or "" for t in texts[k : k + 64]], add_special_tokens=False)]
+
+
 class WordTokenizer:
-    """Ids as little-endian 32-bit bytes.
+    """Ids as little-endian 32-bit bytes, through a cache of words.
 
     The tokenizer's own splitting never joins characters across a space or a line feed, so a text's ids are those
     of its pieces in order; and between ASCII letters and one final full stop or comma it always splits.
@@ -53,8 +78,6 @@ class WordTokenizer:
         self.letters.normalizer, self.letters.pre_tokenizer = None, WhitespaceSplit()
         self.known: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
-        self.lock, self.used = threading.Lock(), time.monotonic()
-        threading.Thread(target=self._forget_when_idle, daemon=True).start()
 
     @cached_property
     def tokenizer(self):
@@ -65,15 +88,6 @@ class WordTokenizer:
         out.encode_special_tokens = True
         return out
 
-    def _forget_when_idle(self) -> None:
-        """The worker's memory goes back to the executor while other work runs there."""
-        while True:
-            time.sleep(1)
-            if len(self.known) > 1 and time.monotonic() - self.used > IDLE_SECONDS and self.lock.acquire(blocking=False):
-                self.known, self.old = {b"": b""}, {}
-                self.lock.release()
-                words.release()
-
     def _fetch(self, words: set[bytes]) -> list[bytes]:
         """Move words from the old generation to the new one; return those in neither."""
         missing = words.difference(self.known)
@@ -102,22 +116,21 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [_lower((t or "").encode()).replace(b"\n", b" ").split(b" ") for t in texts]
-        with self.lock:
-            if len(self.known) > self.generation:
-                self.known, self.old = {b"": b""}, self.known
-            new = self._fetch(set().union(*split))
-            edged = [w for w in new if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
-            if edged:
-                self._learn(self._fetch(set(new).difference(edged).union([w[:-1] for w in edged], _PUNCT)))
-                known = self.known
-                known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in edged])
-            else:
-                self._learn(new)
-            get = self.known.__getitem__
-            self.used = time.monotonic()
-            return [b"".join(map(get, own)) for own in split]
+        if len(self.known) > self.generation:
+            self.known, self.old = {b"": b""}, self.known
+        new = self._fetch(set().union(*split))
+        edged = [w for w in new if w[-1:] in _PUNCT and _EDGE.fullmatch(w)]
+        if edged:
+            self._learn(self._fetch(set(new).difference(edged).union([w[:-1] for w in edged], _PUNCT)))
+            known = self.known
+            known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in edged])
+        else:
+            self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, own)) for own in split]
 
 
 @lru_cache(2)
-def word_tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer:
-    return WordTokenizer(path, cache_words)
+def tokenizer_of(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer | PlainTokenizer:
+    """The way by words where the file allows it, else the plain one; both give the tokenizer's ids."""
+    return WordTokenizer(path, cache_words) if splits_at_spaces(path) else PlainTokenizer(path)

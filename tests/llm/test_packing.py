@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from skyfold.llm import packing
+from skyfold.llm import packing, queries, tokens
 
 DATA, PATH = "/root/testdata", P.path("word_bpe_49k.json")
 
@@ -54,6 +54,39 @@ def test_hard_texts(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_another_tokenizer_file(spark):
+    """A file that keeps white space and case is used text by text, with its own ids."""
+    path = P.path("byte_bpe_50k.json")
+    assert tokens.splits_at_spaces(PATH) and not tokens.splits_at_spaces(path)
+    texts = ["Hello,  World.\n", None, "", "<|endoftext|> é", "a b\tc" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    want = [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    got = defaultdict(list)
+    for r in sorted(packing.pack(df, path, max_tokens=32).collect(), key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rows_of_one_id_and_an_ended_task(spark):
+    """Rows of equal doc_id are packed each on its own; a LIMIT ends tasks early and later tasks still run."""
+    df = spark.createDataFrame([(1, "one two"), (1, "one two"), (1, "three"), (None, "four")], "doc_id long, text string").coalesce(1)
+    assert packing.pack(df, PATH).limit(1).count() == 1
+    out = packing.pack(df, PATH).collect()
+    assert sorted(((str(r.doc_id), r.start, r.length, r.doc_tokens) for r in out)) == [("1", 0, 2, 2), ("1", 0, 3, 3), ("1", 0, 3, 3), ("None", 0, 2, 2)]
+
+
+def test_the_query_has_loss_free_tokens(spark):
+    out = queries.op2_vector_packing(spark, f"{DATA}/sf0.001").collect()
+    whole, loss, segments = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in out:
+        whole[r.doc_id] = r.doc_tokens
+        loss[r.doc_id] += r.loss_tokens
+        segments[r.sequence_id] += 1
+    assert all(loss[d] == max(0, n - queries.CONTEXT) for d, n in whole.items()) and max(segments.values()) <= queries.SEGMENTS
+
+
 def test_limits(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(["word"] * rnd.choice([1, 2, 3, 50, 300, 900]))) for i in range(2000)]

@@ -68,3 +68,23 @@ def test_empty_and_odd_tables(spark):
             out = stage(spark, docs, DATA)
             assert name == "packing" or out.columns == docs.columns
             assert out.count() >= 0
+
+
+def test_other_columns_pass_through_whatever_their_names(spark):
+    """Columns named like all that the operators add keep their values and types through every stage but the last."""
+    names = ["score", "kept_text", "n_words", "n_removed", "shard", "copy", "size", "taken", "shards", "target", "source_size", "rest", "rk", "kept", "component_id", "name_", "others_", "label", "id", "s"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300")
+    odd = docs.select(*names_first(docs, names))
+    own = {r.doc_id: [r[n] for n in names] for r in odd.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, DATA)
+        assert out.schema == odd.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in odd.schema], name
+        got = out.collect()
+        assert got and all([r[n] for n in names] == own[r.doc_id] for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, DATA).count() > 0
+
+
+def names_first(docs, names):
+    from pyspark.sql import functions as F
+
+    return [*[F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names], *docs.columns]
