@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skyfold.functions.vec import NAN, Vec, apply, clip, matrix, not_nan, safe_div
 
+from .ranks import numbered, percentiles, value_counts
+
 EARTH_M = 6378137.0
 #: Thresholds (m) of the statistics.
 THRESHOLDS = (100, 250, 500, 750, 1000)
@@ -82,23 +83,39 @@ def statistics(errors: DataFrame, column: str = "nadir_equiv_error_m", by: list[
 
     Percentiles interpolate linearly. Any NaN makes the moments NaN.
     """
-    e = F.col(column)
+    keys, shares = by or [], (50, 25, 75, 90, 95, 99)
+    counts = value_counts(errors, column, keys)
+    v, c = F.col("_v"), F.col("_c")
+    n, mean, square = F.sum(F.when(v.isNotNull(), c)), F.sum(v * c), F.sum(v * v * c)
     aggs = [
-        F.count(e).alias("num_measurements"), F.avg(e).alias("mean_error_m"), F.percentile(e, 0.5).alias("median_error_m"), F.sqrt(F.avg(e * e)).alias("rms_error_m"), F.stddev_pop(e).alias("std_error_m"),
-        F.min(e).alias("min_error_m"), F.max(e).alias("max_error_m"), *(F.percentile(e, p / 100).alias(f"p{p}_error_m") for p in (25, 75, 90, 95, 99)), *(percent_below(e, float(t)).alias(f"percent_under_{t}m") for t in THRESHOLDS),
+        F.coalesce(n, F.lit(0)).alias("num_measurements"), safe_div(mean, n).alias("mean_error_m"), F.sqrt(safe_div(square, n)).alias("rms_error_m"),
+        F.sqrt(F.greatest(F.lit(0.0), safe_div(square, n) - safe_div(mean, n) * safe_div(mean, n))).alias("std_error_m"),
+        F.min(v).alias("min_error_m"), F.max(v).alias("max_error_m"),
+        *(F.coalesce(F.try_divide(F.sum(F.when(not_nan(v) & (v < float(t)), c * 100.0).otherwise(0.0)), F.sum(c)), F.lit(0.0)).alias(f"percent_under_{t}m") for t in THRESHOLDS),
     ]
-    return errors.groupBy(*(by or [])).agg(*aggs)
+    got, order = counts.groupBy(*keys).agg(*aggs), percentiles(counts, [p / 100 for p in shares], keys)
+    if keys:
+        same = [F.col(f"_b_{k}").eqNullSafe(F.col(f"`{k}`")) for k in keys]
+        both = got.join(order.withColumnsRenamed({k: f"_b_{k}" for k in keys}), same, "left")
+    else:
+        both = got.join(F.broadcast(order), F.lit(True), "left")  # one row each
+    at = {f"p{p}_error_m": F.get("percentiles", F.lit(i)) for i, p in enumerate(shares)}
+    at["median_error_m"] = at.pop("p50_error_m")
+    return both.withColumns(at).select(*keys, "num_measurements", "mean_error_m", "median_error_m", "rms_error_m", "std_error_m", "min_error_m", "max_error_m", *[f"p{p}_error_m" for p in shares[1:]], *[f"percent_under_{t}m" for t in THRESHOLDS])
 
 
 def union_matches(*tables: DataFrame) -> DataFrame:
     """All rows, `table_index` and `measurement` telling their place; a column that only some tables have is null in others.
 
-    measurement counts from 0 in each table, by what the table's own column of that name orders (else by no order).
+    measurement counts from 0 in each table, by what the table's own column of that name orders (else by a hash of the row).
     """
     out = None
     for i, t in enumerate(tables):
-        order = Window.orderBy("measurement") if "measurement" in t.columns else Window.orderBy(F.monotonically_increasing_id())
-        t = t.withColumn("table_index", F.lit(i)).withColumn("measurement", F.row_number().over(order) - 1)
+        if "measurement" in t.columns:
+            t = numbered(t.withColumnRenamed("measurement", "_own"), "_own", "measurement").drop("_own")
+        else:
+            t = numbered(t.withColumn("_own", F.xxhash64(*[F.col(f"`{c}`") for c in t.columns])), "_own", "measurement").drop("_own")
+        t = t.withColumn("table_index", F.lit(i))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 

@@ -33,9 +33,8 @@ def gaps(windows: DataFrame, requests: DataFrame, by: list[str]) -> DataFrame:
     A request that stops before it starts is an error of the whole query.
     """
     asked = requests.select(*by, F.col("start").alias("q0"), F.when(F.col("stop") < F.col("start"), F.raise_error(F.lit("a request stops before it starts")).cast("long")).otherwise(F.col("stop")).alias("q1"))
-    own = asked.join(merge(windows, by), by, "left").where("start is null or (stop >= q0 and start <= q1)")
-    empty = asked.join(own.select(*by).distinct(), by, "left_anti").select(*by, "q0", "q1", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"))
-    own = own.select(*by, "q0", "q1", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).unionByName(empty)
+    have = merge(windows, by).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    own = asked.join(have, [*[F.col(c) == F.col(f"_w_{c}") for c in by], F.col("stop") >= F.col("q0"), F.col("start") <= F.col("q1")], "left").select(*by, "q0", "q1", "start", "stop")
     order = Window.partitionBy(*by).orderBy("start")
     cells = own.withColumns({"prev": F.coalesce(F.lag("stop").over(order), F.col("q0")), "last": F.lead("start").over(order).isNull()})
     head = cells.select(*by, F.col("prev").alias("start"), F.coalesce(F.least("start", "q1"), F.col("q1")).alias("stop"))

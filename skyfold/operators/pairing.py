@@ -82,11 +82,11 @@ def find_pairs(images: DataFrame, points: DataFrame, max_distance_m: float = 0.0
     worst = F.least(F.lit(89.0), F.greatest(F.abs(F.greatest(*la)), F.abs(F.least(*la))) + pad)
     wide = F.lit(pad) / F.cos(F.radians(worst)) + 1e-9
     cells = lambda low, high: F.sequence(F.floor(low / cell_deg).cast("long"), F.floor(high / cell_deg).cast("long"))
-    boxed = images.withColumn("_y", F.explode(cells(F.least(*la) - pad, F.greatest(*la) + pad))).withColumn("_x", F.explode(cells(F.least(*lo) - wide, F.greatest(*lo) + wide)))
-    shifted = points.select("gcp_id", F.col("lat").alias("_lat"), F.explode(F.array(F.col("lon") - 360.0, F.col("lon"), F.col("lon") + 360.0)).alias("_lon"))
+    boxed = tangent_plane(images).withColumn("_y", F.explode(cells(F.least(*la) - pad, F.greatest(*la) + pad))).withColumn("_x", F.explode(cells(F.least(*lo) - wide, F.greatest(*lo) + wide)))
+    at = points.select("gcp_id", "lat", "lon").withColumns(dict(zip(("_px", "_py", "_pz"), G.geodetic_to_ecef(F.col("lon"), F.col("lat"), lit(0.0), meters=True), strict=True)))
+    shifted = at.select("gcp_id", "_px", "_py", "_pz", F.col("lat").alias("_lat"), F.explode(F.array(F.col("lon") - 360.0, F.col("lon"), F.col("lon") + 360.0)).alias("_lon"))
     placed = shifted.withColumns({"_y": F.floor(F.col("_lat") / cell_deg).cast("long"), "_x": F.floor(F.col("_lon") / cell_deg).cast("long")})
-    met = tangent_plane(boxed).join(placed, ["_y", "_x"])
-    met = met.withColumns(dict(zip(("_px", "_py", "_pz"), G.geodetic_to_ecef(F.col("_lon"), F.col("_lat"), lit(0.0), meters=True), strict=True)))
+    met = boxed.join(placed, ["_y", "_x"])
     met = met.withColumns(dict(zip(("_e", "_n"), _in_plane(Vec.columns("_p")), strict=True)))
     ring = [(F.col(f"_e{k}"), F.col(f"_n{k}")) for k in range(4)]
     hit = met.withColumn("margin_m", signed_distance((F.col("_e"), F.col("_n")), ring)).where(F.col("margin_m") >= max_distance_m)

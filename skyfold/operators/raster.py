@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from skyfold.functions.vec import NAN, safe_div
 
+from .ranks import bucket_of
+
 KM_PER_DEG = 111.0
 
 
@@ -247,6 +249,30 @@ def bilinear_at(points: DataFrame, cells: DataFrame, fill: float = 0.0) -> DataF
     return agg.select(*points.columns, F.when(F.col("_miss") > 0, F.lit(fill)).otherwise(F.col("_s")).alias("value"))
 
 
+def nearest_entry(points: DataFrame, entries: DataFrame, at: str, axis: str, key: str, name: str) -> DataFrame:
+    """key and the name of the entry whose axis value is nearest to at, the first (by name) of equally near ones; no join of all pairs.
+
+    Entries and points are ordered together inside ranges of the axis. What a range does not hold is the last entry
+    before it and the first one after it: two values a range, sent along with it.
+    """
+    every = entries.groupBy(F.col(axis).cast("double").alias("_x")).agg(F.min(name).alias("_e"))
+    asked = points.select(F.col(key), F.col(at).cast("double").alias("_x"))
+    bucket = bucket_of(asked, "_x")
+    held = every.withColumn("_b", bucket)
+    edge = held.groupBy("_b").agg(F.min(F.struct("_x", "_e")).alias("_low"), F.max(F.struct("_x", "_e")).alias("_high"))
+    order = Window.orderBy("_b")  # a row for each range
+    ranges = asked.select(bucket.alias("_b")).distinct().unionByName(edge.select("_b")).distinct().join(edge, "_b", "left")
+    before, after = F.last("_high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("_low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    ends = ranges.select("_b", before.alias("_before"), after.alias("_after"))
+    rows = asked.withColumn("_b", bucket).select(key, "_x", "_b", F.lit(None).cast(every.schema["_e"].dataType).alias("_e"))
+    rows = rows.unionByName(held.select(F.lit(None).cast(asked.schema[key].dataType).alias(key), "_x", "_b", "_e"))
+    entry = F.when(F.col("_e").isNotNull(), F.struct("_x", "_e"))
+    up, down = Window.partitionBy("_b").orderBy("_x"), Window.partitionBy("_b").orderBy(F.desc("_x"))
+    rows = rows.withColumns({"_l": F.last(entry, ignorenulls=True).over(up), "_r": F.last(entry, ignorenulls=True).over(down)}).where(F.col(key).isNotNull()).join(F.broadcast(ends), "_b", "left")
+    near = F.array_sort(F.transform(F.filter(F.array("_l", "_r", "_before", "_after"), lambda c: c.isNotNull()), lambda c: F.struct(F.abs(c["_x"] - F.col("_x")).alias("d"), c["_e"].alias("e"))))
+    return rows.select(key, F.get(near, F.lit(0))["e"].alias(name))
+
+
 def quad_corners(cells: DataFrame, key: str = "image_id") -> DataFrame:
     """Quadrilaterals of neighbouring grid points of each image: key, i, j, x0..x3, y0..y3, v0..v3 (around)."""
     w = Window.partitionBy(key, "col").orderBy("row")

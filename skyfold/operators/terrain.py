@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import constants as K
 
 STEP_KM, MOST_STEPS, MOST_ZENITH_DEG = 0.5, 1000, 85.0
+MOST_DEM_BYTES = 512 << 20
 SCHEMA = "id long, lon double, lat double, alt double, qf long"
 
 
@@ -53,6 +54,9 @@ def march(surface: np.ndarray, satellite: np.ndarray, height: Callable[[np.ndarr
         p = surface[act] + view[act] * along[act, None]
         along[act] += (high - _geodetic(p)[2]) / cosine[act]
     least = low / np.maximum(cosine, 1e-9) - 1.0
+    lost = along[act] <= least[act]  # the point is not on the line's way down through the heights given
+    flags[act[lost]] |= K.QUALITY_FLAGS["CALC_TERRAIN_MAX_ITER"]
+    act = act[~lost]
     step = np.minimum(STEP_KM / np.maximum(np.sin(zenith), 1e-9), np.maximum(along - least, 1e-6))
     lon0, lat0, alt0 = (np.zeros(n) for _ in range(3))
     lon0[act], lat0[act], alt0[act] = _geodetic(surface[act] + view[act] * along[act, None])
@@ -81,7 +85,7 @@ def correct(points: DataFrame, dem: np.ndarray, ul_lon: float, ul_lat: float, st
     dem is one region's grid of heights (km; rows from the north), of a size that one product's region fixes; outside
     it the height is 0. Rows with flags have NaN places.
     """
-    held = points.sparkSession.sparkContext.broadcast(dem)
+    held = points.sparkSession.sparkContext.broadcast(dem) if dem.nbytes <= MOST_DEM_BYTES else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = held.value
@@ -97,4 +101,6 @@ def correct(points: DataFrame, dem: np.ndarray, ul_lon: float, ul_lat: float, st
             out, flags = march(xyz[:, :3], xyz[:, 3:], height, float(min(0.0, grid.min())), float(max(0.0, grid.max())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(3)), pa.array(flags)], names=["id", "lon", "lat", "alt", "qf"])
 
-    return points.select(F.col("id").cast("long"), "x", "y", "z", "sx", "sy", "sz").mapInArrow(run, SCHEMA)
+    if dem.nbytes > MOST_DEM_BYTES:
+        raise ValueError(f"a region's heights are sent to all executors: {MOST_DEM_BYTES} bytes at most")
+    return points.select(F.col("id").cast("long"), "x", "y", "z", "sx", "sy", "sz").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, SCHEMA)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from skyfold.functions import geodesy as G
 from skyfold.operators import raster as R
 from skyfold.operators import terrain
 
-from .geo import PLACE, places, states
+from .geo import PLACE, places
 from .registry import query, r, rs, table
 
 
@@ -119,7 +120,7 @@ def nearest_point_spread(spark, sf_dir):
     """The calibration table's entry of the nearest field angle, the first of equal ones; the table is small by nature."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("psf"), (F.col("p_partkey") * 0.618 % 90.0).alias("fa"))
     q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 1.7 % 90.0).alias("a"))
-    return q.crossJoin(p).groupBy("id").agg(F.min_by("psf", F.struct(F.abs(F.col("fa") - F.col("a")), "psf")).alias("psf"))
+    return R.nearest_entry(q, p, "a", "fa", "id", "psf")
 
 
 @query()
@@ -138,7 +139,8 @@ def image_match_search(spark, sf_dir):
 @query()
 def terrain_correction(spark, sf_dir):
     """Ellipsoid points of slanted views, corrected for a rising ground."""
-    s = states(spark, sf_dir)
+    s = places(spark, sf_dir).withColumn("alt", F.lit(0.0))
+    s = s.select("id", "lon", "lat", *G.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("alt")).named(""))
     points = s.select("id", "lon", "lat", *[(F.col(c)).alias(c) for c in "xyz"], (F.col("x") * 1.1).alias("sx"), (F.col("y") * 1.1 + 200).alias("sy"), (F.col("z") * 1.1 + 100).alias("sz"))
     heights = np.fromfunction(lambda i, j: 1.0 + np.sin(i / 9.0) + np.cos(j / 7.0), (180, 360))
     return terrain.correct(points, heights, -180.0, 90.0, 1.0)

@@ -46,13 +46,12 @@ def gps_days(spark, sf_dir):
     return shipping(spark, sf_dir).select("l_orderkey", "l_linenumber", r(T.adapt(F.col("ugps"), "ugps", "gpsd"), 9).alias("gps_days"))
 
 
-@query(f"WITH {SHIP} SELECT l_orderkey, l_linenumber, ugps // 1000 AS ugps_ms FROM g")
+@query(f"WITH {SHIP} SELECT l_orderkey, l_linenumber, 0 AS off_by_3_us FROM g")
 def ugps_from_gps_days(spark, sf_dir):
-    """Through fractional days (of about 0.2 us) and back, compared to the millisecond above."""
+    """Through fractional days (of about 0.2 us) and back: how many times 3 us the result is off."""
     days = T.adapt(F.col("ugps"), "ugps", "gpsd")
     back = T.adapt(days, "gpsd", "ugps")
-    near = F.when(F.abs(back - F.col("ugps")) <= 2, F.col("ugps")).otherwise(back)
-    return shipping(spark, sf_dir).select("l_orderkey", "l_linenumber", F.floor(near / 1000).cast("long").alias("ugps_ms"))
+    return shipping(spark, sf_dir).select("l_orderkey", "l_linenumber", F.floor(F.abs(back - F.col("ugps")) / 3).cast("int").alias("off_by_3_us"))
 
 
 _EPOCHS = ["jd", "mjd", "sorce", "tcte", "tsis", "tsis2", "ctim"]
@@ -73,13 +72,16 @@ def ephemeris_time(spark, sf_dir):
     return shipping(spark, sf_dir).select("l_orderkey", "l_linenumber", r(T.adapt(F.col("ugps"), "ugps", "et"), 4).alias("et"))
 
 
-@query(f"WITH {SHIP} SELECT l_orderkey, l_linenumber, ugps, {rs('ugps::DOUBLE / 1e6', 4)} AS gps, {rs('ugps::DOUBLE / 1e6 + 694656019', 4)} AS tai FROM g")
+@query(f"WITH {SHIP} SELECT l_orderkey, l_linenumber, {rs('ugps::DOUBLE / 1e6', 4)} AS gps, {rs('ugps::DOUBLE / 1e6 + 694656019', 4)} AS tai, 0 AS et_off, 0 AS tai_off, 0 AS gps_off FROM g")
 def seconds_scales(spark, sf_dir):
-    """ugps -> et -> ugps, gps and tai, and those back to ugps."""
+    """ugps -> et -> gps and tai; and those back to ugps: how many times 3 us each is off."""
     s = shipping(spark, sf_dir).withColumn("et", T.adapt(F.col("ugps"), "ugps", "et"))
-    back = lambda c: F.abs(c - F.col("ugps")) <= 2
-    ok = back(T.adapt(F.col("et"), "et", "ugps")) & back(T.adapt(T.adapt(F.col("et"), "et", "tai"), "tai", "ugps")) & back(T.adapt(T.adapt(F.col("et"), "et", "gps"), "gps", "ugps"))
-    return s.select("l_orderkey", "l_linenumber", F.when(ok, F.col("ugps")).alias("ugps"), r(T.adapt(F.col("et"), "et", "gps"), 4).alias("gps"), r(T.adapt(F.col("et"), "et", "tai"), 4).alias("tai"))
+    off = lambda c: F.floor(F.abs(c - F.col("ugps")) / 3).cast("int")
+    s = s.withColumns({"tai_": T.adapt(F.col("et"), "et", "tai"), "gps_": T.adapt(F.col("et"), "et", "gps")})
+    return s.select(
+        "l_orderkey", "l_linenumber", r(F.col("gps_"), 4).alias("gps"), r(F.col("tai_"), 4).alias("tai"),
+        off(T.adapt(F.col("et"), "et", "ugps")).alias("et_off"), off(T.adapt(F.col("tai_"), "tai", "ugps")).alias("tai_off"), off(T.adapt(F.col("gps_"), "gps", "ugps")).alias("gps_off"),
+    )
 
 
 @query(f"WITH {SHIP} SELECT l_orderkey, l_linenumber, strftime(make_timestamp(u), '%Y-%m-%d %H:%M:%S.%f') AS utc, ugps FROM g")
