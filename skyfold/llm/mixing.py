@@ -22,6 +22,8 @@ from . import common
 BLOCK_ROWS, LEAST_BLOCKS = 4096, 16
 #: A source column with more values than this is refused: per-source plans are made on the driver.
 MOST_SOURCES = 100_000
+#: Numbers of draws, of all sources and shards, that are sent to all executors; more of them are joined.
+MOST_SENT = 4_000_000
 #: Words of the mix in a shard, on average, between these numbers of shards; and in one partition of a shard.
 SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS, PART_WORDS = 8_000_000, 32, 1024, 8_000_000
 
@@ -78,7 +80,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     added = {"size", "source_size", "target", "taken", "shards"}
     keep = [c for c in docs.columns if c not in added]
     name = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("name_")
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), "source", name, word_count(F.col("text")).alias("size"))
+    # Columns under names of their own, not in a struct: what the caller does not select is then pruned before all joins.
+    doc = docs.select(*[F.col(f"`{c}`").alias(f"rest{i}_") for i, c in enumerate(keep)], "source", name, word_count(F.col("text")).alias("size"))
     slim = common.cut(doc.select("source", "name_", "size"))
     totals = slim.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -96,7 +99,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     key = F.struct(F.col("source").isNull().alias("no"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")).alias("s")
     block = F.pmod(F.col("name_"), F.col("blocks")).alias("block")
 
-    placed = slim.select(key, "name_", "size").join(plan, "s").select("s", block, "name_", "size", "passes", "extra")
+    # The plan has MOST_SOURCES rows at most.
+    placed = slim.select(key, "name_", "size").join(F.broadcast(plan), "s").select("s", block, "name_", "size", "passes", "extra")
     summed = placed.groupBy("s", "block", "passes", "extra").agg(F.sum("size").alias("n"))
     order = Window.partitionBy("s").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
     ranked = summed.select("s", "block", "passes", "extra", "n", (F.row_number().over(order) - 1).alias("rank"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
@@ -116,7 +120,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     ties = ties.withColumn("rest_", F.col("left") - F.sum(F.col("size") * F.col("k")).over(inner) + F.col("size") * F.col("k"))
     bits = ties.select("s", "block", "name_", F.col("size").alias("size_"), F.least("size", F.floor(F.greatest(F.lit(0), F.col("rest_")) / F.col("k"))).alias("bit"))
 
-    out = doc.select("rest", key, "name_", "size").join(plan, "s").withColumn("block", block)
+    own_columns = [f"rest{i}_" for i in range(len(keep))]
+    out = doc.select(*own_columns, key, "name_", "size").join(F.broadcast(plan) if len(rows) * shards <= MOST_SENT else plan, "s").withColumn("block", block)
     out = out.join(ranked.select("s", "block", "rank", "left", F.col("n").alias("whole")), ["s", "block"])
     out = out.join(bits, ["s", "block", "name_"], "left")
     # A block's draws are numbers rank, rank + own, rank + 2 own .. of its source's sequence; a shard drew those between its ends.
@@ -126,7 +131,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         lambda p: F.struct(F.size(F.filter("ends", lambda e: e <= p * F.col("own") + F.col("rank"))).alias("shard"), F.when(p < F.col("passes"), F.col("size")).otherwise(last).cast("long").alias("words"), (p < F.col("passes")).alias("whole")),
     )
     out = out.withColumn("draws", F.filter(draws, lambda d: (d["shard"] < F.size("ends")) & (d["whole"] | (d["words"] > 0))))
-    out = out.select("rest.*", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
+    out = out.select(*[F.col(a).alias(c) for a, c in zip(own_columns, keep, strict=True)], "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
     out._parts_of_a_shard = max(1, -(-int(sum(goal)) // (shards * PART_WORDS)))
     return out
 
