@@ -175,6 +175,15 @@ def merge_telemetry_packets(spark, sf_dir):
     return readers.merge_telemetry([part(2, "value", "x"), part(3, "user_id", "y"), part(5, "event_type", "z")])
 
 
+@query("""WITH a AS (SELECT event_id AS ert, value AS x FROM events WHERE value <= 80 OR value IS NULL OR event_type = 'error'), b AS (SELECT event_id AS ert, user_id AS y FROM events WHERE value > 20), c AS (SELECT event_id AS ert, event_type AS z FROM events WHERE event_type IN ('click', 'view'))
+  SELECT ert, x, y, z FROM a FULL JOIN b USING (ert) FULL JOIN c USING (ert)""")
+def merge_overlapping_packets(spark, sf_dir):
+    """Packets that overlap and leave no event out: every row of the table is in one at least."""
+    e = table(spark, sf_dir, "events")
+    part = lambda rows, c, out: e.where(rows).select(F.col("event_id").alias("ert"), F.col(c).alias(out))
+    return readers.merge_telemetry([part("value <= 80 OR value IS NULL OR event_type = 'error'", "value", "x"), part("value > 20", "user_id", "y"), part("event_type IN ('click', 'view')", "event_type", "z")])
+
+
 @query("SELECT user_id AS norad_cat_id, event_type AS epoch, event_id AS file FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1")
 def read_two_line_elements(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("NORAD_CAT_ID"), F.col("event_type").alias("EPOCH"), F.col("ts").alias("CREATION_DATE"), F.col("event_id").alias("FILE"))
