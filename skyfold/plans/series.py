@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -212,9 +214,7 @@ def text_kernel_issues(spark, sf_dir):
 @query("SELECT n_nationkey AS pair_idx FROM nation WHERE n_regionkey <> 2")
 def unfinished_pairs(spark, sf_dir):
     """What a sweep that broke off has left to do, from the partitions it wrote."""
-    import tempfile
-
-    path = tempfile.mkdtemp() + "/results" if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/results-{spark.sparkContext.applicationId}"
+    path = f"{writers.shared_folder(spark)}/results-{uuid.uuid4().hex}"
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "pair_idx")
     n.where("n_regionkey = 2").select("pair_idx", F.lit(1.0).alias("rms_error_m")).write.mode("overwrite").partitionBy("pair_idx").parquet(path)
     return writers.unfinished(spark, n.select("pair_idx"), path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
     return new
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master only, an own one where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="results-")
+
+
 def write_pair_results(results: DataFrame, path: str) -> None:
     """One partition a pair, so a run that broke off goes on with the pairs that are missing."""
     results.write.mode("append").partitionBy("pair_idx").parquet(path)
