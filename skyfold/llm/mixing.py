@@ -154,4 +154,5 @@ def draw(mixed: DataFrame) -> DataFrame:
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.when(words < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "shard", "copy")
     order = F.xxhash64("shard", "doc_id", F.col("text"), "copy")
     range_ = F.floor((F.shiftrightunsigned(order, 33) * parts) / F.lit(1 << 31)).cast("int")
-    return rows.repartition(common.parts(mixed.sparkSession) * parts, "shard", range_).sortWithinPartitions("shard", F.shiftrightunsigned(order, 1), "copy")
+    # Dealt by number, not by hash: then no task gets a second shard while another has none.
+    return rows.repartitionById(common.parts(mixed.sparkSession) * parts, (F.col("shard") * parts + range_).cast("int")).sortWithinPartitions("shard", F.shiftrightunsigned(order, 1), "copy")

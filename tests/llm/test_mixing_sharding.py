@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import WORD
+from pyspark.sql import functions as F
 from skyfold.llm import mixing, sharding
 
 DATA = "/root/testdata"
@@ -111,3 +112,15 @@ def test_shards(spark):
         homes[text[r.doc_id]].add(r.shard)
         weight[text[r.doc_id]] += r.size
     assert all(len(homes[t]) == 1 or weight[t] > sum(sizes.values()) / 24 / 8 for t in homes)
+
+
+def test_shards_are_dealt_evenly_to_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        mixed = mixing.plan_mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+        drawn = mixing.draw(mixed).select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r.shard for r in drawn}) == mixing.LEAST_SHARDS
+    assert len(drawn) == len({r.shard for r in drawn}) == len({r.task for r in drawn})
