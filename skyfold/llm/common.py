@@ -151,11 +151,13 @@ def may_hold(bits: np.ndarray, keys: pa.Array) -> pa.Array:
     return pa.array((one & two).astype(bool))
 
 
-def divide(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def divide(rows: DataFrame, key: str, keys: DataFrame, among: tuple | None = None, others: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """Two parts of rows: one that holds all rows whose key (a long, never null) is among keys, and the others.
 
     A Bloom filter of a checked size decides where the keys fit one: without an exchange, and a few other rows pass for
-    keys. Where they don't, a join decides, exactly. Either way each row is in one part.
+    keys. Where they don't, a join decides, exactly. Either way each row is in one part. among, others: what becomes of
+    that part, a function for mapInArrow and its schema; it runs in the Python worker that divides, as every task with
+    two Python operators in a row would hold two workers, and an executor's memory is that of all its workers.
     """
     bits = bloom(keys)
     if bits is None:
@@ -164,19 +166,23 @@ def divide(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataF
         for more in flat[1:]:
             named = named.unionByName(more)
         named = named.distinct()
-        return tuple(rows.join(named, key, how).select(*rows.columns) for how in ("left_semi", "left_anti"))
+        both = [(rows.join(named, key, how).select(*rows.columns), then) for how, then in (("left_semi", among), ("left_anti", others))]
+        return tuple(part.mapInArrow(*then) if then else part for part, then in both)
     held = rows.sparkSession.sparkContext.broadcast(bits)
     at = rows.columns.index(key)
 
-    def part(wanted: bool):
+    def part(wanted: bool, then: tuple | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 mask = may_hold(held.value, batch.column(at))
                 yield batch.filter(mask if wanted else pc.invert(mask))
 
-        return rows.mapInArrow(run, rows.schema)
+        if then is None:
+            return rows.mapInArrow(run, rows.schema)
+        made, schema = then
+        return rows.mapInArrow(lambda batches: made(run(batches)), schema)
 
-    return part(True), part(False)
+    return part(True, among), part(False, others)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, tokens, words
 
 U = np.uint64
 BANDS, ROWS = 32, 4
@@ -112,6 +112,7 @@ def most_bits(share: int, fine: bool = False) -> float:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     for batch in batches:
         data, offsets = words.buffers(batch.column(1))
         for i, j in words.chunks(offsets):
@@ -206,7 +207,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
 
     A vertex with many partners is dealt to several tasks, each with its set and at most 500 or so partners.
     """
-    sets = common.divide(texts, "id", pairs.select("a", "b"))[0].mapInArrow(_sets_of, "id long, shingles binary")
+    sets, _ = common.divide(texts, "id", pairs.select("a", "b"), among=(_sets_of, "id long, shingles binary"))
     loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("m"))
     left = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
     right = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("salt"), "b", F.col("b").alias("id"))
@@ -311,7 +312,7 @@ def _rest(placed: DataFrame, own: DataFrame, bands: DataFrame, share: int, block
     old.append(waiting)
     crowded = waiting.where(F.col("m") > block)
     split = bool(crowded.limit(1).count())
-    fine = common.divide(own, "id", waiting.select("id"))[0].mapInArrow(_fine_of(split), "id long, sketch array<long>, keys array<long>")
+    fine, _ = common.divide(own, "id", waiting.select("id"), among=(_fine_of(split), "id long, sketch array<long>, keys array<long>"))
     fine = fine.join(waiting.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     if split:
         fine = common.cut(fine)

@@ -391,7 +391,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, always_join: bool = True,
     shape = marked.select("rest").schema
     arrow = to_arrow_schema(shape)
     result = T.StructType([*shape.fields, *(T.StructField(c, t) for c, t in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())))])
-    some, none = common.divide(marked, "rk", repeats.select("docs"))
+    some, none = common.divide(marked, "rk", repeats.select("docs"), others=(_whole(always_join, arrow), result))
     some = some.withColumn("home", home).groupBy("home").cogroup(repeats.groupBy("home")).applyInArrow(_strip(arrow, window, always_join), result)
-    none = none.mapInArrow(_whole(always_join, arrow), result)
     return none.unionByName(some).select("rest.*", "kept_text", "n_words", "n_removed")

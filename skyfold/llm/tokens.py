@@ -10,6 +10,8 @@ from itertools import compress
 
 import numpy as np
 
+from .words import release
+
 #: Words that one worker process remembers at most, in two generations.
 CACHE_WORDS = 2_400_000
 _EDGE = re.compile(rb"[a-z]{2,}[.,]")
@@ -134,3 +136,10 @@ class WordTokenizer:
 def tokenizer_of(path: str, cache_words: int = CACHE_WORDS) -> WordTokenizer | PlainTokenizer:
     """The way by words where the file allows it, else the plain one; both give the tokenizer's ids."""
     return WordTokenizer(path, cache_words) if splits_at_spaces(path) else PlainTokenizer(path)
+
+
+def forget() -> None:
+    """Let go of a worker's tokenizers and the words they remember: workers live on, and the memory is then another operator's."""
+    if tokenizer_of.cache_info().currsize:
+        tokenizer_of.cache_clear()
+        release()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, words
+from . import common, tokens, words
 
 U = np.uint64
 SLOT_BITS = 18
@@ -215,6 +215,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     schema = T.StructType([rest.schema["rest"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         model = held.value
         for batch in batches:
             data, offsets = words.buffers(batch.column(0))
