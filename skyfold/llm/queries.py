@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, neardup, packing, pipeline, sharding, substrings, toxicity, vectors, viterbi
+from . import alignment, chat, divergence, fingerprints, mixing, neardup, packing, pipeline, quality, sharding, substrings, toxicity, vectors, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,5 +142,69 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"pipeline": pipeline.run} | {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_neardup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_embedding_neardup": OP9_SQL}
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t SEMI JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum((y.p - z.p) * (y.p - z.p) // (y.p + z.p)) FROM p y JOIN p z ON y.term = z.term WHERE y.lang = a.lang AND z.lang = a.lang AND y.source = a.source AND z.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_lost")
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) AS t(i) WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) AS r(j) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (
+  SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, lower(line) AS low,
+    len(regexp_extract_all(line, '{quality.SYMBOLS}')) AS symbols, len(regexp_extract_all(line, '[!?]{{2,}}')) AS shouts, len(regexp_extract_all(line, '{quality.SEPARATOR}')) AS parts
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+x AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+    sum(CASE WHEN (parts >= 2 AND parts * 5 >= words) OR trim(low) IN ({", ".join(f"'{m}'" for m in quality.MENU)}) OR symbols * 2 > words OR shouts * 3 > words
+      OR NOT regexp_matches(line, '{quality.SENTENCE}') OR regexp_matches(low, '{"|".join(quality.NOTICES)}') THEN chars ELSE 0 END) AS chars_lost FROM m GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '{quality.SYMBOLS}')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(chars_lost, 0) AS chars_lost
+  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * chars_lost <= 50 * word_chars AS kept, CAST(chars_lost AS BIGINT) AS chars_lost
+FROM b
+"""
+
+
+QUERIES = {"pipeline": pipeline.run} | {f.__name__: f for f in (op1_chat_formatting, op2_vector_packing, op3_minhash_neardup, op4_substring_dedup, op5_toxicity_fm, op6_source_mixing, op7_sharding, op8_token_counts, op9_embedding_neardup, op10_fingerprints, op11_divergence_audit, op12_cross_tokenizer_alignment, op13_quality_rules)}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_neardup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_embedding_neardup": OP9_SQL, "op11_divergence_audit": OP11_SQL, "op13_quality_rules": OP13_SQL}
