@@ -87,13 +87,20 @@ def statistics(errors: DataFrame, column: str = "nadir_equiv_error_m", by: list[
     counts = value_counts(errors, column, keys)
     v, c = F.col("_v"), F.col("_c")
     n, mean, square = F.sum(F.when(v.isNotNull(), c)), F.sum(v * c), F.sum(v * v * c)
+    means = counts.groupBy(*keys).agg(safe_div(mean, n).alias("_mean"))
+    if keys:
+        of = [F.col(f"_m_{k}").eqNullSafe(F.col(f"`{k}`")) for k in keys]
+        centred = counts.join(means.withColumnsRenamed({k: f"_m_{k}" for k in keys}), of)
+    else:
+        centred = counts.join(F.broadcast(means), F.lit(True))  # one row
+    aside = (v - F.col("_mean")) * (v - F.col("_mean"))
     aggs = [
         F.coalesce(n, F.lit(0)).alias("num_measurements"), safe_div(mean, n).alias("mean_error_m"), F.sqrt(safe_div(square, n)).alias("rms_error_m"),
-        F.sqrt(F.greatest(F.lit(0.0), safe_div(square, n) - safe_div(mean, n) * safe_div(mean, n))).alias("std_error_m"),
+        F.sqrt(safe_div(F.sum(aside * c), n)).alias("std_error_m"),
         F.min(v).alias("min_error_m"), F.max(v).alias("max_error_m"),
         *(F.coalesce(F.try_divide(F.sum(F.when(not_nan(v) & (v < float(t)), c * 100.0).otherwise(0.0)), F.sum(c)), F.lit(0.0)).alias(f"percent_under_{t}m") for t in THRESHOLDS),
     ]
-    got, order = counts.groupBy(*keys).agg(*aggs), percentiles(counts, [p / 100 for p in shares], keys)
+    got, order = centred.groupBy(*keys).agg(*aggs), percentiles(counts, [p / 100 for p in shares], keys)
     if keys:
         same = [F.col(f"_b_{k}").eqNullSafe(F.col(f"`{k}`")) for k in keys]
         both = got.join(order.withColumnsRenamed({k: f"_b_{k}" for k in keys}), same, "left")

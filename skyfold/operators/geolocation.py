@@ -51,12 +51,12 @@ def on_ellipsoid(pointing: DataFrame) -> DataFrame:
 def on_terrain(rows: DataFrame, dem: np.ndarray, ul_lon: float, ul_lat: float, step: float) -> DataFrame:
     """on_ellipsoid() with places moved up the line of sight to the ground, where qf is good; others stay; flags are OR-combined.
 
-    dem: one region's heights (km). Rows are identified by ugps and pixel.
+    dem: one region's heights (km). A row's line of sight goes along with it, so rows may repeat.
     """
-    keyed = rows.withColumn("_id", F.xxhash64("ugps", "pixel"))
-    good = keyed.where("qf = 0").select(F.col("_id").alias("id"), *[F.col(f"g{a}").alias(a) for a in "xyz"], *[F.col(f"p{a}").alias(f"s{a}") for a in "xyz"])
-    moved = terrain.correct(good, dem, ul_lon, ul_lat, step).withColumnsRenamed({"id": "_id", "lon": "_lon", "lat": "_lat", "alt": "_alt", "qf": "_qf"})
-    out = keyed.join(moved, "_id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("lon", "lat", "alt")}).withColumn("qf", F.col("qf").bitwiseOR(F.coalesce("_qf", F.lit(0).cast("long"))))
+    good = F.col("qf") == 0
+    asked = rows.select(F.struct(*rows.columns).alias("id"), *[F.when(good, F.col(f"g{a}")).alias(a) for a in "xyz"], *[F.when(good, F.col(f"p{a}")).alias(f"s{a}") for a in "xyz"])
+    moved = terrain.correct(asked, dem, ul_lon, ul_lat, step).select(F.col("id.*"), *[F.col(c).alias(f"_{c}") for c in ("lon", "lat", "alt", "qf")])
+    out = moved.withColumns({c: F.when(good, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("lon", "lat", "alt")}).withColumn("qf", F.when(good, F.col("_qf")).otherwise(F.col("qf")))
     at = G.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("alt"))
     return out.withColumns({f"g{a}": c for a, c in zip("xyz", at, strict=True)}).select(*rows.columns)
 
@@ -128,12 +128,16 @@ def region_range(cells: DataFrame) -> DataFrame:
 
 
 def height_above_ellipsoid(heights: DataFrame, geoid: DataFrame, step: float, ul_lon: float, ul_lat: float, orthometric: bool = False) -> DataFrame:
-    """heights (id, lon, lat, height over the geoid) with the geoid's height added, bilinear on a regular table (ix, iy, height) that is joined by its four corners."""
+    """heights (lon, lat, height over the geoid, and other columns) with the geoid's height added, bilinear on a regular table (ix, iy, height) that is joined by its four corners.
+
+    The geoid is looked up once for each place; rows may repeat, and several may have one place. Null where the table lacks a corner.
+    """
     if orthometric:
         return heights
-    at = heights.withColumns({"_fx": (F.col("lon") - ul_lon) / step, "_fy": (ul_lat - F.col("lat")) / step})
+    places = heights.select("lon", "lat").distinct()
+    at = places.withColumns({"_fx": (F.col("lon") - ul_lon) / step, "_fy": (ul_lat - F.col("lat")) / step})
     corner = F.explode(F.array(*[F.struct((F.floor("_fx") + a).cast("long").alias("ix"), (F.floor("_fy") + b).cast("long").alias("iy"), ((F.col("_fx") - F.floor("_fx")) if a else 1 - (F.col("_fx") - F.floor("_fx"))).alias("u"), ((F.col("_fy") - F.floor("_fy")) if b else 1 - (F.col("_fy") - F.floor("_fy"))).alias("v")) for a in (0, 1) for b in (0, 1)]))
-    need = at.select("id", corner.alias("k")).select("id", "k.*").where("u * v > 0")
+    need = at.select("lon", "lat", corner.alias("k")).select("lon", "lat", "k.*").where("u * v > 0")
     near = need.join(geoid.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col("height").alias("_g")), ["ix", "iy"], "left")
-    total = near.groupBy("id").agg(F.when(F.count(F.when(F.col("_g").isNull(), 1)) == 0, F.sum(F.col("u") * F.col("v") * F.col("_g"))).alias("_g"))
-    return heights.join(total, "id", "left").withColumn("height", F.col("height") + F.col("_g")).drop("_g")
+    total = near.groupBy("lon", "lat").agg(F.when(F.count(F.when(F.col("_g").isNull(), 1)) == 0, F.sum(F.col("u") * F.col("v") * F.col("_g"))).alias("_g"))
+    return heights.join(total, ["lon", "lat"], "left").withColumn("height", F.col("height") + F.col("_g")).select(*heights.columns)

@@ -4,42 +4,69 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import scan
 
 COVERAGE_TYPES = ("SPK", "CK", "PCK")
 
 
 def merge(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Windows of each key that overlap or touch become one: by, start, stop."""
-    order = Window.partitionBy(*by).orderBy("start", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    """Windows of each key that overlap or touch become one: by, start, stop. A key's windows are divided by time."""
     longest = windows.groupBy(*by, "start").agg(F.max("stop").alias("stop"))  # also leaves no ties in the order
-    marked = longest.select(*by, "start", "stop", before.alias("_b")).withColumn("_i", F.sum(F.when(F.col("_b").isNull() | (F.col("start") > F.col("_b")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = scan.bounds_of(longest, "start")
+    seen = scan.running(longest, by, ["start"], bounds, "max", F.col("stop"), "_b", inclusive=False)
+    new = (F.col("_b").isNull() | (F.col("start") > F.col("_b"))).cast("long")
+    marked = scan.running(seen, by, ["start"], bounds, "sum", new, "_i")
     return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
 
 
 def intersect(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Common parts of each pair of windows of a key; touching windows share a point."""
-    r = right.select(*on, F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    hit = left.join(r, on).where((F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("stop")))
-    return hit.select(*on, F.greatest("start", "_s").alias("start"), F.least("stop", "_e").alias("stop"))
+    """Common parts of each pair of windows of a key; touching windows share a point. Only pairs that meet become rows."""
+    return scan.overlaps(left, right, on).select(*on, F.greatest("start", "r_start").alias("start"), F.least("stop", "r_stop").alias("stop"))
+
+
+def _ends(kind: str) -> tuple[Column, Column]:
+    """What lies before and after all times of a type."""
+    if kind in ("double", "float"):
+        return F.lit(float("-inf")), F.lit(float("inf"))
+    return F.lit(-(2**63)).cast("long"), F.lit(2**63 - 1).cast("long")
+
+
+def complement(windows: DataFrame, by: list[str]) -> DataFrame:
+    """What the windows of each key that has any leave out, from the first of all times to the last: by, start, stop."""
+    merged = merge(windows, by)
+    kind = dict(merged.dtypes)["stop"]
+    kind = kind if kind in ("double", "float") else "long"
+    first, last = _ends(kind)
+    merged = merged.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop"))
+    before = scan.running(merged, by, ["start"], scan.bounds_of(merged, "start"), "max", F.col("stop"), "_b", inclusive=False)
+    heads = before.select(*by, F.coalesce("_b", first).alias("start"), F.col("start").alias("stop"))
+    tails = merged.groupBy(*by).agg(F.max("stop").alias("start")).select(*by, "start", last.alias("stop"))
+    return heads.unionByName(tails)
 
 
-def gaps(windows: DataFrame, requests: DataFrame, by: list[str]) -> DataFrame:
-    """Parts of each key's request (by, start, stop) that its windows don't cover; parts without length are left out.
+def gaps(windows: DataFrame, requests: DataFrame, by: list[str], error: bool = False, with_request: bool = False) -> DataFrame:
+    """Parts of each request (by, start, stop) that its key's windows don't cover; parts without length are left out.
 
-    A request that stops before it starts is an error of the whole query.
+    A key may have several requests, that may overlap; equal ones count once. with_request adds request_start and
+    request_stop. Times are whole or floating numbers; if either side has fractions, so do the gaps. A request that stops before it
+    starts is an error of the whole query; with error, so is any gap.
     """
-    asked = requests.select(*by, F.col("start").alias("q0"), F.when(F.col("stop") < F.col("start"), F.raise_error(F.lit("a request stops before it starts")).cast("long")).otherwise(F.col("stop")).alias("q1"))
-    have = merge(windows, by).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
-    own = asked.join(have, [*[F.col(c) == F.col(f"_w_{c}") for c in by], F.col("stop") >= F.col("q0"), F.col("start") <= F.col("q1")], "left").select(*by, "q0", "q1", "start", "stop")
-    order = Window.partitionBy(*by).orderBy("start")
-    cells = own.withColumns({"prev": F.coalesce(F.lag("stop").over(order), F.col("q0")), "last": F.lead("start").over(order).isNull()})
-    head = cells.select(*by, F.col("prev").alias("start"), F.coalesce(F.least("start", "q1"), F.col("q1")).alias("stop"))
-    tail = cells.where("last and stop is not null").select(*by, F.greatest("stop", "q0").alias("start"), F.col("q1").alias("stop"))
-    return head.unionByName(tail).where("start < stop")
+    kinds = {dict(df.dtypes)[c] for df in (windows, requests) for c in ("start", "stop")}
+    kind = "double" if kinds & {"double", "float"} or any(k.startswith("decimal") for k in kinds) else "long"
+    stop = F.when(F.col("stop") < F.col("start"), F.raise_error(F.lit("a request stops before it starts")).cast(kind)).otherwise(F.col("stop").cast(kind))
+    asked = requests.select(*by, F.col("start").cast(kind).alias("start"), stop.alias("stop")).distinct()
+    free = complement(windows.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop")), by)
+    bare = asked.join(windows.select(*[F.col(b).alias(f"_k_{b}") for b in by]).distinct(), [F.col(b) == F.col(f"_k_{b}") for b in by], "left_anti") if by else asked.limit(0)
+    got = scan.overlaps(asked, free, by).unionByName(bare.select(*by, "start", "stop", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")))
+    asks = [F.col("start").alias("request_start"), F.col("stop").alias("request_stop")] if with_request else []
+    got = got.select(*by, F.greatest("start", "r_start").alias("_low"), F.least("stop", "r_stop").alias("_high"), *asks).where("_low < _high").withColumnsRenamed({"_low": "start", "_high": "stop"})
+    if error:  # in a column, not in a filter, which would be moved below joins
+        text = F.concat(F.lit("a request is not covered from "), F.col("start").cast("string"), F.lit(" to "), F.col("stop").cast("string"))
+        got = got.withColumn("start", F.raise_error(text).cast(kind))
+    return got
 
 
 def rollup(segments: DataFrame, by: list[str]) -> DataFrame:
@@ -65,8 +92,8 @@ def object_coverage(catalog: DataFrame) -> DataFrame:
 def valid_window(catalog: DataFrame, object_ids: list) -> DataFrame:
     """Windows in which all objects are covered: start, stop."""
     own = object_coverage(catalog).where(F.col("object_id").isin(*object_ids))
-    each = [own.where(F.col("object_id") == i).select(F.lit(1).alias("k"), "start", "stop") for i in object_ids]
-    return reduce(lambda a, b: intersect(a, b, ["k"]), each).select("start", "stop")
+    each = [own.where(F.col("object_id") == i).select("start", "stop") for i in object_ids]
+    return reduce(lambda a, b: intersect(a, b, []), each)
 
 
 def missing_objects(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -78,5 +105,5 @@ def missing_objects(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def pairwise_overlap(catalog: DataFrame, file_a: str, file_b: str, object_id) -> DataFrame:
     own = kernel_candidates(catalog).where(F.col("object_id") == object_id)
-    a, b = (merge(own.where(F.col("file") == f).withColumn("k", F.lit(1)), ["k"]) for f in (file_a, file_b))
-    return intersect(a, b, ["k"]).select("start", "stop")
+    a, b = (merge(own.where(F.col("file") == f).select("start", "stop"), []) for f in (file_a, file_b))
+    return intersect(a, b, [])

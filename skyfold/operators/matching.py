@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from skyfold.functions import constants as K
@@ -80,7 +81,11 @@ def project(spreads: list[Spread], position_m: np.ndarray, sight: np.ndarray, la
 
 
 def moved(data: np.ndarray, lat: np.ndarray, lon: np.ndarray, image_lat: np.ndarray, image_lon: np.ndarray, d_lat: float, d_lon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(data, lat axis, lon axis): the spread turned into the image's direction of motion, on a regular grid by its nearest values, and drawn out over one step."""
+    """(data, lat axis, lon axis): the spread as it is drawn out over one step of the image's motion, on a regular grid.
+
+    It is turned so that the motion runs along the grid's rows, put there by nearest values, drawn out, and turned back: the
+    value at a place of the grid is that of the drawn spread where the same turn takes the place.
+    """
     v, u = float(np.diff(image_lat, axis=1).mean()), float(np.diff(image_lon, axis=1).mean())
     far, angle = float(np.hypot(u, v)), -np.arctan2(v, u)
     c, s = np.cos(angle), np.sin(angle)
@@ -91,7 +96,10 @@ def moved(data: np.ndarray, lat: np.ndarray, lon: np.ndarray, image_lat: np.ndar
     grid = np.stack([values[np.argmin((flat_x[None] - gx[:, None]) ** 2 + (flat_y[None] - b) ** 2, 1)] for b in gy])
     n = max(1, int(round(abs(far / d_lon))))
     drawn = R.convolve_same(grid, np.ones((1, n)))
-    return drawn, gy, gx
+    px, py = np.meshgrid(gx - x0, gy - y0)
+    at_x, at_y = (x0 + c * px - s * py - gx[0]) / d_lon, (y0 + s * px + c * py - gy[0]) / d_lat
+    axes = [np.arange(k, dtype=float) for k in drawn.shape]
+    return R.sample_bilinear(drawn, *axes, at_y, at_x), gy, gx
 
 
 def chain(image: tuple, chip: tuple, position_m: np.ndarray, sight: np.ndarray, spreads: list[Spread], d_lat: float = 2.4e-4, d_lon: float = 2.4e-4, how: R.Search = R.Search()) -> tuple[float, float, float, int, int]:
@@ -110,44 +118,48 @@ def chain(image: tuple, chip: tuple, position_m: np.ndarray, sight: np.ndarray,
     return R.search_shift((R.blur_with_psf(chip_data, R.normalize(spread)), chip_lat, chip_lon), (values, lat, lon), how)
 
 
-RESULT = "pair_id long, lat_error_km double, lon_error_km double, lat_error_deg double, lon_error_deg double, ccv double, row int, col int, error string"
+RESULT = "lat_error_km double, lon_error_km double, lat_error_deg double, lon_error_deg double, ccv double, row int, col int, error string"
+_RESULT = [pa.field(f.split()[0], {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in RESULT.split(", ")]
+_GRIDS = [f"{k}_{c}" for k in ("img", "gcp") for c in ("data", "lat", "lon")]
 
 
-def match(pairs: DataFrame, sight: np.ndarray, spreads: list[Spread], how: R.Search = R.Search()) -> DataFrame:
-    """One row a pair: errors in km and degrees, correlation, place of the best shift, and why a pair failed (then the rest is null).
+def match(pairs: DataFrame, sight: np.ndarray, spreads: list[Spread], how: R.Search = R.Search(), keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """One row a pair: keys, errors in km and degrees, correlation, place of the best shift, and why a pair failed (then the rest is null).
 
-    pairs: pair_id, img_data, img_lat, img_lon, gcp_data, gcp_lat, gcp_lon (arrays of arrays), px, py, pz (m). The
-    lines of sight and the spreads are an instrument's calibration: they go to all executors.
+    pairs: keys, img_data, img_lat, img_lon, gcp_data, gcp_lat, gcp_lon (arrays of arrays), px, py, pz (m). An error is the
+    image's place less the place where it was found, so its sign is that of the shift reversed; in km by the equator's radius, and the
+    cosine of the latitude in the middle of the image. The lines of sight and the spreads are an instrument's calibration: they
+    go to all executors.
     """
+    kept = pairs.select(*keys, *_GRIDS, "px", "py", "pz")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                row = dict.fromkeys([f.split()[0] for f in RESULT.split(", ")])
-                row["pair_id"] = r["pair_id"]
+            at = [batch.column(c).to_pylist() for c in ("px", "py", "pz")]
+            for i in range(batch.num_rows):
+                row = dict.fromkeys([f.name for f in _RESULT])
                 try:
-                    image, chip = (tuple(np.array(r[f"{k}_{c}"], float) for c in ("data", "lat", "lon")) for k in ("img", "gcp"))
-                    d_lat, d_lon, ccv, i, j = chain(image, chip, np.array([r["px"], r["py"], r["pz"]], float), sight, spreads, how=how)
-                    lat = float(chip[1].mean())
-                    km = (d_lat * R.KM_PER_DEG, d_lon * K.WGS84_A_KM * np.cos(np.radians(lat)) * np.pi / 180)
-                    row |= {"lat_error_km": km[0], "lon_error_km": km[1], "lat_error_deg": d_lat, "lon_error_deg": d_lon, "ccv": ccv, "row": int(i), "col": int(j)}
-                except (ValueError, TypeError, np.linalg.LinAlgError) as e:
+                    grids = [R.grid_of(batch.column(c), i) for c in _GRIDS]
+                    d_lat, d_lon, ccv, k, m = chain(tuple(grids[:3]), tuple(grids[3:]), np.array([a[i] for a in at], float), sight, spreads, how=how)
+                    middle = tuple(n // 2 for n in grids[1].shape)
+                    lat_km, lon_km = (float(-np.radians(d) * K.WGS84_A_KM) for d in (d_lat, d_lon * np.cos(np.radians(grids[1][middle]))))
+                    chip_lat = np.cos(np.radians(grids[4][tuple(n // 2 for n in grids[4].shape)]))
+                    degrees = lat_km / R.KM_PER_DEG, float(lon_km / (K.WGS84_A_KM * chip_lat * np.pi / 180))
+                    row |= {"lat_error_km": lat_km, "lon_error_km": lon_km, "lat_error_deg": degrees[0], "lon_error_deg": degrees[1], "ccv": ccv, "row": int(k), "col": int(m)}
+                except (ValueError, TypeError, IndexError, np.linalg.LinAlgError) as e:
                     row["error"] = str(e)
                 out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
-
-    return pairs.select("pair_id", *(f"{k}_{c}" for k in ("img", "gcp") for c in ("data", "lat", "lon")), "px", "py", "pz").mapInArrow(run, RESULT)
-
+            made = pa.RecordBatch.from_pylist(out, schema=pa.schema(_RESULT))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *made.columns], names=[*keys, *made.schema.names])
 
-_RESULT = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in RESULT.split(", ")])
+    return kept.mapInArrow(run, StructType([*(kept.schema[k] for k in keys), *StructType.fromDDL(RESULT).fields]))
 
 
 def match_all(observations: DataFrame, chips: DataFrame, pairs: DataFrame, sight: np.ndarray, spreads: list[Spread], how: R.Search = R.Search()) -> DataFrame:
     """match() of stated pairs (obs_id, gcp_id): observations (obs_id, img_.., px..pz) and chips (gcp_id, gcp_..) are joined by key; failed pairs are left out."""
-    rows = pairs.join(observations, "obs_id").join(chips, "gcp_id").withColumn("pair_id", F.xxhash64("obs_id", "gcp_id"))
-    found = match(rows, sight, spreads, how).where("error is null").drop("error")
-    return rows.select("pair_id", "obs_id", "gcp_id").join(found, "pair_id").drop("pair_id")
+    rows = pairs.join(observations, "obs_id").join(chips, "gcp_id")
+    return match(rows, sight, spreads, how, ("obs_id", "gcp_id")).where("error is null").drop("error")
 
 
 def km_to_degrees(lat_km: Column, lon_km: Column, lat_deg: Column) -> tuple[Column, Column]:

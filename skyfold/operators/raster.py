@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from skyfold.functions import constants as K
 from skyfold.functions.vec import NAN, safe_div
 
 from .ranks import bucket_of
 
+#: Kilometres of a degree of latitude where errors in km become degrees; the search itself takes the equator's radius.
 KM_PER_DEG = 111.0
+RADIANS_KM = K.WGS84_A_KM
 
 
 # --- numpy kernels -------------------------------------------------------------------------------------------------
@@ -66,10 +69,11 @@ class Search:
     last_spacing_km: float = 0.010
 
     def rounds(self) -> list[float]:
-        """Spacings in km."""
-        out = [self.grid_span_km / (self.steps - 1)]
-        while out[-1] > self.last_spacing_km:
-            out.append(out[-1] * self.reduction)
+        """Spacings in km, all above the last one."""
+        out, spacing = [], self.grid_span_km / (self.steps - 1)
+        while spacing > self.last_spacing_km:
+            out.append(spacing)
+            spacing *= self.reduction
         return out
 
 
@@ -106,11 +110,26 @@ def _candidates(values: np.ndarray, data: np.ndarray, by_row: np.ndarray, by_col
     return np.argwhere(some)
 
 
+def grid_of(column: pa.Array, i: int) -> np.ndarray:
+    """Row i of a column of arrays of numeric arrays, without a Python object for each number; TypeError for nulls, ValueError for uneven rows."""
+    cell = column[i]
+    if not cell.is_valid or cell.values.null_count:
+        raise TypeError("a raster, or a row of it, is null")
+    rows = cell.values
+    flat, sizes = rows.flatten(), rows.value_lengths().to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        raise TypeError("a raster has a null value")
+    if not len(sizes) or (sizes != sizes[0]).any():
+        raise ValueError("a raster has no rows, or rows of different lengths")
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
+
+
 def search_shift(gcp: tuple[np.ndarray, np.ndarray, np.ndarray], image: tuple[np.ndarray, np.ndarray, np.ndarray], how: Search = Search()) -> tuple[float, float, float, int, int]:
     """(lat shift, lon shift in degrees, correlation, row and column of the last best shift) of an image on a chip.
 
     Each round tries all shifts of a square grid around the best one so far, then the grid shrinks. The first of equal
-    correlations wins, rows first. A degree of longitude counts as one of latitude.
+    correlations wins, rows first, row 0 being the shift farthest north and column 0 farthest west. A degree of longitude
+    counts as one of latitude, and that as one of the equator.
     """
     data, lat, lon = gcp
     values, lats, lons = image
@@ -121,16 +140,16 @@ def search_shift(gcp: tuple[np.ndarray, np.ndarray, np.ndarray], image: tuple[np
     every = [(k, m) for k in range(how.steps) for m in range(how.steps)]
     even = max(*data.shape, *values.shape) <= 128 and min(data.shape) > 1 and data.shape == (len(rows), len(cols)) and values.shape == lats.shape == lons.shape and (lats == lats[:, :1]).all() and (lons == lons[:1]).all()
     for spacing in how.rounds():
-        step = spacing / KM_PER_DEG
+        step = np.degrees(spacing / RADIANS_KM)
         top = (-np.inf, 0, 0)
         shifts = (np.arange(how.steps) - mid) * step
-        tried = _candidates(values, data, _weights(rows, lats[:, 0] + centre[0] + shifts[:, None]), _weights(cols, lons[0] + centre[1] + shifts[:, None])).tolist() if even else every
+        tried = _candidates(values, data, _weights(rows, lats[:, 0] + centre[0] - shifts[:, None]), _weights(cols, lons[0] + centre[1] + shifts[:, None])).tolist() if even else every
         for k, m in tried:
-            moved = sample_bilinear(data, rows, cols, lats + centre[0] + (k - mid) * step, lons + centre[1] + (m - mid) * step)
+            moved = sample_bilinear(data, rows, cols, lats + centre[0] + (mid - k) * step, lons + centre[1] + (m - mid) * step)
             c = correlation(values, moved)
             if c > top[0]:
                 top = (c, k, m)
-        centre = (centre[0] + (top[1] - mid) * step, centre[1] + (top[2] - mid) * step)
+        centre = (centre[0] + (mid - top[1]) * step, centre[1] + (top[2] - mid) * step)
         best = (*centre, top[0], top[1], top[2])
     return best
 
@@ -201,12 +220,12 @@ def match_images(pairs: DataFrame, how: Search = Search()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for i, pair_id in enumerate(batch.column(0).to_pylist()):
                 try:
-                    grids = [np.array(r[n], float) for n in names]
-                    out.append((r["pair_id"], *search_shift(tuple(grids[:3]), tuple(grids[3:]), how), None))
+                    grids = [grid_of(batch.column(n), i) for n in names]
+                    out.append((pair_id, *search_shift(tuple(grids[:3]), tuple(grids[3:]), how), None))
                 except (ValueError, TypeError, IndexError) as e:
-                    out.append((r["pair_id"], None, None, None, None, None, str(e)))
+                    out.append((pair_id, None, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_pylist([dict(zip(["pair_id", "lat_shift_deg", "lon_shift_deg", "ccv", "row", "col", "error"], o, strict=True)) for o in out], schema=pa.schema([("pair_id", pa.int64()), ("lat_shift_deg", pa.float64()), ("lon_shift_deg", pa.float64()), ("ccv", pa.float64()), ("row", pa.int32()), ("col", pa.int32()), ("error", pa.string())]))
 
     return pairs.select(F.col("pair_id").cast("long"), *names).mapInArrow(run, "pair_id long, lat_shift_deg double, lon_shift_deg double, ccv double, row int, col int, error string")
@@ -216,11 +235,9 @@ def match_images(pairs: DataFrame, how: Search = Search()) -> DataFrame:
 
 
 def ccv(a: Column, b: Column) -> Column:
-    """Aggregate: Pearson's correlation over the rows of a group, 0 where one side is constant."""
-    cov = F.avg(a * b) - F.avg(a) * F.avg(b)
-    va, vb = F.avg(a * a) - F.avg(a) * F.avg(a), F.avg(b * b) - F.avg(b) * F.avg(b)
-    scale = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-    return F.when(scale <= 1e-15, 0.0).otherwise(safe_div(cov, scale))
+    """Aggregate: Pearson's correlation over the rows of a group, 0 where one side is constant; from centred moments."""
+    va, vb = F.var_pop(a), F.var_pop(b)
+    return F.when((va == 0) | (vb == 0), 0.0).otherwise(safe_div(F.covar_pop(a, b), F.sqrt(va) * F.sqrt(vb)))
 
 
 def array_ccv(a: Column, b: Column) -> Column:
@@ -240,13 +257,18 @@ def best_shift(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bilinear_at(points: DataFrame, cells: DataFrame, fill: float = 0.0) -> DataFrame:
-    """points (id, r, c in cell units) with value, from cells (row, col, value) by four equi-joined neighbours; fill outside."""
-    p = points.withColumns({"_i": F.floor("r").cast("long"), "_j": F.floor("c").cast("long")})
+    """points (id, r, c in cell units) with value, from cells (row, col, value) by four equi-joined neighbours; fill outside.
+
+    Equal points are looked up once and come back as often as they came.
+    """
+    once = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times"))
+    p = once.withColumns({"_i": F.floor("r").cast("long"), "_j": F.floor("c").cast("long")})
     corner = F.explode(F.array(*[F.struct((F.col("_i") + a).alias("row"), (F.col("_j") + b).alias("col"), ((F.col("r") - F.col("_i")) if a else 1 - (F.col("r") - F.col("_i"))).alias("u"), ((F.col("c") - F.col("_j")) if b else 1 - (F.col("c") - F.col("_j"))).alias("v")) for a in (0, 1) for b in (0, 1)]))
-    need = p.select(*points.columns, corner.alias("k")).select(*points.columns, "k.*").where("u * v > 0")
+    need = p.select(*points.columns, "_times", corner.alias("k")).select(*points.columns, "_times", "k.*").where("u * v > 0")
     got = need.join(cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").alias("_x")), ["row", "col"], "left")
-    agg = got.groupBy(*points.columns).agg(F.sum(F.col("u") * F.col("v") * F.col("_x")).alias("_s"), F.count(F.when(F.col("_x").isNull(), 1)).alias("_miss"))
-    return agg.select(*points.columns, F.when(F.col("_miss") > 0, F.lit(fill)).otherwise(F.col("_s")).alias("value"))
+    agg = got.groupBy(*points.columns, "_times").agg(F.sum(F.col("u") * F.col("v") * F.col("_x")).alias("_s"), F.count(F.when(F.col("_x").isNull(), 1)).alias("_miss"))
+    value = F.when(F.col("_miss") > 0, F.lit(fill)).otherwise(F.col("_s")).alias("value")
+    return agg.select(*points.columns, value, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_k")).drop("_k")
 
 
 def nearest_entry(points: DataFrame, entries: DataFrame, at: str, axis: str, key: str, name: str) -> DataFrame:

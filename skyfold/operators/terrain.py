@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyfold.functions import constants as K
 
 STEP_KM, MOST_STEPS, MOST_ZENITH_DEG = 0.5, 1000, 85.0
 MOST_DEM_BYTES = 512 << 20
-SCHEMA = "id long, lon double, lat double, alt double, qf long"
+SCHEMA = "lon double, lat double, alt double, qf long"
 
 
 def _geodetic(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def march(surface: np.ndarray, satellite: np.ndarray, height: Callable[[np.ndarr
 
 
 def correct(points: DataFrame, dem: np.ndarray, ul_lon: float, ul_lat: float, step: float) -> DataFrame:
-    """(id, lon, lat, alt km, qf) for points (id, x, y, z on the ellipsoid, sx, sy, sz of the satellite; km).
+    """(id, lon, lat, alt km, qf) for points (id, x, y, z on the ellipsoid, sx, sy, sz of the satellite; km). id is of any type and may repeat.
 
     dem is one region's grid of heights (km; rows from the north), of a size that one product's region fixes; outside
     it the height is 0. Rows with flags have NaN places.
@@ -97,10 +98,11 @@ def correct(points: DataFrame, dem: np.ndarray, ul_lon: float, ul_lat: float, st
             return np.where(ok, grid[np.where(ok, iy, 0), np.where(ok, ix, 0)], 0.0)
 
         for batch in batches:
-            xyz = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)], 1).astype(float)
+            xyz = np.stack([pc.fill_null(batch.column(i).cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) for i in range(1, 7)], 1).astype(float)
             out, flags = march(xyz[:, :3], xyz[:, 3:], height, float(min(0.0, grid.min())), float(max(0.0, grid.max())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(3)), pa.array(flags)], names=["id", "lon", "lat", "alt", "qf"])
 
     if dem.nbytes > MOST_DEM_BYTES:
         raise ValueError(f"a region's heights are sent to all executors: {MOST_DEM_BYTES} bytes at most")
-    return points.select(F.col("id").cast("long"), "x", "y", "z", "sx", "sy", "sz").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, SCHEMA)
+    rays = points.select("id", "x", "y", "z", "sx", "sy", "sz").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rays.mapInArrow(run, StructType([rays.schema["id"], *StructType.fromDDL(SCHEMA).fields]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import geodesy as G
 from skyfold.operators import raster as R
-from skyfold.operators import terrain
+from skyfold.operators import geolocation, terrain
 
 from .geo import PLACE, places
 from .registry import query, r, rs, table
@@ -52,6 +52,34 @@ def bilinear_sampling(spark, sf_dir):
     return R.bilinear_at(p, g).select("id", F.round("value", 6).alias("value"))
 
 
+@query("""WITH p AS (SELECT l_suppkey AS id, (l_quantity % 8) * 0.75::DOUBLE AS r, (l_linenumber % 4) * 1.25::DOUBLE AS c FROM lineitem),
+  g AS (SELECT p_partkey % 6 AS row, p_partkey // 6 % 6 AS col, max(p_size)::DOUBLE AS v FROM part GROUP BY ALL),
+  q AS (SELECT *, floor(r)::BIGINT AS i, floor(c)::BIGINT AS j, r - floor(r) AS u, c - floor(c) AS w FROM p),
+  t AS (SELECT q.*, a.v AS a, b.v AS b, d.v AS d, e.v AS e FROM q LEFT JOIN g a ON a.row = i AND a.col = j LEFT JOIN g b ON b.row = i + 1 AND b.col = j LEFT JOIN g d ON d.row = i AND d.col = j + 1 LEFT JOIN g e ON e.row = i + 1 AND e.col = j + 1)
+  SELECT id, r, c, CASE WHEN a IS NULL OR (u > 0 AND b IS NULL) OR (w > 0 AND d IS NULL) OR (u * w > 0 AND e IS NULL) THEN 0.0::DOUBLE
+    ELSE round(a * (1-u) * (1-w) + coalesce(b, 0) * u * (1-w) + coalesce(d, 0) * (1-u) * w + coalesce(e, 0) * u * w, 6) END AS value FROM t""")
+def bilinear_sampling_of_repeats(spark, sf_dir):
+    """Points that occur many times, on a raster made of parts: each row comes back once."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_quantity").cast("double") % 8 * 0.75).alias("r"), (F.col("l_linenumber") % 4 * 1.25).cast("double").alias("c"))
+    k = F.col("p_partkey")
+    g = table(spark, sf_dir, "part").groupBy((k % 6).alias("row"), (F.floor(k / 6) % 6).alias("col")).agg(F.max("p_size").cast("double").alias("value"))
+    return R.bilinear_at(p, g).select("id", "r", "c", F.round("value", 6).alias("value"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, (l_suppkey % 40) * 0.2::DOUBLE AS lon, 9 - (l_linenumber % 7) * 1.1::DOUBLE AS lat, l_quantity::DOUBLE AS height FROM lineitem),
+  g AS (SELECT p_partkey % 12 AS ix, p_partkey // 12 % 12 AS iy, max(p_size)::DOUBLE AS v FROM part GROUP BY ALL),
+  q AS (SELECT *, floor(lon)::BIGINT AS i, floor(10 - lat)::BIGINT AS j, lon - floor(lon) AS u, 10 - lat - floor(10 - lat) AS w FROM p),
+  t AS (SELECT q.*, a.v AS a, b.v AS b, d.v AS d, e.v AS e FROM q LEFT JOIN g a ON a.ix = i AND a.iy = j LEFT JOIN g b ON b.ix = i + 1 AND b.iy = j LEFT JOIN g d ON d.ix = i AND d.iy = j + 1 LEFT JOIN g e ON e.ix = i + 1 AND e.iy = j + 1)
+  SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN a IS NULL OR (u > 0 AND b IS NULL) OR (w > 0 AND d IS NULL) OR (u * w > 0 AND e IS NULL) THEN NULL
+    ELSE round(height + a * (1-u) * (1-w) + coalesce(b, 0) * u * (1-w) + coalesce(d, 0) * (1-u) * w + coalesce(e, 0) * u * w, 5) END AS height FROM t""")
+def heights_above_ellipsoid(spark, sf_dir):
+    """Heights over the geoid at places and ids that repeat; the geoid is a table made of parts."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("p_partkey")
+    h = li.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 40 * 0.2).alias("lon"), (9 - F.col("l_linenumber") % 7 * 1.1).alias("lat"), F.col("l_quantity").cast("double").alias("height"))
+    g = table(spark, sf_dir, "part").groupBy((k % 12).alias("ix"), (F.floor(k / 12) % 12).alias("iy")).agg(F.max("p_size").cast("double").alias("height"))
+    return geolocation.height_above_ellipsoid(h, g, 1.0, 0.0, 10.0).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("height", 5).alias("height"))
+
+
 @query("""WITH g AS (SELECT r_regionkey AS image_id, gi, gj, 0.2::DOUBLE + 5.6::DOUBLE * gj / 14.0::DOUBLE AS lon, 5.8::DOUBLE - 5.6::DOUBLE * gi / 14.0::DOUBLE AS lat FROM region, range(15) a(gi), range(15) b(gj))
   SELECT image_id, gi, gj, round(lon, 6) AS lon, round(lat, 6) AS lat, round(2 * lon + 3 * lat + image_id, 5) AS value FROM g""")
 def regrid_irregular(spark, sf_dir):

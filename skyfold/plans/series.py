@@ -111,6 +111,29 @@ def coverage_gaps(spark, sf_dir):
     return I.gaps(w, ask, ["object_id"])
 
 
+_FRACTIONS = """f AS (SELECT object_id, start + (line * 37 % 100) / 100.0::DOUBLE AS start, stop + (line * 37 % 100) / 100.0::DOUBLE + (line % 3) / 8.0::DOUBLE - 20 AS stop FROM w WHERE object_id IS NOT NULL),
+  p AS (SELECT object_id, min(start) AS lo, max(stop) AS hi FROM f GROUP BY object_id),
+  q AS (SELECT object_id, unnest([lo - 5.25, lo + (hi - lo) / 4, lo + (hi - lo) / 3]) AS q0, unnest([lo + (hi - lo) / 2, lo + (hi - lo) / 2, hi + 7.5]) AS q1 FROM p)"""
+
+
+@query(f"""WITH {DAYS}, {_FRACTIONS}, e AS (SELECT object_id, start AS t FROM f UNION SELECT object_id, stop FROM f UNION SELECT object_id, q0 FROM q UNION SELECT object_id, q1 FROM q),
+  c AS (SELECT object_id, t AS a, lead(t) OVER (PARTITION BY object_id ORDER BY t) AS b FROM e),
+  u AS (SELECT q.object_id, q0, q1, a, b FROM q JOIN c ON q.object_id = c.object_id AND a >= q0 AND b <= q1 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.object_id = q.object_id AND start <= a AND stop >= b)),
+  i AS (SELECT *, sum(n) OVER (PARTITION BY object_id, q0, q1 ORDER BY a) AS g FROM (SELECT *, CASE WHEN a = lag(b) OVER k AND NOT EXISTS (SELECT 1 FROM f WHERE f.object_id = u.object_id AND start <= a AND stop >= a) THEN 0 ELSE 1 END AS n FROM u WINDOW k AS (PARTITION BY object_id, q0, q1 ORDER BY a)))
+  SELECT object_id, {rs("q0")} AS request_start, {rs("q1")} AS request_stop, {rs("min(a)")} AS start, {rs("max(b)")} AS stop FROM i GROUP BY object_id, q0, q1, g""")
+def coverage_gaps_of_requests(spark, sf_dir):
+    """Three overlapping requests a key; windows and requests with fractions."""
+    w = windows(spark, sf_dir).where(F.col("object_id").isNotNull())
+    part = (F.col("line") * 37 % 100) / 100.0
+    f = w.select("object_id", (F.col("start") + part).alias("start"), (F.col("stop") + part + F.col("line") % 3 / 8.0 - 20).alias("stop"))
+    p = I.rollup(f, ["object_id"])
+    lo, hi = F.col("start"), F.col("stop")
+    each = [(lo - 5.25, lo + (hi - lo) / 2), (lo + (hi - lo) / 4, lo + (hi - lo) / 2), (lo + (hi - lo) / 3, hi + 7.5)]
+    q = p.select("object_id", F.inline(F.array(*[F.struct(a.alias("start"), b.alias("stop")) for a, b in each])))
+    got = I.gaps(f, q, ["object_id"], with_request=True)
+    return got.select("object_id", *[r(F.col(c)).alias(c) for c in ("request_start", "request_stop", "start", "stop")])
+
+
 KERNELS = "cat AS (SELECT 'k' || (s_suppkey % 13) AS file, CASE s_suppkey % 13 % 4 WHEN 0 THEN 'SPK' WHEN 1 THEN 'CK' WHEN 2 THEN 'PCK' ELSE 'TEXT' END AS ktype, s_nationkey % 7 AS object_id, (s_suppkey * 37) % 500 AS start, (s_suppkey * 37) % 500 + 60 + s_suppkey % 80 AS stop FROM supplier)"
 
 

@@ -76,6 +76,15 @@ def error_statistics_by_source(spark, sf_dir):
     return _rounded(S.statistics(errors(spark, sf_dir), by=["l_suppkey"]))
 
 
+@query("""SELECT l_returnflag, count(*) AS num_measurements, round(avg(e - 1e8::DOUBLE), 4) AS mean_error_m, round(stddev_pop(e), 4) AS std_error_m, round(min(e) - 1e8::DOUBLE, 4) AS min_error_m, round(max(e) - 1e8::DOUBLE, 4) AS max_error_m
+  FROM (SELECT l_returnflag, 1e8::DOUBLE + (l_orderkey % 7) / 10.0::DOUBLE + l_linenumber / 100.0::DOUBLE AS e FROM lineitem) GROUP BY l_returnflag""")
+def error_statistics_far_from_zero(spark, sf_dir):
+    """Small spreads of large errors: a difference of means of squares would lose them."""
+    e = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.lit(1e8) + F.col("l_orderkey") % 7 / 10.0 + F.col("l_linenumber") / 100.0).alias("nadir_equiv_error_m"))
+    s = S.statistics(e, by=["l_returnflag"])
+    return s.select("l_returnflag", "num_measurements", F.round("std_error_m", 4).alias("std_error_m"), *[F.round(F.col(c) - 1e8, 4).alias(c) for c in ("mean_error_m", "min_error_m", "max_error_m")])
+
+
 @query(f"""WITH {MATCH}, p AS (SELECT count(*) AS num_measurements, avg(CASE WHEN err < 250 THEN 100.0::DOUBLE ELSE 0 END) AS w FROM err)
   SELECT w >= 39 AS passed, round(w, 6) AS percent_within, num_measurements, CASE WHEN w < 39 THEN printf('%.1f%% of measurements are below 250 m; 39%% are required', w) END AS warning FROM p""")
 def verification_verdict(spark, sf_dir):

@@ -176,6 +176,35 @@ def test_the_whole_match_finds_a_planted_shift(spark):
     got = {r.pair_id: r for r in matching.match(df, sight, [spread], how).collect()}
     assert got[2].error and got[2].ccv is None
     r = got[1]
-    assert r.error is None and r.ccv > 0.97 and abs(r.lat_error_deg * 111.0 - 0.3) < 0.05 and abs(r.lon_error_deg * 111.0 + 0.2) < 0.05, r
+    assert r.error is None and r.ccv > 0.97 and abs(r.lat_error_km + 0.3) < 0.05 and abs(r.lon_error_km - 0.2 * np.cos(np.radians(lat0))) < 0.05, r
     with pytest.raises(ValueError):
         matching.project([], sat, sight, ia, io)
+
+
+def test_motion_draws_the_spread_along_itself():
+    """A narrow round spread under an image that moves north, east or north-east: wide along the motion, as before across it."""
+    la, lo = np.meshgrid(np.linspace(-0.001, 0.001, 21), np.linspace(-0.001, 0.001, 21), indexing="ij")
+    spread = np.exp(-(la**2 + lo**2) / (2 * 0.0004**2))
+    for v, u in ((0.004, 0.0), (0.0, 0.004), (0.003, 0.003), (-0.003, 0.003)):
+        steps = np.arange(5)[None, :]
+        data, y, x = matching.moved(spread, la, lo, np.ones((3, 1)) * steps * v, np.ones((3, 1)) * steps * u, 1e-4, 1e-4)
+        w, (gy, gx) = data / data.sum(), np.meshgrid(y, x, indexing="ij")
+        my, mx = (w * gy).sum(), (w * gx).sum()
+        along, across = (np.array([v, u]) / np.hypot(u, v)), (np.array([-u, v]) / np.hypot(u, v))
+        spread_along, spread_across = (np.sqrt((w * ((gy - my) * a[0] + (gx - mx) * a[1]) ** 2).sum()) for a in (along, across))
+        assert spread_across < 0.00055 and spread_along > 1.5 * spread_across, (v, u, spread_along, spread_across)
+
+
+def test_repeated_rows_stay_as_they_are(spark):
+    """Equal points, ids with several heights and equal (ugps, pixel) rows come back once each."""
+    cells = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(4) for j in range(4)], "row int, col int, value double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.5, 0.5), (2, 9.0, 9.0), (2, 9.0, 9.0), (3, 1.0, 2.0)], "id int, r double, c double")
+    got = sorted((r.id, r.value) for r in R.bilinear_at(points, cells).collect())
+    assert got == [(1, 5.5), (1, 5.5), (2, 0.0), (2, 0.0), (3, 12.0)]
+    geoid = spark.createDataFrame([(i, j, 5.0) for i in range(4) for j in range(4)], "ix int, iy int, height double")
+    heights = spark.createDataFrame([(1, 0.5, 9.5, 10.0), (1, 0.5, 9.5, 10.0), (1, 0.7, 9.2, 20.0), (2, 0.5, 9.5, 1.0)], "id int, lon double, lat double, height double")
+    assert sorted(r.height for r in geolocation.height_above_ellipsoid(heights, geoid, 1.0, 0.0, 10.0).collect()) == pytest.approx([6.0, 15.0, 15.0, 25.0])
+    ray = dict(ugps=1, pixel=1, gx=6378.137, gy=0.0, gz=0.0, px=7000.0, py=100.0, pz=50.0, lon=0.0, lat=0.0, alt=0.0, qf=0)
+    rows = spark.createDataFrame([ray, ray, ray | {"qf": 4}], "ugps long, pixel int, gx double, gy double, gz double, px double, py double, pz double, lon double, lat double, alt double, qf long")
+    out = geolocation.on_terrain(rows, np.full((18, 36), 1.0), -180.0, 90.0, 10.0).collect()
+    assert len(out) == 3 and sorted(round(r.alt, 3) for r in out) == [0.0, 1.0, 1.0] and sorted(r.qf for r in out) == [0, 0, 4]
