@@ -59,7 +59,7 @@ def test_small_tallies(spark, monkeypatch):
     """Terms' pairs cut into many parts, and counts sent often, give the same rows."""
     rnd = random.Random(8)
     rows = [("en", f"s{rnd.randrange(30)}", " ".join(rnd.choices("abcdefghij", k=20))) for _ in range(200)]
-    table = divergence.pa.table({"lang": ["en"] * 3, "cells": [[{"source": s, "n": k} for k, s in enumerate("abc", 1)]] * 3})
+    table = divergence.pa.table({"lang": ["en"] * 3, "cells": divergence.pa.array([[{"source": s, "n": k} for k, s in enumerate("abc", 1)]] * 3, divergence.pa.list_(divergence.pa.struct([("source", divergence.pa.string()), ("n", divergence.pa.int64())])))})
     monkeypatch.setattr(divergence, "TALLIED", 1)
     out = [tuple(r.values()) for b in divergence._tally(iter(table.to_batches())) for r in b.to_pylist()]
     total = Counter()
