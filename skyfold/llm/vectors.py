@@ -172,29 +172,37 @@ def _deal(centres: dict):
 _SHARD = ["label", "dim", "shard"]
 
 
-def _divided(dealt: DataFrame) -> DataFrame:
-    """dealt with overfull shards divided, level by level: a vector goes to those of its OVERLAP nearest pivots of PIVOTS.
+def _divided(dealt: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """dealt with overfull shards divided, level by level: a vector goes to those of its OVERLAP nearest pivots of PIVOTS; and what stays overfull.
 
-    Pivots are the shard's vectors of smallest hashes, found by a partial aggregation.
+    Pivots are the shard's vectors of smallest hashes, found by a partial aggregation. A shard is not divided where a pivot
+    has 2 * OVERLAP pivots or more in range, itself included: there a dense group would be cut, as two of its members
+    might have no pivot in common. Such shards, and what LEVELS leave, come as (label, dim, shard, n), and None where
+    there are none: dense_links() compares all of theirs.
     """
     scaled = lambda e: F.transform(e, lambda x: x.cast("double") / F.array_max(F.transform(e, lambda y: F.abs(y.cast("double")))))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    for level in range(LEVELS):
-        big = dealt.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL).drop("n")
-        big = common.cut(big)
+    for level in range(LEVELS + 1):
+        big = common.cut(dealt.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL))
         if not big.limit(1).count():
             common.drop(big)
+            return dealt, None
+        if level == LEVELS:
+            break
+        drawn = dealt.join(big.drop("n"), _SHARD).groupBy(*_SHARD).agg(F.array(*[F.min_by("embedding", F.xxhash64("node", F.lit(PIVOTS * level + j))) for j in range(PIVOTS)]).alias("pivots"))
+        drawn = drawn.withColumn("pivots", F.transform(F.array_distinct("pivots"), lambda p: F.transform(scaled(p), lambda x: x / F.sqrt(dot(scaled(p), scaled(p))))))
+        in_range = F.array_max(F.transform("pivots", lambda p: F.size(F.filter("pivots", lambda q: dot(p, q) >= least))))
+        pivots = common.cut(drawn.where(in_range < 2 * OVERLAP))
+        if not pivots.limit(1).count():
+            common.drop(pivots)
             break
-        mine = dealt.join(big, _SHARD)
-        drawn = mine.groupBy(*_SHARD).agg(F.array(*[F.min_by("embedding", F.xxhash64("node", F.lit(PIVOTS * level + j))) for j in range(PIVOTS)]).alias("pivots"))
-        pivots = common.cut(drawn.withColumn("pivots", F.transform(F.array_distinct("pivots"), lambda p: F.transform(scaled(p), lambda x: x / F.sqrt(dot(scaled(p), scaled(p)))))))
         near = F.array_sort(F.transform("pivots", lambda p, i: F.struct((-dot(p, F.col("own"))).alias("d"), i.alias("i"))))
         named = F.transform(F.slice(near, 1, OVERLAP), lambda s: F.xxhash64("shard", F.lit(level), s["i"]))
-        new = mine.join(pivots, _SHARD).withColumn("own", scaled(F.col("embedding"))).withColumn("shard", F.explode(named)).select(*dealt.columns)
-        after = common.cut(dealt.join(big, _SHARD, "left_anti").select(*dealt.columns).unionByName(new.dropDuplicates(["node", *_SHARD])))
+        new = dealt.join(pivots, _SHARD).withColumn("own", scaled(F.col("embedding"))).withColumn("shard", F.explode(named)).select(*dealt.columns)
+        after = common.cut(dealt.join(pivots, _SHARD, "left_anti").select(*dealt.columns).unionByName(new.dropDuplicates(["node", *_SHARD])))
         common.drop(dealt, big, pivots)
         dealt = after
-    return dealt
+    return dealt, big
 
 
 def _build(least: float):
@@ -208,6 +216,89 @@ def _build(least: float):
     return run
 
 
+class Forest:
+    """Spanning trees of links that come in batches, as arrays."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[np.ndarray] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Each round, every tree that a link joins to one of a smaller label is joined by one link; the others wait for the next round."""
+        while True:
+            a, b = self.label[x], self.label[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            roots, first = np.unique(np.maximum(a, b), return_index=True)
+            self.kept.append(np.stack([x[first], y[first]]))
+            to = np.arange(len(self.label))
+            to[roots] = np.minimum(a, b)[first]
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]
+
+    def edges(self) -> np.ndarray:
+        return np.concatenate([np.zeros((2, 0), np.int64), *self.kept], 1)
+
+
+#: Vectors of a block where all of an overfull shard are compared.
+BLOCK = 4096
+
+
+def _dense_links(least: float):
+    def run(key, table):
+        """Of two blocks of a dense shard (or of one with itself): the forest of links, and links' weights of both ends, as _links() gives them.
+
+        Sums in single precision decide what is 1e-4 away from the bound; the others are summed up in double precision.
+        All nodes here are crowded, so the first common shard of two of them counts their link.
+        """
+        side = table["side"].to_numpy()
+        nodes, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), key[2].as_py()
+        u64 = unit(_matrix(table["embedding"]))
+        u = u64.astype(np.float32)
+        lists = table["homes"].to_pylist()
+        homes = np.array([(x := sorted(h for h in own_list if h < own)) + [np.iinfo(np.int64).max] * (max(map(len, lists)) - len(x)) for own_list in lists])
+        elsewhere = (homes < own).any(1)
+        same = key[3].as_py() == key[4].as_py()
+        left, right = (np.flatnonzero(side == 0),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        forest, count = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
+        for k in range(0, len(left), QUERIES):
+            some = left[k : k + QUERIES]
+            dots = u[some] @ u[right].T
+            linked = dots >= least + 1e-4
+            x, y = np.nonzero((dots >= least - 1e-4) & ~linked)
+            for s in range(0, len(x), 65536):
+                i, j = x[s : s + 65536], y[s : s + 65536]
+                linked[i, j] = np.einsum("ij,ij->i", u64[some[i]], u64[right[j]]) >= least
+            if same:
+                linked[np.arange(len(some)), np.arange(k, k + len(some))] = False
+            x, y = np.nonzero(linked)
+            forest.add(some[x], right[y])
+            x, y = np.nonzero(linked & elsewhere[some][:, None] & elsewhere[right][None, :])
+            for s in range(0, len(x), 65536):
+                i, j = x[s : s + 65536], y[s : s + 65536]
+                here, there = homes[some[i]][:, :, None], homes[right[j]][:, None, :]
+                linked[i, j] = ~((here == there) & (here < own)).any((1, 2))
+            count[some] += linked.astype(np.float64).dot(weight[right].astype(np.float64)).astype(np.int64)
+            if not same:
+                count[right] += linked.T.astype(np.float64).dot(weight[some].astype(np.float64)).astype(np.int64)
+        some, (a, b) = np.flatnonzero(count), (nodes[e] for e in forest.edges())
+        return pa.table({"a": pa.array(np.concatenate([nodes[some], a])), "b": pa.array([*[None] * len(some), *b.tolist()], pa.int64()), "n": pa.array(np.concatenate([count[some], np.zeros(len(a), np.int64)]))})
+
+    return run
+
+
+def dense_links(rows: DataFrame, shards: DataFrame, least: float) -> DataFrame:
+    """All links within shards (label, dim, shard, n) of any size, exactly: each block of BLOCK vectors meets each other one in a task of its own."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rows.join(shards, _SHARD).withColumns({"_of": blocks, "_b": F.pmod(F.xxhash64("node", F.lit(11)), blocks.cast("long")).cast("int")})
+    met = own.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    met = met.select(*_SHARD, "node", "embedding", "weight", "homes", F.least("_b", "_k").alias("i"), F.greatest("_b", "_k").alias("j"), (F.col("_b") > F.col("_k")).cast("int").alias("side"))
+    return met.groupBy(*_SHARD, "i", "j").applyInArrow(_dense_links(least), "a long, b long, n long")
+
+
 def _links(least: float):
     def run(key, table):
         """Of one shard: a forest of the links (a, b, 0), and the links' weights, of both ends.
@@ -231,15 +322,7 @@ def _links(least: float):
         pairs = np.unique(np.concatenate([x * n + at, at * n + x]))  # both ways: else a hub would lead nowhere
         near, edges = pairs % n, np.searchsorted(pairs // n, np.arange(n + 1))
         medoid = int(np.argmax(u @ u.sum(0)))
-        parent = np.arange(n)
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        count, a, b, pairs = np.zeros(n, np.int64), [], [], []
+        forest, count, pairs = Forest(n), np.zeros(n, np.int64), []
         for k in range(0, n, QUERIES):
             some = np.arange(k, min(n, k + QUERIES))
             found, full = np.zeros((len(some), n), bool), crowded[some]
@@ -252,12 +335,7 @@ def _links(least: float):
             x, y = x[keep], y[keep]
             good = np.concatenate([np.einsum("ij,ij->i", u64[x[s : s + 65536]], u64[y[s : s + 65536]]) >= least for s in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
             x, y = x[good], y[good]
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                r, s = root(i), root(j)
-                if r != s:
-                    parent[max(r, s)] = min(r, s)
-                    a.append(int(nodes[i]))
-                    b.append(int(nodes[j]))
+            forest.add(x, y)
             few = ~crowded[x] & ~crowded[y]
             pairs.append(np.minimum(x, y)[few] * n + np.maximum(x, y)[few])
             x, y = x[crowded[x]], y[crowded[x]]
@@ -271,6 +349,7 @@ def _links(least: float):
         some = np.flatnonzero(count)
         x, y = np.divmod(np.unique(np.concatenate(pairs)), n)
         x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        a, b = (nodes[e].tolist() for e in forest.edges())
         return pa.table(
             {
                 "a": pa.array([*nodes[some].tolist(), *a, *nodes[x].tolist()], pa.int64()),
@@ -328,11 +407,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             centres[tuple(map(int, key))] = centroids(unit(np.stack(mine.to_list())), k)
     kind = "float" if single else "double"
     dealt = common.cut(plain.mapInArrow(_deal(centres), f"node long, label long, dim int, embedding array<{kind}>, weight long, shard long"))
-    dealt = _divided(dealt)
-    lists = dealt.groupBy(*_SHARD).applyInArrow(_build(least), "node long, shard long, near array<long>, crowded boolean")
+    dealt, dense = _divided(dealt, least)
+    sparse = dealt if dense is None else dealt.join(dense, _SHARD, "left_anti")
+    lists = sparse.groupBy(*_SHARD).applyInArrow(_build(least), "node long, shard long, near array<long>, crowded boolean")
+    if dense is not None:
+        lists = lists.unionByName(dealt.join(dense, _SHARD).select("node", "shard", F.array().cast("array<long>").alias("near"), F.lit(True).alias("crowded")))
     lists = lists.groupBy("node").agg(F.collect_list("near").alias("lists"), F.max("crowded").alias("crowded"), F.collect_list("shard").alias("homes"))  # a node is in OVERLAP shards, more only where these were divided
-    found = common.cut(dealt.join(lists, "node").groupBy(*_SHARD).applyInArrow(_links(least), "a long, b long, n long"))
-    common.drop(dealt)
+    links = sparse.join(lists, "node").groupBy(*_SHARD).applyInArrow(_links(least), "a long, b long, n long")
+    if dense is not None:
+        links = links.unionByName(dense_links(dealt.join(lists.select("node", "homes"), "node"), dense, least))
+    found = common.cut(links)
+    common.drop(dealt, *([] if dense is None else [dense]))
     counts = tally(found)
     edges = found.where("b is not null and n = 0").select("a", "b")
     comps = common.components(edges if ties is None else edges.unionByName(ties))

@@ -150,3 +150,34 @@ def test_links_count_for_both_ends_and_once(spark):
     found = spark.createDataFrame([(r["a"], r["b"], r["n"]) for r in rows], "a long, b long, n long")
     got = {r.a: r.n for r in vectors.tally(found).collect()}
     assert got == {1: 100, 2: 90, 3: 80, 5: 60}, got
+
+
+def test_dense_group_of_several_shards(spark, monkeypatch):
+    """One dense group of four times OVERFULL, with weights, beside spread vectors: every link is found, once, and none is false."""
+    rng = np.random.default_rng(6)
+    base = np.eye(32)[0]
+    dense = [base + 0.048 * rng.normal(size=32) for _ in range(1200)]  # a part of their pairs are links
+    rows = [*dense, *dense[:40], *(rng.normal(size=(600, 32)))]
+    rows = [(i, e.tolist(), 0) for i, e in enumerate(rows)]
+    want = brute(rows)
+    share = sum(w[0] for w in want.values()) / 1240**2
+    assert 0.2 < share < 0.95, share
+    monkeypatch.setattr(vectors, "OVERFULL", 300)
+    monkeypatch.setattr(vectors, "BLOCK", 250)
+    for sample in (8, 20_000):  # one shard for all, or many that overlap
+        monkeypatch.setattr(vectors, "SAMPLE", sample)
+        got = run(spark, rows)
+        assert got == want, (sum(g[0] for g in got.values()), sum(w[0] for w in want.values()))
+
+
+def test_forest_of_batches():
+    rng = np.random.default_rng(7)
+    n = 400
+    links = rng.integers(0, n, (2, 500))
+    forest = vectors.Forest(n)
+    for k in range(0, 500, 60):
+        forest.add(*links[:, k : k + 60])
+    again = vectors.Forest(n)
+    again.add(*links)
+    assert (forest.label == again.label).all() and (forest.label[links[0]] == forest.label[links[1]]).all()
+    assert len(forest.edges()[0]) == n - len(set(forest.label.tolist())) and (forest.label[forest.label] == forest.label).all()
