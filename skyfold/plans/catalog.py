@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chain, geo, products, rasters, series, stats, times  # noqa: F401
+from . import chain, geo, kernels, products, rasters, series, stats, times  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
