@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import geodesy as G
 from skyfold.functions.vec import Vec
-from skyfold.operators import ephemeris
+from skyfold.operators import ephemeris, frames
 from skyfold.sources import kernel_pool as P
 
 from .geo import E2, ECEF, PIXELS, RAY, states
@@ -143,3 +143,30 @@ def geolocate_by_kernel(spark, sf_dir):
     lon, lat, _ = G.surface_lon_lat(Vec.columns("g"))
     miss = F.isnan("gx")
     return got.select("ugps", "pixel", F.when(~miss, r(lon, 5)).alias("lon"), F.when(~miss, r(lat, 5)).alias("lat"))
+
+
+_POLE = "\\begindata\nBODY399_POLE_RA = ( 0. -0.641 0. )\nBODY399_POLE_DEC = ( 90. -0.557 0. )\nBODY399_PM = ( 190.147 360.9856235 0. )\n"
+_MOUNT = 20.0
+
+
+@query(f"""WITH e AS (SELECT event_id, epoch_us(ts) / 1e6::DOUBLE - 946728000 AS et, epoch_us(ts) AS us FROM events), d AS (SELECT min(us // 86400000000) * 86400000000 AS lo, max(us // 86400000000) * 86400000000 AS hi FROM e),
+  a AS (SELECT event_id, us BETWEEN lo AND hi AS known, 2e-6::DOUBLE * ((us - lo) / 1e6::DOUBLE) AS phi, radians(90 - 0.641 * et / 86400 / 36525) AS t, radians(0.557 * et / 86400 / 36525) AS p, radians((190.147 + 360.9856235 * (et / 86400)) % 360) AS w FROM e, d),
+  b AS (SELECT *, cos(w) * cos(t) - sin(w) * sin(t) * cos(p) AS b00, cos(w) * sin(t) + sin(w) * cos(t) * cos(p) AS b01, sin(w) * sin(p) AS b02, sin(t) * sin(p) AS b20, -cos(t) * sin(p) AS b21, cos(p) AS b22 FROM a),
+  c AS (SELECT *, cos(phi) AS q, sin(phi) AS s, cos(radians({_MOUNT})) AS mc, sin(radians({_MOUNT})) AS ms FROM b)
+  SELECT event_id, CASE WHEN known THEN {rs("b00 * q + b01 * s")} END AS r0, CASE WHEN known THEN {rs("-b00 * s * mc + b01 * q * mc + b02 * ms")} END AS r1, CASE WHEN known THEN {rs("b20 * s * ms - b21 * q * ms + b22 * mc")} END AS r8,
+    {rs("b00")} AS e0, {rs("b02")} AS e2, {rs("b21")} AS e7 FROM c""")
+def rotations_along_frames(spark, sf_dir):
+    """An instrument on a platform (constant, of a kernel), the platform in J2000 (samples a day), the Earth by pole and meridian (of a kernel): two paths for each event."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    e = table(spark, sf_dir, "events").select("event_id", us.alias("ugps"))
+    day = 86_400_000_000
+    days = e.select((F.floor(F.col("ugps") / day) * day).cast("long").alias("ugps")).distinct()
+    half = 1e-6 * ((F.col("ugps") - F.col("lo")) / 1e6)
+    samples = days.crossJoin(F.broadcast(days.agg(F.min("ugps").alias("lo")))).select(F.lit(1).alias("frame"), "ugps", F.cos(half).alias("q0"), F.lit(0.0).alias("q1"), F.lit(0.0).alias("q2"), F.sin(half).alias("q3"))
+    k = F.col("r_regionkey")
+    tk = table(spark, sf_dir, "region").where(k == 0).select(F.lit(0).alias("kernel"), F.concat(F.lit(_POLE), text("FRAME_INST = 5\nFRAME_5_NAME = 'INST'\nFRAME_5_CLASS = 4\nTKFRAME_5_RELATIVE = 'PLATFORM'\nTKFRAME_5_SPEC = 'ANGLES'\nTKFRAME_5_ANGLES = ( ", -_MOUNT + 0 * k, " 0 0 )\nTKFRAME_5_AXES = ( 1 2 3 )\nTKFRAME_5_UNITS = 'DEGREES'\n")).alias("text"))
+    held = P.pool(tk)
+    tree = frames.tree_of_kernels(P.frames(held), held, {"PLATFORM": frames.Sampled("J2000", samples, 1)})
+    got = frames.rotations(e, tree, {"r": ("INST", "BODY399"), "e": ("J2000", "BODY399")}, F.col("ugps") / 1e6 - 946728000)
+    none = lambda c: F.when(~F.isnan(c), r(F.col(c))).alias(c)
+    return got.select("event_id", *[none(c) for c in ("r0", "r1", "r8", "e0", "e2", "e7")])
