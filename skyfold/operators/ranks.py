@@ -37,19 +37,24 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return out.withColumn(name, (F.col("_first") + F.col("_i") - 1).cast("int")).select(*[c for c in df.columns if c != name], name)
 
 
-def value_counts(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """keys, _v and _c: how often each value occurs for each key, counted before any exchange.
-
-    The counts are checkpointed: they are read several times, and a value that is a long expression would be planned anew each time.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder: its lineage ends there. On a local master an own folder is made where none is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyfold-"))
+    return df.checkpoint()
+
+
+def value_counts(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys, _v and _c: how often each value occurs for each key, counted before any exchange.
+
+    The counts are checkpointed: they are read several times, and a value that is a long expression would be planned anew each time.
+    """
     counts = df.groupBy(*[F.col(f"`{k}`") for k in keys], F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.count(column).alias("_valid"))
-    return counts.checkpoint()
+    return durable(counts)
 
 
 def percentiles(counts: DataFrame, shares: list[float], by: list[str] | None = None) -> DataFrame:

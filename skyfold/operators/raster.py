@@ -17,9 +17,9 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from skyfold.functions import constants as K
-from skyfold.functions.vec import NAN, safe_div
+from skyfold.functions.vec import NAN, not_nan, safe_div
 
-from .ranks import bucket_of
+from .ranks import bucket_of, durable
 
 #: Kilometres of a degree of latitude where errors in km become degrees; the search itself takes the equator's radius.
 KM_PER_DEG = 111.0
@@ -386,14 +386,38 @@ def regular_grid(bounds: DataFrame, rows: int, cols: int, key: str = "image_id")
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int, cell: float) -> DataFrame:
-    """The k nearest cells (cell_id, x, y) of each point (point_id, x, y) among those within `cell` of it, by a 3x3 bucket join."""
-    b = lambda c: F.floor(c / cell).cast("long")
-    p = points.withColumn("_bx", F.explode(F.array(*[b(F.col("x")) + i for i in (-1, 0, 1)]))).withColumn("_by", F.explode(F.array(*[b(F.col("y")) + i for i in (-1, 0, 1)])))
-    c = cells.select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), b(F.col("x")).alias("_bx"), b(F.col("y")).alias("_by"))
-    d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    hit = p.join(c, ["_bx", "_by"]).withColumn("distance", d).where(F.col("distance") <= cell)
-    w = Window.partitionBy("point_id").orderBy("distance", "cell_id")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point_id", "cell_id", "distance", "rank")
+    """The k nearest cells (cell_id, x, y) of each point (point_id, x, y), wherever they lie: point_id, cell_id, distance, rank; fewer only where there are fewer cells.
+
+    Round by round for points that are not done: a point meets the cells of 3 x 3 buckets around it. It is done when its k-th
+    distance is at most a bucket's width, as all cells that near were met; else it goes on with buckets of twice the width. So points
+    near cells never meet far ones. cell: the first width, about the distance of the k-th cell. Of equally near cells the smaller
+    cell_id counts. Equal points count once; points and cells without a place (null or NaN) have no part. A point far from all
+    cells meets all cells of a bucket of that distance.
+    """
+    placed = lambda df: df.where(not_nan(F.col("x")) & not_nan(F.col("y")))
+    left = placed(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).distinct()
+    held = placed(cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    ends = left.select("x", "y").unionByName(held.select(F.col("cx").alias("x"), F.col("cy").alias("y"))).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent, done, width = max(ends[0] or 0.0, ends[1] or 0.0), None, float(cell)
+    order = Window.partitionBy("point_id", "x", "y").orderBy("distance", "cell_id")
+    while True:
+        b = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
+        around = lambda c: F.explode(F.array(*[b(c) + i for i in (-1, 0, 1)]))  # noqa: B023, E731
+        p = left.withColumn("_bx", around("x")).withColumn("_by", around("y"))
+        hit = p.join(held.withColumns({"_bx": b("cx"), "_by": b("cy")}), ["_bx", "_by"])
+        hit = hit.withColumn("distance", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
+        near = hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "x", "y", "cell_id", "distance", "rank")
+        if width >= extent:
+            break
+        near = durable(near)
+        full = near.where((F.col("rank") == k) & (F.col("distance") <= width)).select("point_id", "x", "y")
+        own = near.join(full, ["point_id", "x", "y"], "left_semi")
+        done = own if done is None else done.unionByName(own)
+        left = durable(left.join(full, ["point_id", "x", "y"], "left_anti"))
+        if not left.limit(1).count():
+            return done.select("point_id", "cell_id", "distance", "rank")
+        width *= 2
+    return (near if done is None else done.unionByName(near)).select("point_id", "cell_id", "distance", "rank")
 
 
 # --- elevation -----------------------------------------------------------------------------------------------------

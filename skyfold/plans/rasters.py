@@ -92,10 +92,11 @@ def regrid_irregular(spark, sf_dir):
     return got.select("image_id", "gi", "gj", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("value", 5).alias("value"))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS point_id, (s_suppkey * 61.8::DOUBLE) % 10.0::DOUBLE AS x, (s_suppkey * 137.508::DOUBLE) % 10.0::DOUBLE AS y FROM supplier), c AS (SELECT p_partkey AS cell_id, (p_partkey * 0.618::DOUBLE) % 10.0::DOUBLE AS x, (p_partkey * 1.375::DOUBLE) % 10.0::DOUBLE AS y FROM part),
-  d AS (SELECT point_id, cell_id, sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) AS distance FROM p, c) SELECT point_id, cell_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY point_id ORDER BY distance, cell_id) AS rank FROM d WHERE distance <= 0.8 QUALIFY rank <= 9""")
+@query("""WITH p AS (SELECT s_suppkey AS point_id, (s_suppkey * 61.8::DOUBLE) % 37.0::DOUBLE - 9 AS x, (s_suppkey * 137.508::DOUBLE) % 10.0::DOUBLE AS y FROM supplier), c AS (SELECT p_partkey AS cell_id, (p_partkey * 0.618::DOUBLE) % 10.0::DOUBLE AS x, (p_partkey * 1.375::DOUBLE) % 10.0::DOUBLE AS y FROM part),
+  d AS (SELECT point_id, cell_id, sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) AS distance FROM p, c) SELECT point_id, cell_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY point_id ORDER BY distance, cell_id) AS rank FROM d QUALIFY rank <= 9""")
 def nearest_cells(spark, sf_dir):
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 61.8 % 10.0).alias("x"), (F.col("s_suppkey") * 137.508 % 10.0).alias("y"))
+    """Nine cells of each point, also of those that lie far from all cells."""
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 61.8 % 37.0 - 9).alias("x"), (F.col("s_suppkey") * 137.508 % 10.0).alias("y"))
     c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell_id"), (F.col("p_partkey") * 0.618 % 10.0).alias("x"), (F.col("p_partkey") * 1.375 % 10.0).alias("y"))
     return R.nearest_cells(p, c, 9, 0.8).select("point_id", "cell_id", F.round("distance", 6).alias("distance"), "rank")
 
