@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from skyfold.functions import geodesy as G
 from skyfold.functions.vec import Vec
 from skyfold.operators import ephemeris, frames
 from skyfold.sources import kernel_pool as P
+from skyfold.sources import spk
 
 from .geo import E2, ECEF, PIXELS, RAY, states
 from .registry import query, r, rs, table
@@ -170,3 +173,26 @@ def rotations_along_frames(spark, sf_dir):
     got = frames.rotations(e, tree, {"r": ("INST", "BODY399"), "e": ("J2000", "BODY399")}, F.col("ugps") / 1e6 - 946728000)
     none = lambda c: F.when(~F.isnan(c), r(F.col(c))).alias(c)
     return got.select("event_id", *[none(c) for c in ("r0", "r1", "r8", "e0", "e2", "e7")])
+
+
+def _ephemeris_file(key: tuple, rows: pa.Table) -> pa.Table:
+    """An SPK file of some suppliers: each a target on two quadratic pieces of 100 s, and a later segment over the middle."""
+    found = []
+    for k in sorted(rows["k"].to_pylist()):
+        pieces = [[100 * i + 50.0, 50.0, k % 7 + i, 1.0, 0.5, 0.0, k % 3, 0.0, k % 5, 0.0, 1.0] for i in (0, 1)]
+        found.append((k, 0, 1, 2, 0.0, 200.0, np.array([*pieces[0], *pieces[1], 0.0, 100.0, 11, 2])))
+        found.append((k, 0, 1, 2, 80.0, 90.0, np.array([85.0, 5.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 80.0, 10.0, 11, 1])))
+    return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([spk.daf(found)], pa.binary())})
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_suppkey AS k, l_orderkey % 230 + 0.25::DOUBLE AS et FROM lineitem), p AS (SELECT *, CASE WHEN et >= 100 THEN 1 ELSE 0 END AS i, (et - CASE WHEN et >= 100 THEN 150 ELSE 50 END) / 50 AS u FROM l)
+  SELECT k AS target, et, {rs("CASE WHEN et BETWEEN 80 AND 90 THEN -1 WHEN et <= 200 THEN k % 7 + i + u + 0.5 * (2 * u * u - 1) END")} AS x, {rs("CASE WHEN et BETWEEN 80 AND 90 THEN 0 WHEN et <= 200 THEN (k % 3) * u END")} AS y,
+    {rs("CASE WHEN et BETWEEN 80 AND 90 THEN 0 WHEN et <= 200 THEN (1 + 2 * u) / 50 END")} AS vx, {rs("CASE WHEN et BETWEEN 80 AND 90 THEN 0 WHEN et <= 200 THEN 4 * u / 50 END")} AS vz FROM p""")
+def states_of_ephemeris_files(spark, sf_dir):
+    """Files of polynomials, 50 suppliers each, and states of suppliers at times of their line items; later segments first."""
+    s = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 50).cast("long").alias("file"), F.col("s_suppkey").cast("long").alias("k"))
+    held = spk.intervals(s.groupBy("file").applyInArrow(_ephemeris_file, "file long, content binary"))
+    times = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("target"), F.lit(0).alias("center"), (F.col("l_orderkey") % 230 + 0.25).alias("et")).distinct()
+    got = spk.lookup(times, held, 100.0)
+    none = lambda c: F.when(~F.isnan(c), r(F.col(c))).alias(c)
+    return got.select("target", "et", *[none(c) for c in ("x", "y", "vx", "vz")])
