@@ -11,7 +11,7 @@ from skyfold.functions import geodesy as G
 from skyfold.functions.vec import Vec
 from skyfold.operators import ephemeris, frames
 from skyfold.sources import kernel_pool as P
-from skyfold.sources import spk
+from skyfold.sources import ck, spk
 
 from .geo import E2, ECEF, PIXELS, RAY, states
 from .registry import query, r, rs, table
@@ -196,3 +196,26 @@ def states_of_ephemeris_files(spark, sf_dir):
     got = spk.lookup(times, held, 100.0)
     none = lambda c: F.when(~F.isnan(c), r(F.col(c))).alias(c)
     return got.select("target", "et", *[none(c) for c in ("x", "y", "vx", "vz")])
+
+
+def _attitude_file(key: tuple, rows: pa.Table) -> pa.Table:
+    """A C-kernel of some suppliers: each turns about z, in two intervals with a gap, with rates."""
+    found, ticks = [], np.array([0.0, 10.0, 20.0, 50.0, 60.0])
+    for k in sorted(rows["k"].to_pylist()):
+        half, zero = 0.005 * ticks * (k % 5 + 1), np.zeros(5)
+        q = np.stack([np.cos(half), zero, zero, np.sin(half)], 1)
+        found.append((k, 1, 3, 1, 0.0, 60.0, ck.type_three(ticks, q, np.array([0.0, 50.0]), np.stack([zero, ticks, zero + k], 1))))
+    return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([spk.daf(found, kind_of_file=b"DAF/CK")], pa.binary())})
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_suppkey AS k, l_orderkey % 80 + 0.5::DOUBLE AS t FROM lineitem),
+  f AS (SELECT *, CASE WHEN t <= 20 OR t BETWEEN 50 AND 60 THEN t WHEN t <= 23 THEN 20.0 WHEN t >= 47 AND t < 50 THEN 50.0 WHEN t > 60 AND t <= 63 THEN 60.0 END AS found FROM l)
+  SELECT k AS instrument, t AS tick, found AS tick_found, {rs("cos(0.005 * found * (k % 5 + 1))")} AS q0, {rs("sin(0.005 * found * (k % 5 + 1))")} AS q3, {rs("found")} AS w1, {rs("CASE WHEN found IS NOT NULL THEN k END")} AS w2 FROM f""")
+def pointing_of_attitude_files(spark, sf_dir):
+    """Pointing in intervals, in gaps by tolerance, and beyond it."""
+    s = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 50).cast("long").alias("file"), F.col("s_suppkey").cast("long").alias("k"))
+    held = ck.spans(s.groupBy("file").applyInArrow(_attitude_file, "file long, content binary"))
+    times = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("instrument"), (F.col("l_orderkey") % 80 + 0.5).alias("tick")).distinct()
+    got = ck.pointing(times, held, 3.0, True, 10.0)
+    none = lambda c: F.when(~F.isnan(c), r(F.col(c))).alias(c)
+    return got.select("instrument", "tick", *[none(c) for c in ("tick_found", "q0", "q3", "w1", "w2")])

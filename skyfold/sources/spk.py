@@ -40,10 +40,13 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([], "file long, content binary") if out is None else out
 
 
-def summaries(content: bytes) -> tuple[list[tuple], str]:
-    """(target, center, frame, type, start, stop, first and last word's address) of every segment, in order, and the byte order."""
-    if content[:7] not in (b"DAF/SPK", b"NAIF/DA"):
-        raise ValueError("not an SPK file")
+def summaries(content: bytes, kind_of_file: bytes = b"DAF/SPK") -> tuple[list[tuple], str]:
+    """(four whole numbers, start, stop, first and last word's address) of every segment, in order, and the byte order.
+
+    The four are target, center, frame and type in an SPK file; instrument, frame, type and whether there are rates in a CK file.
+    """
+    if not content.startswith((kind_of_file, b"NAIF/DAF")):
+        raise ValueError(f"not an {kind_of_file[4:].decode()} file")
     order = ">" if content[88:96].startswith(b"BIG") else "<"
     nd, ni = np.frombuffer(content[8:16], order + "i4")
     at = int(np.frombuffer(content[76:80], order + "i4")[0])
@@ -246,8 +249,8 @@ def states(times: DataFrame, held: DataFrame, target: int, observer: int, bucket
     return rows.select(*times.columns, *[zero(c).alias(c) for c in STATE])
 
 
-def daf(found: list[tuple], big_endian: bool = False) -> bytes:
-    """An SPK file of segments (target, center, frame, type, start, stop, words), as many as there are; 25 a summary record."""
+def daf(found: list[tuple], big_endian: bool = False, kind_of_file: bytes = b"DAF/SPK ") -> bytes:
+    """A file of segments (four whole numbers as of summaries(), start, stop, words), as many as there are; 25 a summary record."""
     order = ">" if big_endian else "<"
     chunks = [found[k : k + 25] for k in range(0, len(found), 25)] or [[]]
     body_at = 2 + 2 * len(chunks)  # after the file record, summaries and their names come in pairs
@@ -259,5 +262,5 @@ def daf(found: list[tuple], big_endian: bool = False) -> bytes:
             part += np.array([start, stop], order + "f8").tobytes() + np.array([target, center, frame, kind, address, address + len(flat) - 1], order + "i4").tobytes()
             data, address = data + flat.tobytes(), address + len(flat)
         records += part.ljust(RECORD, b"\0") + b" " * RECORD
-    head = b"DAF/SPK " + np.array([2, 6], order + "i4").tobytes() + b" " * 60 + np.array([2, 2 * len(chunks), address], order + "i4").tobytes() + (b"BIG-IEEE" if big_endian else b"LTL-IEEE")
+    head = kind_of_file.ljust(8) + np.array([2, 6], order + "i4").tobytes() + b" " * 60 + np.array([2, 2 * len(chunks), address], order + "i4").tobytes() + (b"BIG-IEEE" if big_endian else b"LTL-IEEE")
     return head.ljust(RECORD, b"\0") + records + data
