@@ -32,8 +32,10 @@ from . import common, words
 from .tokens import _BYTE_CHARS
 
 MARK = "▁"
-#: Words that one worker process remembers; then it starts afresh. Bytes and rows of text in a block.
-CACHE_WORDS, BLOCK_BYTES, BLOCK_ROWS = 400_000, 4 << 20, 2000
+#: Words of a generation, of which a worker process remembers two, and groups that it numbers before it starts afresh.
+CACHE_WORDS, MOST_GROUPS = 300_000, 1_000_000
+#: Bytes and rows of text in a block.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 2000
 #: A space between a character and a word: both tokenizers cut in front of it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -92,34 +94,65 @@ class Interner:
 
     def clear(self) -> None:
         self.known: dict[str, tuple[bytes, str] | None] = {}  # word: numbers of its groups, their ids as text; None: its bytes differ
+        self.old: dict[str, tuple[bytes, str] | None] = {}
         self.numbers: dict[bytes, int] = {}
+        self.small: dict[int, int] = {}
         self.keys: list[bytes] = []
+        self.texts: list[str] = []
         self.sizes: list[tuple[int, int, int]] = []
 
-    def full(self) -> bool:
-        return max(len(self.known), len(self.keys)) > CACHE_WORDS
-
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Numbers of the groups of two tilings of the same bytes, their ids as text, and their ends in bytes."""
+    def tidy(self) -> None:
+        """Between blocks: forget words that were not met for a generation, and all if groups are too many."""
+        if len(self.keys) > MOST_GROUPS:
+            self.clear()
+        elif len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+
+    def number(self, a: list[int], b: list[int], links: int) -> int:
+        key = len(a).to_bytes(4, "little") + np.array([*a, *b], "<i4").tobytes()
+        got = self.numbers.get(key)
+        if got is None:
+            got = self.numbers[key] = len(self.keys)
+            self.keys.append(key)
+            self.texts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            self.sizes.append((len(a), len(b), links))
+        return got
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the groups of two tilings of the same bytes, and their ends in bytes.
+
+        A group of at most three tokens with ids below 2**16 is one whole number, so each kind of them is looked up once.
+        """
         len_a, len_b = self.pair.len_a[a], self.pair.len_b[b]
         end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
-        ends = np.intersect1d(end_a, end_b)
-        cut_a, cut_b = np.searchsorted(end_a, ends) + 1, np.searchsorted(end_b, ends) + 1
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        stop_a, stop_b = np.searchsorted(end_a, ends) + 1, np.searchsorted(end_b, ends) + 1
+        start_a, start_b = np.concatenate([[0], stop_a[:-1]]), np.concatenate([[0], stop_b[:-1]])
+        n_a, n_b = stop_a - start_a, stop_b - start_b
         lo, hi = link_ranges(len_a, len_b)
-        links = np.diff(np.concatenate([[0], np.cumsum(hi - lo)[cut_a - 1]]))
-        flat_a, flat_b = a.astype("<i4").tobytes(), b.astype("<i4").tobytes()
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        out, texts = np.zeros(len(ends), np.int32), []
-        for i, ((a0, a1), (b0, b1), n) in enumerate(zip(pairwise([0, *cut_a.tolist()]), pairwise([0, *cut_b.tolist()]), links.tolist(), strict=True)):
-            key = (a1 - a0).to_bytes(4, "little") + flat_a[4 * a0 : 4 * a1] + flat_b[4 * b0 : 4 * b1]
-            number = self.numbers.get(key)
-            if number is None:
-                number = self.numbers[key] = len(self.keys)
-                self.keys.append(key)
-                self.sizes.append((a1 - a0, b1 - b0, n))
-            out[i] = number
-            texts.append(",".join(text_a[a0:a1]) + "|" + ",".join(text_b[b0:b1]))
-        return out, texts, ends
+        links = np.diff(np.concatenate([[0], np.cumsum(hi - lo)[stop_a - 1]]))
+        out = np.zeros(len(ends), np.int64)
+        low = n_a + n_b <= 3
+        if max(int(a.max()), int(b.max())) >= 1 << 16:
+            low[:] = False
+        second = np.where(n_a == 2, a[np.minimum(start_a + 1, len(a) - 1)], np.where(n_b == 2, b[np.minimum(start_b + 1, len(b) - 1)], 0))
+        code = (((n_a * 4 + n_b) << 16 | a[start_a]) << 16 | b[start_b]) << 16 | second
+        kinds, first, at = np.unique(code[low], return_index=True, return_inverse=True)
+        where = np.flatnonzero(low)[first]
+        held = np.zeros(len(kinds), np.int64)
+        for k, (c, i) in enumerate(zip(kinds.tolist(), where.tolist(), strict=True)):
+            got = self.small.get(c)
+            if got is None:
+                got = self.small[c] = self.number(a[start_a[i] : stop_a[i]].tolist(), b[start_b[i] : stop_b[i]].tolist(), int(links[i]))
+            held[k] = got
+        out[low] = held[at]
+        rest = np.flatnonzero(~low)
+        list_a, list_b = a.tolist(), b.tolist()
+        out[rest] = [self.number(list_a[p:q], list_b[r:s], n) for p, q, r, s, n in zip(*(v[rest].tolist() for v in (start_a, stop_a, start_b, stop_b, links)), strict=True)]
+        return out.astype(np.int32), ends
+
+    def entry(self, numbers: np.ndarray) -> tuple[bytes, str]:
+        return numbers.tobytes(), ";".join(map(self.texts.__getitem__, numbers.tolist()))
 
     def learn(self, new: list[str]) -> None:
         """Words, encoded as one text; a text's last one may end in white space, which would run into the next, and is encoded alone."""
@@ -130,25 +163,35 @@ class Interner:
             if got is None:  # some word's bytes differ: find out which
                 for word in part:
                     one = self.pair.encode(word)
-                    self.known[word] = None if one is None else (lambda g: (g[0].tobytes(), ";".join(g[1])))(self.groups(*one))
+                    self.known[word] = None if one is None else self.entry(self.groups(*one)[0])
                 continue
-            numbers, texts, ends = self.groups(*got)
+            numbers, ends = self.groups(*got)
             stops = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part])) + 1
-            for word, (i, j) in zip(part, pairwise([0, *stops.tolist()]), strict=True):
-                self.known[word] = (numbers[i:j].tobytes(), ";".join(texts[i:j]))
+            flat, texts = numbers.tobytes(), list(map(self.texts.__getitem__, numbers.tolist()))
+            self.known.update([(word, (flat[4 * i : 4 * j], ";".join(texts[i:j]))) for word, (i, j) in zip(part, pairwise([0, *stops.tolist()]), strict=True)])
+
+    def missing(self, pieces: list[str]) -> list[str]:
+        """Pieces that are not known, after those of the last generation are taken over."""
+        new = set(pieces).difference(self.known)
+        if new and self.old:
+            old = self.old
+            again = [w for w in new if w in old]  # an intersection would go through all of old
+            self.known.update([(w, old[w]) for w in again])
+            new.difference_update(again)
+        return list(new)
 
     def text(self, text: str) -> tuple[bytes, str] | None:
         """Numbers of a text's groups (as bytes) and their ids as text; None where it has no tokens."""
         if not self.pair.by_words:
             got = self.pair.encode(text)
-            return None if got is None else (lambda g: (g[0].tobytes(), ";".join(g[1])))(self.groups(*got))
+            return None if got is None else self.entry(self.groups(*got)[0])
         pieces = text.split(" ")
-        missing = set(pieces).difference(self.known)
+        missing = self.missing(pieces)
         if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
             pieces = _CUT.split(text)
-            missing = set(pieces).difference(self.known)
+            missing = self.missing(pieces)
         if missing:
-            self.learn(list(missing))
+            self.learn(missing)
         found = list(map(self.known.__getitem__, pieces))
         if None in found:  # a word's bytes differ; a text's do then, too
             return None
@@ -212,8 +255,7 @@ def _code(path_a: str, path_b: str, with_groups: bool, schema: pa.Schema):
             for i, j in words.chunks(offsets, BLOCK_BYTES, BLOCK_ROWS):
                 yield from block(interner, batch.slice(i, j - i), name)
                 name += 1
-                if interner.full():
-                    interner.clear()
+                interner.tidy()
 
     return run
 

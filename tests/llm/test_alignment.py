@@ -91,10 +91,14 @@ def test_many_blocks_and_forgotten_words(spark, monkeypatch):
     """Blocks of few texts, and a worker that remembers few words, give the same rows."""
     some = [r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()][:60]
     want, _, _ = plain(some)
-    interner = alignment.Interner(alignment.pair_of(A, B))
-    for t in some:
-        interner.text(t)
-        interner.clear()
+    calm, hasty = (alignment.Interner(alignment.pair_of(A, B)) for _ in range(2))
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 50)
+    for t in some + some[:20]:
+        assert calm.text(t)[1] == hasty.text(t)[1]
+        hasty.tidy()
+    monkeypatch.setattr(alignment, "MOST_GROUPS", 10)
+    hasty.tidy()
+    assert not hasty.keys and hasty.text(some[0])[1] == calm.text(some[0])[1]
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 1)
     df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in alignment.align(df, A, B)[0].collect()}
