@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyfold.functions import geodesy as G
 from skyfold.operators import raster as R
 from skyfold.operators import geolocation, terrain
+from skyfold.sources import geotiff
 
 from .geo import PLACE, places
 from .registry import query, r, rs, table
@@ -173,3 +174,12 @@ def terrain_correction(spark, sf_dir):
     points = s.select("id", "lon", "lat", *[(F.col(c)).alias(c) for c in "xyz"], (F.col("x") * 1.1).alias("sx"), (F.col("y") * 1.1 + 200).alias("sy"), (F.col("z") * 1.1 + 100).alias("sz"))
     heights = np.fromfunction(lambda i, j: 1.0 + np.sin(i / 9.0) + np.cos(j / 7.0), (180, 360))
     return terrain.correct(points, heights, -180.0, 90.0, 1.0)
+
+
+@query(f"WITH {CELLS} SELECT image_id, k // 8 AS row, k % 8 AS col, {rs('10 + (k % 8 + image_id % 3) * 0.02::DOUBLE', 9)} AS x, {rs('50 - k // 8 * 0.01::DOUBLE', 9)} AS y, value FROM cells")
+def geotiff_round_trip(spark, sf_dir):
+    """Images as GeoTIFF files, and the cells that these hold."""
+    c = images(spark, sf_dir).select("image_id", "row", "col", (10 + (F.col("col") + F.col("image_id") % 3) * 0.02).alias("x"), (50 - F.col("row") * 0.01).alias("y"), "value")
+    files = geotiff.encode_cells(c, "image_id").select(F.col("image_id").cast("string").alias("path"), "content")
+    got = geotiff.cells(files)
+    return got.select(F.col("path").cast("long").alias("image_id"), "row", "col", r(F.col("x"), 9).alias("x"), r(F.col("y"), 9).alias("y"), "value")
