@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .ranks import durable
 
 COVERAGE_TYPES = ("SPK", "CK", "PCK")
 
 
 def merge(windows: DataFrame, by: list[str]) -> DataFrame:
     """Windows of each key that overlap or touch become one: by, start, stop. A key's windows are divided by time."""
-    longest = windows.groupBy(*by, "start").agg(F.max("stop").alias("stop"))  # also leaves no ties in the order
+    longest = durable(windows.groupBy(*by, "start").agg(F.max("stop").alias("stop")))  # also leaves no ties in the order; read several times
     bounds = scan.bounds_of(longest, "start")
     seen = scan.running(longest, by, ["start"], bounds, "max", F.col("stop"), "_b", inclusive=False)
     new = (F.col("_b").isNull() | (F.col("start") > F.col("_b"))).cast("long")
@@ -40,7 +41,7 @@ def complement(windows: DataFrame, by: list[str]) -> DataFrame:
     kind = dict(merged.dtypes)["stop"]
     kind = kind if kind in ("double", "float") else "long"
     first, last = _ends(kind)
-    merged = merged.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop"))
+    merged = durable(merged.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop")))  # read several times
     before = scan.running(merged, by, ["start"], scan.bounds_of(merged, "start"), "max", F.col("stop"), "_b", inclusive=False)
     heads = before.select(*by, F.coalesce("_b", first).alias("start"), F.col("start").alias("stop"))
     tails = merged.groupBy(*by).agg(F.max("stop").alias("start")).select(*by, "start", last.alias("stop"))

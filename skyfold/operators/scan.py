@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import durable
+
 #: Rows of a range, about, and most ranges (the bounds are an array on the driver).
 ROWS_PER_RANGE, MOST_RANGES = 200_000, 4096
 
@@ -103,7 +105,7 @@ def overlaps(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     sides = []
     for df in (left, right):
         w = df.select(*on, F.col("start").alias("a"), F.col("stop").alias("b")).where("a <= b")
-        sides.append(w.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n")))
+        sides.append(durable(w.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n"))))  # read several times
     a, b = sides
     starts = [s.select(*on, F.col("a").alias("p"), F.col("b").alias("q"), F.col("n").alias("m")) for s in sides]
     one = _within(starts[1], a, on, False).select(*on, F.col("a").alias("start"), F.col("b").alias("stop"), F.col("p").alias("r_start"), F.col("q").alias("r_stop"), (F.col("m") * F.col("n")).alias("_times"))
