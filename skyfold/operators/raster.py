@@ -6,19 +6,22 @@ run in numpy, one image pair a row, through mapInArrow; cell-wise operators are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from skyfold.functions import constants as K
 from skyfold.functions.vec import NAN, not_nan, safe_div
 
+from . import scan
 from .ranks import bucket_of, durable
 
 #: Kilometres of a degree of latitude where errors in km become degrees; the search itself takes the equator's radius.
@@ -385,39 +388,150 @@ def regular_grid(bounds: DataFrame, rows: int, cols: int, key: str = "image_id")
     return out.select(key, "gi", "gj", at("min_lon", "max_lon", "gj", cols).alias("lon"), at("max_lat", "min_lat", "gi", rows).alias("lat"))
 
 
-def nearest_cells(points: DataFrame, cells: DataFrame, k: int, cell: float) -> DataFrame:
+#: Cells of a tile, about, and points that one group meets them with, about.
+CELLS_PER_TILE, POINTS_PER_GROUP = 2_000, 50_000
+
+
+def _cut_tiles(held: DataFrame, k: int):
+    """How to deal cells (cell_id, cx, cy) to tiles of about CELLS_PER_TILE: strips of x, each cut by its own y. The bounds are all that the driver gets."""
+    size = max(CELLS_PER_TILE, 4 * k)
+    n = held.count()
+    xs = np.array(scan.bounds_of(held, "cx", max(size, math.isqrt(n * size))), float)
+    most = min(scan.MOST_RANGES, n // size + 2)
+    strips = held.withColumn("_s", scan.range_of(F.col("cx"), xs.tolist())).groupBy("_s").agg(F.count(F.lit(1)), F.percentile_approx("cy", [i / most for i in range(1, most)], 5 * most)).collect()
+    ys = [np.zeros(0)] * (len(xs) + 1)
+    for s, rows, got in strips:
+        cuts = min(most, rows // size + 1)
+        ys[s] = np.array(sorted({got[i * most // cuts - 1] for i in range(1, cuts)}), float)
+    first = np.cumsum([0, *[len(y) + 1 for y in ys]])
+
+    def deal(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy"))
+            strip = np.searchsorted(xs, x, "right")
+            tile = first[strip]
+            for s in np.unique(strip):
+                own = strip == s
+                tile[own] += np.searchsorted(ys[s], y[own], "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tile.astype(np.int32))], names=[*batch.schema.names, "_tile"])
+
+    return held.mapInArrow(deal, StructType([*held.schema.fields, StructField("_tile", IntegerType())]))
+
+
+def _between(low, high, boxes, far: bool) -> np.ndarray:
+    """Least (or greatest) distances of points within low..high (n x 2) and within boxes (m x 4: x, y low, x, y high): n x m, never more (less) than any computed one."""
+    d = [(boxes[:, i] - high[:, i, None], low[:, i, None] - boxes[:, i + 2]) for i in (0, 1)]
+    if far:
+        d = [np.maximum(boxes[:, i + 2] - low[:, i, None], high[:, i, None] - boxes[:, i]) for i in (0, 1)]
+    else:
+        d = [np.maximum(np.maximum(a, b), 0.0) for a, b in d]
+    return np.sqrt(d[0] ** 2 + d[1] ** 2)
+
+
+def _tiles_of_points(boxes: np.ndarray, enough: np.ndarray):
+    """For mapInArrow over points (point_id, x, y, _first, _bound): a row for each tile to meet.
+
+    Without a _bound (null) that is the one tile of enough cells whose farthest corner is nearest; else all tiles but _first that may hold
+    a cell within it. Points are taken in blocks of neighbours, so that a block looks at the tiles around it only.
+    """
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            n, at, tiles = len(x), [], []
+            strip = np.empty(n, np.int64)
+            strip[np.argsort(x)] = np.arange(n) // max(1, math.isqrt(n * 256))
+            order = np.lexsort((y, strip))
+            seek = batch.column("_bound").null_count == n
+            first, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_first", "_bound"))
+            for i in range(0, n, 256):
+                own = order[i : i + 256]
+                p = np.stack([x[own], y[own]], 1)
+                low, high = p.min(0)[None], p.max(0)[None]
+                if seek:
+                    near = np.flatnonzero(enough & (_between(low, high, boxes, False)[0] <= _between(low, high, boxes[enough], True).min()))
+                    at.append(own)
+                    tiles.append(near[_between(p, p, boxes[near], True).argmin(1)])
+                else:
+                    near = np.flatnonzero(_between(low, high, boxes, False)[0] <= bound[own].max())
+                    a, t = np.nonzero((_between(p, p, boxes[near], False) <= bound[own, None]) & (near != first[own, None]))
+                    at.append(own[a])
+                    tiles.append(near[t])
+            at, tiles = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *tiles])
+            for i in range(0, len(at), 100_000):
+                got = batch.take(pa.array(at[i : i + 100_000]))
+                yield pa.RecordBatch.from_arrays([*got.select(["point_id", "x", "y", "_bound"]).columns, pa.array(tiles[i : i + 100_000].astype(np.int32))], names=["point_id", "x", "y", "_bound", "_tile"])
+
+    return run
+
+
+def _nearest_of_tile(k: int):
+    """For a cogroup of a tile's points and cells: up to k cells of each point, within its _bound if it has one, and the rank."""
+
+    def run(points: pa.Table, cells: pa.Table) -> pa.Table:
+        cells = cells.take(pc.sort_indices(cells, [("cell_id", "ascending")], null_placement="at_start"))
+        x, y, cx, cy = (t.column(c).to_numpy() for t, c in ((points, "x"), (points, "y"), (cells, "cx"), (cells, "cy")))
+        bound = points.column("_bound").fill_null(float("inf")).to_numpy()
+        step, out = max(1, 1_000_000 // max(1, len(cx))), [[], [], [], []]
+        for i in range(0, len(x) if len(cx) else 0, step):
+            d = np.sqrt((x[i : i + step, None] - cx) ** 2 + (y[i : i + step, None] - cy) ** 2)
+            most = bound[i : i + step]
+            if len(cx) > k and np.isinf(most).any():
+                most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+            a, c = np.nonzero(d <= most[:, None])
+            v = d[a, c]
+            order = np.lexsort((c, v, a))
+            a, c, v = a[order], c[order], v[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+            for held, new in zip(out, (a + i, c, v, rank), strict=True):
+                held.append(new[rank <= k])
+        at, c, v, rank = (np.concatenate([np.zeros(0, kind), *o]) for o, kind in zip(out, (np.int64, np.int64, float, np.int64), strict=True))
+        got = points.take(pa.array(at))
+        return pa.table([*got.select(["point_id", "x", "y", "_tile"]).columns, cells.column("cell_id").take(pa.array(c)), pa.array(v), pa.array(rank.astype(np.int32))], names=["point_id", "x", "y", "_tile", "cell_id", "distance", "rank"])
+
+    return run
+
+
+def nearest_cells(points: DataFrame, cells: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The k nearest cells (cell_id, x, y) of each point (point_id, x, y), wherever they lie: point_id, cell_id, distance, rank; fewer only where there are fewer cells.
 
-    Round by round for points that are not done: a point meets the cells of 3 x 3 buckets around it. It is done when its k-th
-    distance is at most a bucket's width, as all cells that near were met; else it goes on with buckets of twice the width. So points
-    near cells never meet far ones. cell: the first width, about the distance of the k-th cell. Of equally near cells the smaller
-    cell_id counts. Equal points count once; points and cells without a place (null or NaN) have no part. A point far from all
-    cells meets all cells of a bucket of that distance.
+    Cells are dealt to tiles of about equal numbers. A point meets one tile near it; its k-th distance there is a bound, and it meets all
+    other tiles that may hold a cell within the bound. So a point meets few tiles, near cells or far from all of them. Of cells at one
+    place only the k smallest ids go on. Of equally near cells the smaller cell_id counts. Equal points count once; points and cells
+    without a place (null or NaN) have no part. cell: of no effect, as tiles need no width.
     """
     placed = lambda df: df.where(not_nan(F.col("x")) & not_nan(F.col("y")))
     left = placed(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).distinct()
     held = placed(cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    ends = left.select("x", "y").unionByName(held.select(F.col("cx").alias("x"), F.col("cy").alias("y"))).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    extent, done, width = max(ends[0] or 0.0, ends[1] or 0.0), None, float(cell)
+    same = Window.partitionBy("cx", "cy").orderBy("cell_id")
+    held = durable(held.withColumn("_i", F.row_number().over(same)).where(F.col("_i") <= k).drop("_i"))
+    held = _cut_tiles(held, k)
+    rows = held.groupBy("_tile").agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy"), F.count(F.lit(1))).collect()
+    none = [float("inf")] * 2 + [float("-inf")] * 2
+    boxes, sizes = np.array([none] * (max((r[0] for r in rows), default=-1) + 1)).reshape(-1, 4), {r[0]: r[5] for r in rows}
+    for r in rows:
+        boxes[r[0]] = r[1:5]
+    enough = np.array([sizes.get(t, 0) >= k for t in range(len(boxes))], bool)
+    paired = StructType([left.schema["point_id"], *[StructField(c, DoubleType()) for c in ("x", "y", "_bound")], StructField("_tile", IntegerType())])
+    out = StructType([*paired.fields[:3], paired["_tile"], held.schema["cell_id"], StructField("distance", DoubleType()), StructField("rank", IntegerType())])
+
+    def meet(asking: DataFrame) -> DataFrame:
+        pairs = durable(asking.mapInArrow(_tiles_of_points(boxes, enough), paired))
+        parts = {t: -(-n // POINTS_PER_GROUP) for t, n in pairs.groupBy("_tile").count().where(F.col("count") > POINTS_PER_GROUP).collect()}  # at most one for so many pairs
+        many = F.coalesce(F.create_map(*[F.lit(v) for t in parts.items() for v in t])[F.col("_tile")], F.lit(1)) if parts else F.lit(1)
+        dealt = pairs.withColumn("_part", F.pmod(F.xxhash64("point_id", "x", "y"), many).cast("int"))
+        copies = held.withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
+        return dealt.groupBy("_tile", "_part").cogroup(copies.groupBy("_tile", "_part")).applyInArrow(_nearest_of_tile(k), out)
+
+    none = F.lit(None).cast("double").alias("_bound")
+    if not enough.any():  # no tile has k cells: all are met
+        got = meet(left.select("point_id", "x", "y", F.lit(-1).alias("_first"), F.lit(float("inf")).alias("_bound")))
+    else:
+        got = durable(meet(left.select("point_id", "x", "y", F.lit(-1).alias("_first"), none)))
+        bounded = got.where(F.col("rank") == k).select("point_id", "x", "y", F.col("_tile").alias("_first"), F.col("distance").alias("_bound"))
+        got = got.unionByName(meet(bounded))
     order = Window.partitionBy("point_id", "x", "y").orderBy("distance", "cell_id")
-    while True:
-        b = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
-        around = lambda c: F.explode(F.array(*[b(c) + i for i in (-1, 0, 1)]))  # noqa: B023, E731
-        p = left.withColumn("_bx", around("x")).withColumn("_by", around("y"))
-        hit = p.join(held.withColumns({"_bx": b("cx"), "_by": b("cy")}), ["_bx", "_by"])
-        hit = hit.withColumn("distance", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-        near = hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "x", "y", "cell_id", "distance", "rank")
-        if width >= extent:
-            break
-        near = durable(near)
-        full = near.where((F.col("rank") == k) & (F.col("distance") <= width)).select("point_id", "x", "y")
-        own = near.join(full, ["point_id", "x", "y"], "left_semi")
-        done = own if done is None else done.unionByName(own)
-        left = durable(left.join(full, ["point_id", "x", "y"], "left_anti"))
-        if not left.limit(1).count():
-            return done.select("point_id", "cell_id", "distance", "rank")
-        width *= 2
-    return (near if done is None else done.unionByName(near)).select("point_id", "cell_id", "distance", "rank")
+    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "cell_id", "distance", "rank")
 
 
 # --- elevation -----------------------------------------------------------------------------------------------------
