@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,14 +37,19 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return out.withColumn(name, (F.col("_first") + F.col("_i") - 1).cast("int")).select(*[c for c in df.columns if c != name], name)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder: its lineage ends there. On a local master an own folder is made where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder for checkpoints in spark.checkpoint.dir. On a local master an own one is made where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyfold-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder: its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions.vec import Vec
 from skyfold.operators import products
+from skyfold.operators.ranks import shared_folder
 from skyfold.streaming import streams
 
 from .geo import ECEF, PIXELS, states
@@ -43,11 +44,22 @@ def solar_correction_product(spark, sf_dir):
     return got.select("ugps", r(F.col("sun_distance_correction"), 9).alias("sun_distance_correction"), r(F.col("sun_doppler_factor"), 12).alias("sun_doppler_factor"))
 
 
-def _drain(stream, spark, mode: str):
-    """Run a stream over what is there, to its end, and return its result as a table in the session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _drain(stream, spark):
+    """Run a stream over what is there, to its end (complete mode), and return its result, which executors write to the shared folder: it may be as long as the input."""
+    folder, kept = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def delete(name: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+    def keep(batch, i: int) -> None:  # a batch holds the whole result so far
+        batch.write.mode("overwrite").parquet(f"{folder}/result-{i}")
+        kept.append(i)
+
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    for name in ["state", *[f"result-{i}" for i in kept[:-1]]]:
+        delete(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/result-{kept[-1]}") if kept else spark.createDataFrame([], stream.schema)
 
 
 def _stream(spark, sf_dir):
@@ -60,12 +72,12 @@ def _stream(spark, sf_dir):
 def streaming_error_statistics(spark, sf_dir):
     """Tumbling windows over a stream that is read to its end (complete mode, so no window stays open)."""
     e = _stream(spark, sf_dir).withColumnRenamed("value", "nadir_equiv_error_m")
-    got = _drain(streams.windowed_error_statistics(e, "ts"), spark, "complete")
+    got = _drain(streams.windowed_error_statistics(e, "ts"), spark)
     return got.select(F.unix_micros("start").alias("start_us"), "n", *[F.round(c, 6).alias(c) for c in ("mean_error_m", "rms_error_m", "max_error_m", "percent_within")])
 
 
 @query("""WITH d AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 14400000000 THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM d)
   SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS stop_us, count(*) AS n FROM s GROUP BY user_id, g""")
 def streaming_sessions(spark, sf_dir):
-    got = _drain(streams.sessions(_stream(spark, sf_dir), "ts", "user_id", 14_400_000_000), spark, "complete")
+    got = _drain(streams.sessions(_stream(spark, sf_dir), "ts", "user_id", 14_400_000_000), spark)
     return got.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n")
