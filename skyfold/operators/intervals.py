@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import scan
 from .ranks import durable
@@ -14,7 +15,23 @@ COVERAGE_TYPES = ("SPK", "CK", "PCK")
 
 
 def merge(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Windows of each key that overlap or touch become one: by, start, stop. A key's windows are divided by time."""
+    """Windows of each key that overlap or touch become one: by, start, stop. A crowded key's windows are divided by time."""
+    held = durable(windows.select(*by, "start", "stop"))  # read several times
+    few, many = scan.divided(held, scan.crowded([held], by), by)
+    return scan.both(_merge_few(few, by) if few is not None else None, _merge_many(many, by) if many is not None else None)
+
+
+def _merge_few(windows: DataFrame, by: list[str]) -> DataFrame:
+    """merge() by one exchange, a key in a task."""
+    order = Window.partitionBy(*by).orderBy("start", F.col("stop").desc_nulls_last())
+    seen = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    again = (F.row_number().over(order) > 1) & F.lag("start").over(order).eqNullSafe(F.col("start"))
+    marked = windows.withColumn("_n", (~again & (seen.isNull() | (F.col("start") > seen))).cast("long"))
+    marked = marked.withColumn("_i", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
+
+
+def _merge_many(windows: DataFrame, by: list[str]) -> DataFrame:
     longest = durable(windows.groupBy(*by, "start").agg(F.max("stop").alias("stop")))  # also leaves no ties in the order; read several times
     bounds = scan.bounds_of(longest, "start")
     seen = scan.running(longest, by, ["start"], bounds, "max", F.col("stop"), "_b", inclusive=False)
@@ -23,9 +40,9 @@ def merge(windows: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_i")
 
 
-def intersect(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Common parts of each pair of windows of a key; touching windows share a point. Only pairs that meet become rows."""
-    return scan.overlaps(left, right, on).select(*on, F.greatest("start", "r_start").alias("start"), F.least("stop", "r_stop").alias("stop"))
+def intersect(left: DataFrame, right: DataFrame, on: list[str], held: bool = False) -> DataFrame:
+    """Common parts of each pair of windows of a key; touching windows share a point. Only pairs that meet become rows. held: both sides are durable already."""
+    return scan.overlaps(left, right, on, held).select(*on, F.greatest("start", "r_start").alias("start"), F.least("stop", "r_stop").alias("stop"))
 
 
 def _ends(kind: str) -> tuple[Column, Column]:
@@ -48,20 +65,22 @@ def complement(windows: DataFrame, by: list[str]) -> DataFrame:
     return heads.unionByName(tails)
 
 
-def gaps(windows: DataFrame, requests: DataFrame, by: list[str], error: bool = False, with_request: bool = False) -> DataFrame:
+def gaps(windows: DataFrame, requests: DataFrame, by: list[str], error: bool = False, with_request: bool = False, held: bool = False) -> DataFrame:
     """Parts of each request (by, start, stop) that its key's windows don't cover; parts without length are left out.
 
     A key may have several requests, that may overlap; equal ones count once. with_request adds request_start and
     request_stop. Times are whole or floating numbers; if either side has fractions, so do the gaps. A request that stops before it
-    starts is an error of the whole query; with error, so is any gap.
+    starts is an error of the whole query; with error, so is any gap. held: the windows are durable already.
     """
     kinds = {dict(df.dtypes)[c] for df in (windows, requests) for c in ("start", "stop")}
     kind = "double" if kinds & {"double", "float"} or any(k.startswith("decimal") for k in kinds) else "long"
     stop = F.when(F.col("stop") < F.col("start"), F.raise_error(F.lit("a request stops before it starts")).cast(kind)).otherwise(F.col("stop").cast(kind))
-    asked = requests.select(*by, F.col("start").cast(kind).alias("start"), stop.alias("stop")).distinct()
-    free = complement(windows.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop")), by)
-    bare = asked.join(windows.select(*[F.col(b).alias(f"_k_{b}") for b in by]).distinct(), [F.col(b) == F.col(f"_k_{b}") for b in by], "left_anti") if by else asked.limit(0)
-    got = scan.overlaps(asked, free, by).unionByName(bare.select(*by, "start", "stop", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")))
+    asked = durable(requests.select(*by, F.col("start").cast(kind).alias("start"), stop.alias("stop")).distinct())
+    windows = windows.select(*by, F.col("start").cast(kind).alias("start"), F.col("stop").cast(kind).alias("stop"))
+    windows = windows if held else durable(windows)
+    keys = scan.crowded([windows, asked], by)
+    (few, many), (ask_few, ask_many) = (scan.divided(df, keys, by) for df in (windows, asked))
+    got = scan.both(_free_few(few, ask_few, by, kind) if few is not None else None, _free_many(many, ask_many, by) if many is not None else None)
     asks = [F.col("start").alias("request_start"), F.col("stop").alias("request_stop")] if with_request else []
     got = got.select(*by, F.greatest("start", "r_start").alias("_low"), F.least("stop", "r_stop").alias("_high"), *asks).where("_low < _high").withColumnsRenamed({"_low": "start", "_high": "stop"})
     if error:  # in a column, not in a filter, which would be moved below joins
@@ -70,6 +89,26 @@ def gaps(windows: DataFrame, requests: DataFrame, by: list[str], error: bool = F
     return got
 
 
+def _free_few(windows: DataFrame, asked: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """Requests and the free times they meet: by, start, stop, r_start, r_stop. Windows and requests are exchanged once, by key."""
+    order, (first, last) = Window.partitionBy(*by).orderBy("start"), _ends(kind)
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = _merge_few(windows, by).withColumns({"_b": before, "_last": F.lead(F.lit(1)).over(order).isNull()})
+    head = F.struct(F.coalesce("_b", first).alias("r_start"), F.col("start").alias("r_stop"))
+    tail = F.struct(F.greatest("_b", "stop").alias("r_start"), last.alias("r_stop"))
+    free = merged.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.lit(True).alias("_has"), F.inline(F.when(F.col("_last"), F.array(head, tail)).otherwise(F.array(head))))
+    pairs = asked.join(free, [F.col(b) == F.col(f"_k_{b}") for b in by], "left") if by else asked.crossJoin(free)
+    bare = F.col("_has").isNull()
+    meets = (F.col("r_start") <= F.col("r_stop")) & (F.col("start") <= F.col("r_stop")) & (F.col("r_start") <= F.col("stop"))
+    pairs = pairs.where(bare | meets)
+    return pairs.select(*by, "start", "stop", *[F.when(bare, F.col(c)).otherwise(F.col(f"r_{c}")).alias(f"r_{c}") for c in ("start", "stop")])
+
+
+def _free_many(windows: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    bare = asked.join(windows.select(*[F.col(b).alias(f"_k_{b}") for b in by]).distinct(), [F.col(b) == F.col(f"_k_{b}") for b in by], "left_anti") if by else asked.limit(0)
+    return scan.overlaps(asked, complement(windows, by), by).unionByName(bare.select(*by, "start", "stop", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")))
+
+
 def rollup(segments: DataFrame, by: list[str]) -> DataFrame:
     """First start and last stop of each key."""
     return segments.groupBy(*by).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))

@@ -2,7 +2,8 @@
 
 A series is cut into ranges of its order (by quantiles, as many as its size asks for). Within a range, a window function
 runs; what earlier ranges of the key bring along is one row for each key and range, and is joined to the range. So the
-largest task is a range's, however many rows a key has.
+largest task is a range's, however many rows a key has. Keys of few rows (all but those of crowded()) need none of this: they
+take one exchange by key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .ranks import durable
 
 #: Rows of a range, about, and most ranges (the bounds are an array on the driver).
 ROWS_PER_RANGE, MOST_RANGES = 200_000, 4096
+#: Pairs of a key that may be tried for each of its rows; keys of more are numbered, so that only pairs that meet are made.
+PAIRS_PER_ROW = 64
 
 
 def bounds_of(df: DataFrame, column: str, rows_per_range: int | None = None) -> list:
@@ -53,6 +56,34 @@ def same(left: list[Column], right: list[Column]) -> Column:
     return out
 
 
+def crowded(sides: list[DataFrame], on: list[str]) -> DataFrame | None:
+    """Keys with more than ROWS_PER_RANGE rows on a side, or of two sides with more than PAIRS_PER_ROW pairs a row; None if there is none.
+
+    The sides are read: they are durable, or cheap to read. Keys are counted exactly, within tasks before any exchange.
+    """
+    names = [f"_n{i}" for i in range(len(sides))]
+    each = [df.select(*on, *[F.lit(int(i == k)).cast("long").alias(n) for k, n in enumerate(names)]) for i, df in enumerate(sides)]
+    n = [F.col(c).cast("double") for c in names]
+    many = F.greatest(*n, F.lit(0.0)) > ROWS_PER_RANGE
+    if len(n) == 2:
+        many = many | (n[0] * n[1] > PAIRS_PER_ROW * (n[0] + n[1]))
+    rows = each[0] if len(each) == 1 else each[0].unionByName(each[1])
+    keys = durable(rows.groupBy(*on).agg(*[F.sum(c).alias(c) for c in names]).where(many).select(*[F.col(c).alias(f"_k_{c}") for c in on], F.lit(True).alias("_crowded")))
+    return None if keys.isEmpty() else keys
+
+
+def divided(rows: DataFrame, keys: DataFrame | None, on: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of the other keys, and rows of these; None where there can't be any."""
+    if keys is None or not on:
+        return (rows, None) if keys is None else (None, rows)
+    meet = same([F.col(c) for c in on], [F.col(f"_k_{c}") for c in on])
+    return rows.join(keys, meet, "left_anti"), rows.join(keys, meet, "left_semi")
+
+
+def both(one: DataFrame | None, two: DataFrame | None) -> DataFrame:
+    return one.unionByName(two) if one is not None and two is not None else one if one is not None else two
+
+
 def running(rows: DataFrame, by: list[str], order: list[str], bounds: list, kind: str, value: Column, name: str, inclusive: bool = True) -> DataFrame:
     """rows with the running max or sum of a value in each key, up to the row or up to the one before it.
 
@@ -95,17 +126,35 @@ def _within(points: DataFrame, spans: DataFrame, on: list[str], open_start: bool
     return wanted.join(ranked, meet).select(*on, *p_cols, *s_cols)
 
 
-def overlaps(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, on: list[str], held: bool = False) -> DataFrame:
     """Each two windows (start, stop) of a key that share a point or more: on, start, stop, r_start, r_stop.
 
+    Windows that stop before they start, or have a null end, meet nothing; a null key is equal to none. Keys of few windows are
+    joined, crowded ones are numbered. held: both sides are durable already.
+    """
+    sides = [df.select(*on, F.col("start").alias("a"), F.col("stop").alias("b")).where("a <= b") for df in (left, right)]
+    sides = sides if held else [durable(s) for s in sides]  # read several times
+    keys = crowded(sides, on)
+    (few, many), (r_few, r_many) = (divided(s, keys, on) for s in sides)
+    return both(_joined(few, r_few, on) if few is not None else None, _numbered(many, r_many, on) if many is not None else None)
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """overlaps() by one exchange of each side."""
+    right = right.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("a").alias("r_start"), F.col("b").alias("r_stop"))
+    meet = (F.col("a") <= F.col("r_stop")) & (F.col("r_start") <= F.col("b"))
+    for c in on:
+        meet = meet & (F.col(c) == F.col(f"_k_{c}"))
+    return left.join(right, meet).select(*on, F.col("a").alias("start"), F.col("b").alias("stop"), "r_start", "r_stop")
+
+
+def _numbered(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """overlaps() of series of any length.
+
     Either the right window starts within the left one, or the left one starts later and within the right one. Equal windows
-    are matched once and repeated as often as they occur. Windows that stop before they start, or have a null end, meet
-    nothing; a null key is equal to none.
+    are matched once and repeated as often as they occur.
     """
-    sides = []
-    for df in (left, right):
-        w = df.select(*on, F.col("start").alias("a"), F.col("stop").alias("b")).where("a <= b")
-        sides.append(durable(w.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n"))))  # read several times
+    sides = [durable(w.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n"))) for w in (left, right)]  # read several times
     a, b = sides
     starts = [s.select(*on, F.col("a").alias("p"), F.col("b").alias("q"), F.col("n").alias("m")) for s in sides]
     one = _within(starts[1], a, on, False).select(*on, F.col("a").alias("start"), F.col("b").alias("stop"), F.col("p").alias("r_start"), F.col("q").alias("r_stop"), (F.col("m") * F.col("n")).alias("_times"))

@@ -95,3 +95,32 @@ def test_one_hot_key_of_many_windows(spark):
     two = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 10 + 5).alias("start"), (F.col("id") * 10 + 11).alias("stop"))
     got = intervals.intersect(one, two, ["k"]).agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
     assert tuple(got) == (2 * n - 1, n + (n - 1))
+
+
+@pytest.mark.parametrize("what", ["merge", "intersect", "gaps"])
+def test_keys_of_few_windows_are_not_cut_into_ranges(spark, monkeypatch, what):
+    """One exchange by key is enough for them: no bounds are sought and nothing is numbered."""
+
+    def no(*_):
+        raise AssertionError("cut into ranges")
+
+    monkeypatch.setattr(scan, "bounds_of", no)
+    data, more = (rows(s, 80, ["a", "b", "c", None], 0, 90, 4) for s in (5, 6))
+    w = table(spark, data, "double")
+    if what == "merge":
+        got = sorted(((r.k, r.start, r.stop) for r in intervals.merge(w, ["k"]).collect()), key=str)
+        assert got == sorted(((k, *m) for k, ms in merged(data).items() for m in ms), key=str)
+    elif what == "intersect":
+        got = sorted(tuple(r) for r in intervals.intersect(w, table(spark, more, "double"), ["k"]).collect())
+        assert got == sorted((k, max(a, c), min(b, d)) for k, a, b in data for m, c, d in more if k and k == m and a <= d and c <= b)
+    else:
+        ask = [("a", -1.0, 50.0), ("a", 20.0, 120.0), ("b", 3.0, 4.0), ("none", 1.0, 2.0), (None, 1.0, 2.0)]
+        got = sorted((tuple(r) for r in intervals.gaps(w, table(spark, ask, "double"), ["k"]).collect()), key=str)
+        assert got == sorted(((k, *g) for k, a, b in ask for g in free(merged([r for r in data if r[0]]).get(k, []), a, b)), key=str)
+
+
+@pytest.mark.parametrize("size", [1, 200_000])
+def test_merge_of_windows_without_ends(spark, monkeypatch, size):
+    monkeypatch.setattr(scan, "ROWS_PER_RANGE", size)
+    w = table(spark, [("x", 5.0, None), ("x", 5.0, None), ("y", 5.0, None), ("y", 5.0, 7.0), ("y", 6.0, 8.0)], "double")
+    assert sorted(tuple(r) for r in intervals.merge(w, ["k"]).collect()) == [("x", 5.0, None), ("y", 5.0, 8.0)]
