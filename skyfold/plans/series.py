@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from skyfold.operators import intervals as I
 from skyfold.operators import segments as S
+from skyfold.operators.ranks import durable
 from skyfold.sources import readers, writers
 
 from .registry import query, r, rs, table
@@ -125,12 +126,12 @@ def coverage_gaps_of_requests(spark, sf_dir):
     """Three overlapping requests a key; windows and requests with fractions."""
     w = windows(spark, sf_dir).where(F.col("object_id").isNotNull())
     part = (F.col("line") * 37 % 100) / 100.0
-    f = w.select("object_id", (F.col("start") + part).alias("start"), (F.col("stop") + part + F.col("line") % 3 / 8.0 - 20).alias("stop"))
+    f = durable(w.select("object_id", (F.col("start") + part).alias("start"), (F.col("stop") + part + F.col("line") % 3 / 8.0 - 20).alias("stop")))
     p = I.rollup(f, ["object_id"])
     lo, hi = F.col("start"), F.col("stop")
     each = [(lo - 5.25, lo + (hi - lo) / 2), (lo + (hi - lo) / 4, lo + (hi - lo) / 2), (lo + (hi - lo) / 3, hi + 7.5)]
     q = p.select("object_id", F.inline(F.array(*[F.struct(a.alias("start"), b.alias("stop")) for a, b in each])))
-    got = I.gaps(f, q, ["object_id"], with_request=True)
+    got = I.gaps(f, q, ["object_id"], with_request=True, held=True)
     return got.select("object_id", *[r(F.col(c)).alias(c) for c in ("request_start", "request_stop", "start", "stop")])
 
 
