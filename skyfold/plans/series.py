@@ -97,8 +97,8 @@ def merge_windows(spark, sf_dir):
 
 @query(f"WITH {DAYS}, a AS (SELECT * FROM w WHERE line % 2 = 1), b AS (SELECT * FROM w WHERE line % 2 = 0) SELECT a.object_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.object_id = b.object_id AND a.start <= b.stop AND b.start <= a.stop")
 def intersect_windows(spark, sf_dir):
-    w = windows(spark, sf_dir)
-    return I.intersect(w.where("line % 2 = 1").select("object_id", "start", "stop"), w.where("line % 2 = 0").select("object_id", "start", "stop"), ["object_id"])
+    w = durable(windows(spark, sf_dir).select("object_id", "start", "stop", "line"))
+    return I.intersect(w.where("line % 2 = 1").select("object_id", "start", "stop"), w.where("line % 2 = 0").select("object_id", "start", "stop"), ["object_id"], held=True)
 
 
 @query(f"""WITH {DAYS}, {MERGED}, q AS (SELECT DISTINCT object_id, 9500 + object_id % 50 AS q0, 10200 AS q1 FROM w UNION SELECT -1, 9500, 10200),
