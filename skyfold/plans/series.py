@@ -106,10 +106,10 @@ def intersect_windows(spark, sf_dir):
   g AS (SELECT object_id, prev AS start, least(start, q1) AS stop FROM l UNION ALL SELECT object_id, greatest(stop, q0), q1 FROM l WHERE last UNION ALL SELECT object_id, q0, q1 FROM q WHERE object_id NOT IN (SELECT object_id FROM c))
   SELECT * FROM g WHERE start < stop""")
 def coverage_gaps(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = durable(windows(spark, sf_dir).select("object_id", "start", "stop"))
     ask = w.select("object_id").distinct().select("object_id", (F.lit(9500) + F.col("object_id") % 50).alias("start"), F.lit(10200).cast("long").alias("stop"))
     ask = ask.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("object_id"), F.lit(9500).cast("long").alias("start"), F.lit(10200).cast("long").alias("stop")))
-    return I.gaps(w, ask, ["object_id"])
+    return I.gaps(w, ask, ["object_id"], held=True)
 
 
 _FRACTIONS = """f AS (SELECT object_id, start + (line * 37 % 100) / 100.0::DOUBLE AS start, stop + (line * 37 % 100) / 100.0::DOUBLE + (line % 3) / 8.0::DOUBLE - 20 AS stop FROM w WHERE object_id IS NOT NULL),
